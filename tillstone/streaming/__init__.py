@@ -1,0 +1 @@
+"""Kept empty on purpose: every input of this workload is a bounded table."""
