@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
+MOVEMENT = 1e-4
 
 
 def standardize(table: DataFrame, features: Mapping[str, str]) -> DataFrame:
@@ -40,21 +41,13 @@ def standardize(table: DataFrame, features: Mapping[str, str]) -> DataFrame:
     return table.withColumns(scaled)
 
 
-def squared_distance(columns: Sequence[str], centre: Sequence[float]) -> Column:
-    total = F.lit(0.0)
-    for column, place in zip(columns, centre):
-        gap = F.col(column) - F.lit(float(place))
-        total = total + gap * gap
-    return total
-
-
 def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
     """Index of the closest centre; the lower index wins a tie."""
-    choices = [
-        F.struct(F.round(squared_distance(columns, centre), 9).alias("distance"), F.lit(index).alias("cluster"))
-        for index, centre in enumerate(centres)
-    ]
-    return F.array_min(F.array(*choices))["cluster"]
+    choices = []
+    for index, centre in enumerate(centres):
+        squares = [f"({c} - ({float(x)!r}D)) * ({c} - ({float(x)!r}D))" for c, x in zip(columns, centre)]
+        choices.append(f"struct(round({' + '.join(squares)}, 9) as distance, {index} as cluster)")
+    return F.expr(f"array_min(array({', '.join(choices)})).cluster")
 
 
 def lloyd_centres(
@@ -62,15 +55,16 @@ def lloyd_centres(
 ) -> list[tuple[float, ...]]:
     """Centres after a fixed number of Lloyd steps. Each step is one pass that returns one row per centre."""
     centres = [tuple(map(float, seed)) for seed in seeds]
-    for _ in range(steps):
-        means = (
-            points.groupBy(nearest(columns, centres).alias("cluster"))
-            .agg(*[F.round(F.avg(column), DIGITS).alias(column) for column in columns])
-            .collect()
-        )
-        # a centre that lost all its points stays where it was
-        moved = {row["cluster"]: tuple(row[column] for column in columns) for row in means}
-        centres = [moved.get(index, centre) for index, centre in enumerate(centres)]
+    means = [F.round(F.avg(column), DIGITS).alias(column) for column in columns]
+    points = points.select(*columns).persist()
+    try:
+        for _ in range(steps):
+            rows = points.groupBy(nearest(columns, centres).alias("cluster")).agg(*means).collect()
+            moved = {row["cluster"]: tuple(row[column] for column in columns) for row in rows}
+            # a centre that lost all its points stays where it was
+            centres = [moved.get(index, centre) for index, centre in enumerate(centres)]
+    finally:
+        points.unpersist()
     return centres
 
 
@@ -128,12 +122,16 @@ def assemble(points: DataFrame, columns: Sequence[str]) -> DataFrame:
 def best_kmeans(
     vectors: DataFrame, clusters: Sequence[int], restarts: int = 10, seed: int = 42, parallelism: int = 8
 ) -> dict[int, KMeansModel]:
-    """For each K the model with the lowest cost over several seeds; fits run as concurrent Spark jobs."""
+    """For each K the model with the lowest cost over several seeds; fits run as concurrent Spark jobs.
+
+    A fit ends when its centres move by less than ``MOVEMENT`` in total (sum of squares), the usual rule for
+    features of unit variance.
+    """
 
     @inheritable_thread_target(vectors.sparkSession)
     def fit(task: tuple[int, int]) -> KMeansModel:
         k, offset = task
-        return KMeans(k=k, seed=seed + offset, maxIter=300, tol=1e-4).fit(vectors)
+        return KMeans(k=k, seed=seed + offset, maxIter=300, tol=(MOVEMENT / k) ** 0.5).fit(vectors)
 
     tasks = [(k, offset) for k in clusters for offset in range(restarts)]
     best: dict[int, KMeansModel] = {}

@@ -21,20 +21,27 @@ def frequent_keys(table: DataFrame, key: str, share: float) -> list:
 
 
 def spread_join(
-    big: DataFrame, other: DataFrame, key: str, row_number: str, how: str = "inner", share: float = 0.01
+    big: DataFrame,
+    other: DataFrame,
+    key: str,
+    row_number: str,
+    how: str = "inner",
+    share: float = 0.01,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``other`` on ``key``, splitting the rows of frequent keys over many tasks.
 
     A side that fits the broadcast limit goes to Catalyst unchanged. Otherwise the rows of a frequent
     key are dealt out by ``row_number`` (a column fixed when the file was scanned, so that a rerun task
     deals them the same way) and the matching rows of ``other`` are repeated once per hand. At most
-    ``1/share`` keys are repeated, so the copies stay few however large the tables are.
+    ``1/share`` keys are repeated, so the copies stay few however large the tables are. Frequent keys are
+    looked for in ``keys_from``, the scan behind ``big``, if ``big`` is itself a join.
     """
     if how not in ("inner", "left"):
         raise ValueError("spread_join supports inner and left joins")
     if fits_broadcast(other):
         return big.join(other, key, how)
-    frequent = frequent_keys(big, key, share)
+    frequent = frequent_keys(big if keys_from is None else keys_from, key, share)
     if not frequent:
         return big.join(other, key, how)
     hands = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,16 +54,22 @@ def domain_check(table: DataFrame, rules: Mapping[str, Column], name: str) -> Da
     )
 
 
-def column_profile(table: DataFrame, distinct: bool = True) -> DataFrame:
-    """Per column: display width, number of nulls and, if asked for, exact number of distinct values."""
-    summaries = [
-        F.struct(
-            F.lit(ordinal).cast("bigint").alias("ordinal"),
-            F.lit(column).alias("column_name"),
-            rendered_width(F.col(f"`{column}`"), column).cast("bigint").alias("width"),
-            F.count_if(F.col(f"`{column}`").isNull()).alias("nulls"),
-            (F.count_distinct(f"`{column}`") if distinct else F.lit(None).cast("bigint")).alias("distincts"),
+def column_profile(table: DataFrame) -> DataFrame:
+    """Per column: display width, number of nulls and exact number of distinct values.
+
+    Every column is grouped on its own, which reads it alone from a columnar file and renders each value
+    once; all columns in one aggregate would repeat every row once per column.
+    """
+    profiles = []
+    for ordinal, column in enumerate(table.columns, 1):
+        values = table.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count("*").alias("rows"))
+        profiles.append(
+            values.agg(
+                F.lit(ordinal).cast("bigint").alias("ordinal"),
+                F.lit(column).alias("column_name"),
+                rendered_width(F.col("value"), column).cast("bigint").alias("width"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("nulls"),
+                F.count("value").alias("distincts"),
+            )
         )
-        for ordinal, column in enumerate(table.columns, 1)
-    ]
-    return table.agg(F.array(*summaries).alias("_columns")).select(F.inline("_columns"))
+    return reduce(DataFrame.unionAll, profiles)

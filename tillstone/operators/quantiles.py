@@ -9,8 +9,9 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SLICES = 1024
+SLICE_BUDGET = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,10 @@ def exact_quantiles(
 ) -> dict[tuple, list[Quantile]]:
     """Linear-interpolation quantiles of an integer or decimal column, per group.
 
-    Each pass counts the rows of the spans that still hold a wanted rank in ``SLICES`` equal slices and
-    keeps the slices with a wanted rank, so a span shrinks by that factor per pass. Only slice counts
-    reach the driver, a value shared by many rows is one count, and no group is gathered in a task. Meant
-    for a small number of groups.
+    Each pass cuts the spans of values that hold a wanted rank into equal slices, counts the rows per
+    slice and keeps the slices with a wanted rank. At most ``SLICE_BUDGET`` counts reach the driver per
+    pass, a value shared by many rows is one count, and no group is gathered in a task. Meant for a small
+    number of groups.
     """
     by = list(by)
     scale = getattr(table.schema[value].dataType, "scale", 0)
@@ -52,24 +53,24 @@ def exact_quantiles(
     extent = rows.groupBy(*by).agg(
         F.count("*").alias("rows"), F.min("_units").alias("first"), F.max("_units").alias("last")
     )
-    spans, positions = [], {}
+    spans, positions, found = [], {}, {}
     for row in extent.collect():
         if not row["rows"]:
             continue
         group = tuple(row[key] for key in by)
         positions[group] = [Fraction(p) * (row["rows"] - 1) for p in probabilities]
-        wanted = sorted({rank for position in positions[group] for rank in (position // 1, -(-position // 1))})
-        spans.append(_Span(group, row["first"], row["last"], 0, wanted))
+        found[group] = {0: row["first"], row["rows"] - 1: row["last"]}
+        wanted = {rank for position in positions[group] for rank in (position // 1, -(-position // 1))}
+        spans.append(_Span(group, row["first"], row["last"], 0, sorted(wanted - found[group].keys())))
 
-    found: dict[tuple, dict[int, int]] = {group: {} for group in positions}
     while spans:
-        open_spans = []
+        still_open = []
         for span in spans:
             if span.first == span.last:
                 found[span.group].update(dict.fromkeys(span.ranks, span.first))
-            else:
-                open_spans.append(span)
-        spans = _narrow(rows, by, open_spans) if open_spans else []
+            elif span.ranks:
+                still_open.append(span)
+        spans = _narrow(rows, by, still_open) if still_open else []
 
     unit = Decimal(1).scaleb(-scale)
     return {
@@ -81,31 +82,51 @@ def exact_quantiles(
 
 
 def _narrow(rows: DataFrame, by: list[str], spans: list[_Span]) -> list[_Span]:
-    steps = [-(-(span.last - span.first + 1) // SLICES) for span in spans]
-    places = []
-    for i, (span, step) in enumerate(zip(spans, steps)):
-        inside = F.col("_units").between(span.first, span.last)
-        for key, member in zip(by, span.group):
-            inside &= F.col(key).eqNullSafe(F.lit(member))
-        index = F.call_function("div", F.col("_units") - F.lit(span.first), F.lit(step))
-        places.append(F.when(inside, F.struct(F.lit(i).alias("span"), index.alias("slice"))))
-    counted = (
-        rows.select(F.coalesce(*places).alias("_place"))
-        .where(F.col("_place").isNotNull())
-        .groupBy("_place.span", "_place.slice")
-        .agg(F.count("*").alias("rows"))
-        .collect()
-    )
-    slices: dict[int, list[tuple[int, int]]] = {}
-    for row in counted:
-        slices.setdefault(row["span"], []).append((row["slice"], row["rows"]))
+    slices = max(2, SLICE_BUDGET // len(spans))
+    steps = [-(-(span.last - span.first + 1) // slices) for span in spans]
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for row in _slice_counts(rows, by, spans, steps).collect():
+        counts.setdefault(row["span"], []).append((row["slice"], row["rows"]))
     narrowed = []
     for i, span in enumerate(spans):
         below = span.below
-        for index, count in sorted(slices[i]):
+        for index, count in sorted(counts[i]):
             ranks = [rank for rank in span.ranks if below <= rank < below + count]
             if ranks:
                 first = span.first + index * steps[i]
                 narrowed.append(_Span(span.group, first, min(first + steps[i] - 1, span.last), below, ranks))
             below += count
     return narrowed
+
+
+def _slice_counts(rows: DataFrame, by: list[str], spans: list[_Span], steps: list[int]) -> DataFrame:
+    """Rows per (span, slice). Spans of one group do not overlap, so a row falls in one slice at most."""
+    units = F.col("_units")
+    if by:
+        schema = T.StructType(
+            [T.StructField(f"_{key}", rows.schema[key].dataType) for key in by]
+            + [T.StructField(name, T.LongType()) for name in ("span", "_first", "_last", "_step")]
+        )
+        bounds = rows.sparkSession.createDataFrame(
+            [(*span.group, i, span.first, span.last, steps[i]) for i, span in enumerate(spans)], schema
+        )
+        inside = units.between(F.col("_first"), F.col("_last"))
+        for key in by:
+            inside &= F.col(key).eqNullSafe(F.col(f"_{key}"))
+        # one row per open span: at most two per group and probability
+        placed = rows.join(F.broadcast(bounds), inside).select(
+            "span", F.call_function("div", units - F.col("_first"), F.col("_step")).alias("slice")
+        )
+    else:
+        places = [
+            F.when(
+                units.between(span.first, span.last),
+                F.struct(
+                    F.lit(i).alias("span"),
+                    F.call_function("div", units - F.lit(span.first), F.lit(step)).alias("slice"),
+                ),
+            )
+            for i, (span, step) in enumerate(zip(spans, steps))
+        ]
+        placed = rows.select(F.coalesce(*places).alias("_place")).where(F.col("_place").isNotNull()).select("_place.*")
+    return placed.groupBy("span", "slice").agg(F.count("*").alias("rows"))

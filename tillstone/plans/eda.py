@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillstone.functions.numbers import half_up, millions, money, percent
+from tillstone.functions.numbers import half_up, millions, money, percent, sum_cents
 from tillstone.functions.shapes import in_label_order
 from tillstone.operators.histogram import equal_width
 from tillstone.operators.quantiles import exact_quantiles
@@ -51,9 +51,8 @@ def top5_categories(mart: Mart) -> DataFrame:
 
 
 def customer_attribute_totals(mart: Mart, *attributes: str, **extra) -> DataFrame:
-    """Measures per customer attribute, from the per-customer totals: the fact table is not joined."""
-    known = mart.customer_totals.join(mart.customers.select("customer_id", *attributes), "customer_id")
-    return rolled_up(known, *attributes, **extra)
+    """Measures per customer attribute, from one row per customer."""
+    return rolled_up(mart.buyers, *attributes, **extra)
 
 
 def revenue_by_age_group(mart: Mart) -> DataFrame:
@@ -84,21 +83,22 @@ def monthly_revenue(mart: Mart) -> DataFrame:
 
 
 def order_value_histogram(mart: Mart) -> DataFrame:
-    return equal_width(mart.facts, "final_amount", 50)
+    amount = F.col("cents") / F.lit(100.0)
+    return equal_width(mart.facts.select(amount.alias("amount")), "amount", 50)
 
 
 def order_value_center(mart: Mart) -> DataFrame:
-    cut = exact_quantiles(mart.facts, "final_amount", [Fraction(1, 2)])
-    median = float(cut[()][0].value) if cut else None
+    cut = exact_quantiles(mart.facts, "cents", [Fraction(1, 2)])
+    median = float(cut[()][0].value / 100) if cut else None
     return mart.facts.agg(
-        half_up(F.sum("final_amount"), F.count("final_amount")).alias("mean_value"),
+        half_up(sum_cents(F.col("cents")), F.count("cents")).alias("mean_value"),
         F.round(F.lit(median).cast("double"), 4).alias("median_value"),
     )
 
 
 def category_discount_pivot(mart: Mart) -> DataFrame:
     """Mean order value per category and discount, one column ``d<percent>`` per discount in the data."""
-    cells = _labelled(mart.facts, "discount_pct").where(F.col("final_amount").isNotNull())
+    cells = _labelled(mart.facts, "discount_pct").where(F.col("cents").isNotNull())
     found = cells.select("discount_pct").distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()
     if len(found) > MAX_PIVOT_COLUMNS:
         raise ValueError(f"more than {MAX_PIVOT_COLUMNS} discounts: too wide for a pivot")

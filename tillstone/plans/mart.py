@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstone import schemas
+from tillstone.functions.numbers import from_cents, to_cents
 from tillstone.operators import clustering
 from tillstone.operators.ordering import with_position
 from tillstone.operators.quantiles import exact_quantiles
@@ -20,6 +21,7 @@ from tillstone.sources.star import star_customers, star_transactions
 
 FEATURES = {"recency": "zr", "frequency": "zf", "monetary": "zm"}
 Z = list(FEATURES.values())
+ATTRIBUTES = ["gender", "age_group", "city"]
 CLUSTERS = 4
 LLOYD_STEPS = 6
 
@@ -72,23 +74,32 @@ class Mart:
     def _facts(self) -> DataFrame:
         # ``counted`` lets COUNT(transaction_id) read one bit per row instead of the id text
         counted = F.when(F.col("transaction_id").isNotNull(), True)
-        return self.store.save(self._transactions.withColumn("counted", counted), "transactions")
+        cents = to_cents(F.col("final_amount"))
+        facts = self._transactions.withColumns({"counted": counted, "cents": cents}).drop("final_amount")
+        return self.store.save(facts, "transactions")
 
     @property
     def facts(self) -> DataFrame:
-        """Transactions for reports: ``counted`` is non-null where ``transaction_id`` is."""
+        """Transactions as the reports read them.
+
+        ``counted`` is non-null where ``transaction_id`` is, ``cents`` is the final amount in whole cents.
+        """
         return self._facts.drop("transaction_id")
 
     @property
     def transactions(self) -> DataFrame:
-        return self._facts.drop("counted")
+        """Transactions with the columns of the data model."""
+        return self._facts.withColumn("final_amount", from_cents(F.col("cents"))).select(self._transactions.columns)
 
     @cached_property
-    def customer_totals(self) -> DataFrame:
-        """One row per customer id (null included): what any report by customer attribute needs.
+    def profiles(self) -> DataFrame:
+        """One row per customer id: attributes, measures, first and last day.
 
         Rows of one customer collapse before the shuffle, so a customer with a large part of all
-        transactions costs as little as any other.
+        transactions costs as little as any other. The outer join is done once here; reports by customer
+        attribute then need neither the transactions nor a join. ``known`` marks ids of the customer
+        table, ``rows`` is null for customers without transactions, and transactions without an id form a
+        row of their own.
         """
         totals = totals_by(
             self.facts,
@@ -96,7 +107,18 @@ class Mart:
             first_date=F.min("transaction_date"),
             last_date=F.max("transaction_date"),
         )
-        return self.store.save(totals, "customer-totals")
+        customers = self.customers.select("customer_id", *ATTRIBUTES, F.lit(True).alias("known"))
+        return self.store.save(customers.join(totals, "customer_id", "full"), "profiles")
+
+    @property
+    def customer_totals(self) -> DataFrame:
+        """Measures of every customer id with transactions, known or not."""
+        return self.profiles.where(F.col("rows").isNotNull())
+
+    @property
+    def buyers(self) -> DataFrame:
+        """Measures and attributes of the known customers with transactions."""
+        return self.customer_totals.where("known")
 
     @cached_property
     def category_totals(self) -> DataFrame:
@@ -129,9 +151,12 @@ class Mart:
         placed = with_position(self.rfm, [F.col("frequency"), F.col("customer_id")], self.store, "by-frequency")
         customers = placed.count()
 
-        def edges(column: str):
-            cut = exact_quantiles(placed, column, EDGES)
-            return check_edges(cut[()], column, self.on_duplicate_edges) if cut else []
+        amounts = [F.col(name).cast("decimal(22,2)").alias(name) for name in ("recency", "monetary")]
+        long = placed.select(*amounts).unpivot([], ["recency", "monetary"], "metric", "amount")
+        cuts = exact_quantiles(long, "amount", EDGES, by=["metric"])
+
+        def edges(metric: str):
+            return check_edges(cuts[(metric,)], metric, self.on_duplicate_edges) if cuts else []
 
         recency, monetary = edges("recency"), edges("monetary")
         scored = placed.withColumns(
@@ -165,9 +190,10 @@ class Mart:
 
     @cached_property
     def segmented(self) -> DataFrame:
-        """Customers with scores, z-scores, cluster and segment."""
-        assigned = self.scaled.withColumn("cluster", clustering.nearest(Z, self.lloyd_centres))
-        return self.store.save(clustering.label_clusters(assigned, schemas.TIERS, CLUSTERS), "segmented")
+        """Scores, z-scores, cluster and segment of every customer, with attributes and measures."""
+        assigned = self.scaled.withColumn("cluster", clustering.nearest(Z, self.lloyd_centres)).drop("position")
+        labelled = clustering.label_clusters(assigned, schemas.TIERS, CLUSTERS)
+        return self.store.save(labelled.join(self.profiles, "customer_id"), "segmented")
 
     @property
     def rfm_segments(self) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.functions.dates import month_key
-from tillstone.functions.numbers import half_up, percent
+from tillstone.functions.numbers import half_up, percent, sum_cents
 
 MEASURES = {
     "rows": lambda: F.count("*"),
     "orders": lambda: F.count("counted"),
-    "amounts": lambda: F.count("final_amount"),
-    "revenue": lambda: F.sum("final_amount"),
+    "amounts": lambda: F.count("cents"),
+    "revenue": lambda: sum_cents(F.col("cents")),
     "flags": lambda: F.count("returned"),
     "returned": lambda: F.sum("returned"),
 }

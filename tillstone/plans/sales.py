@@ -15,8 +15,7 @@ from tillstone.plans.measures import average_order, monthly_totals, return_rate,
 
 def top20_customers(mart: Mart, k: int = 20) -> DataFrame:
     """Best customers by revenue with their rank and the running total over all customers."""
-    known = mart.customer_totals.join(mart.customers.select("customer_id", "age_group", "city"), "customer_id")
-    ranked = top_ranked(known, "revenue", "customer_id", k)
+    ranked = top_ranked(mart.buyers, "revenue", "customer_id", k)
     return ranked.select(
         "customer_id",
         "age_group",
@@ -114,9 +113,7 @@ def segment_category_matrix(mart: Mart) -> DataFrame:
 
 
 def return_rate_by_segment(mart: Mart) -> DataFrame:
-    segments = mart.rfm_segments.select("customer_id", "segment")
-    totals = rolled_up(mart.customer_totals.join(segments, "customer_id"), "segment")
-    return totals.select(
+    return rolled_up(mart.segmented, "segment").select(
         "segment",
         F.col("orders").alias("total_orders"),
         F.col("returned").alias("returned_orders"),
@@ -126,11 +123,8 @@ def return_rate_by_segment(mart: Mart) -> DataFrame:
 
 def segment_demographics_export(mart: Mart) -> DataFrame:
     keys = ["segment", "age_group", "city", "gender"]
-    customers = mart.customers.select("customer_id", "age_group", "city", "gender")
-    segments = mart.rfm_segments.select("customer_id", "segment")
-    known = mart.customer_totals.join(customers, "customer_id").join(segments, "customer_id")
     return (
-        rolled_up(known, *keys)
+        rolled_up(mart.segmented.where("known"), *keys)
         .select(
             *keys,
             F.col("orders").alias("total_orders"),

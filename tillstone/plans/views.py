@@ -25,27 +25,25 @@ TIER_COLUMNS = {
 def vw_kpi_summary(mart: Mart) -> DataFrame:
     """Nine KPIs in one row. Customer ids are unique in all three tables, so counting rows per customer
     replaces the five distinct counts over the joined transactions."""
-    segments = mart.rfm_segments.select("customer_id", "segment")
-    customers = mart.customers.select("customer_id").join(mart.customer_totals, "customer_id", "left")
-    totals = rolled_up(
-        customers.join(segments, "customer_id", "left"),
-        customers=F.count("customer_id"),
-        **{column: F.count_if(F.col("segment") == tier) for tier, column in TIER_COLUMNS.items()},
+    tiers = mart.segmented.where("known").agg(
+        F.struct(
+            *[F.count_if(F.col("segment") == tier).alias(column) for tier, column in TIER_COLUMNS.items()]
+        ).alias("tiers")
     )
+    totals = rolled_up(mart.profiles.where("known"), customers=F.count("*")).withColumn("tiers", tiers.scalar())
     return totals.select(
         F.col("customers").alias("total_customers"),
         F.coalesce("orders", F.lit(0)).alias("total_transactions"),
         money(F.col("revenue")).alias("total_revenue"),
         average_order().alias("avg_order_value"),
         return_rate().alias("return_rate_pct"),
-        *TIER_COLUMNS.values(),
+        "tiers.*",
     )
 
 
 def segmented_profiles(mart: Mart) -> DataFrame:
     """Segments with the attributes of their customers, in report types."""
-    profiles = mart.rfm_segments.join(mart.customers, "customer_id")
-    return profiles.withColumns(
+    return mart.segmented.where("known").withColumns(
         {name: F.col(name).cast("bigint") for name in ("recency", "R_score", "F_score", "M_score", "RFM_score")}
     )
 

@@ -52,7 +52,8 @@ def star_transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("orderkey"), "o_custkey", "o_orderdate", "o_orderpriority"
     )
     parts = _table(spark, folder, "part").select(F.col("p_partkey").alias("partkey"), "p_brand")
-    sold = spread_join(spread_join(lines, orders, "orderkey", "scan_row"), parts, "partkey", "scan_row")
+    ordered = spread_join(lines, orders, "orderkey", "scan_row")
+    sold = spread_join(ordered, parts, "partkey", "scan_row", keys_from=lines)
 
     price = F.col("l_extendedprice").cast(MONEY)
     discount = F.round(F.col("l_discount") * 100).cast("int")
