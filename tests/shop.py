@@ -43,6 +43,7 @@ SALES = [
 
 
 def shop(spark, people=PEOPLE, sales=SALES, **options) -> Mart:
+    options.setdefault("clustering_method", "lloyd")
     customers = [(*person, DAY(2021, 1, 1)) for person in people]
     transactions = [
         (f"T{i}", who, day, category, Decimal(amount), 1, 0, Decimal(amount), mode, returned)

@@ -20,7 +20,7 @@ from tillstone.operators.ordering import tile, top_ranked, with_position
 from tillstone.operators.quantiles import exact_quantiles
 from tillstone.operators.sampling import draw_share
 from tillstone.operators.scoring import EDGES, RepeatedEdgesError, check_edges, score_above, score_of_position
-from tillstone.operators.storage import WorkTables
+from tillstone.operators.storage import WorkTables, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -265,3 +265,30 @@ def test_standardize(spark):
 def test_labels_need_enough_names(spark):
     with pytest.raises(ValueError):
         clustering.label_clusters(spark.range(1), ["only"], 2)
+
+
+class BareSession:
+    """A session whose cluster names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.master = master
+        self.folder = None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_folder(spark) == named.rstrip("/")
+    local = BareSession("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(BareSession("yarn"))

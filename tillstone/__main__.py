@@ -1,4 +1,4 @@
-"""``python -m tillstone SOURCE OUT [--source csv|star] [--format parquet|csv]``"""
+"""Run the whole batch: ``python -m tillstone FOLDER OUT``."""
 
 from __future__ import annotations
 
@@ -15,9 +15,18 @@ if __name__ == "__main__":
     parser.add_argument("out", help="folder for the reports")
     parser.add_argument("--source", choices=["csv", "star"], default="csv")
     parser.add_argument("--format", choices=["parquet", "csv"], default="parquet")
+    parser.add_argument("--clustering", choices=["kmeans", "lloyd"], default="kmeans")
+    parser.add_argument("--duplicate-edges", choices=["error", "merge"], default="error")
     options = parser.parse_args()
     session = SparkSession.builder.appName("tillstone").getOrCreate()
     build = {"csv": Mart.from_csv, "star": Mart.from_star}[options.source]
-    for name, path in run(build(session, options.folder), options.out, options.format).items():
+    mart = build(
+        session,
+        options.folder,
+        clustering_method=options.clustering,
+        on_duplicate_edges=options.duplicate_edges,
+    )
+    for name, path in run(mart, options.out, options.format).items():
         print(f"{name}\t{path}")
+    mart.close()
     session.stop()

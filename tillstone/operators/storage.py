@@ -15,9 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tillstone-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tillstone-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 class WorkTables:
@@ -31,3 +30,8 @@ class WorkTables:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         table.write.parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables written here; DataFrames over them can no longer be read."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,13 +24,17 @@ Z = list(FEATURES.values())
 ATTRIBUTES = ["gender", "age_group", "city"]
 CLUSTERS = 4
 LLOYD_STEPS = 6
+RESTARTS = 10
 
 
 class Mart:
     """A snapshot of customers and transactions with the tables derived from them.
 
     Each shared table is written once, on first use, to the shared folder of the cluster, and every
-    report reads it from there. Most reports need no more than ``customer_totals``, one row per customer.
+    report reads it from there. Most reports need no more than ``profiles``, one row per customer.
+
+    Segments come from MLlib's K-means, best of ten seeds, or with ``clustering_method="lloyd"`` from a fixed
+    number of Lloyd steps from fixed starting points, whose result plain SQL can reproduce.
     """
 
     def __init__(
@@ -40,13 +44,17 @@ class Mart:
         transactions: DataFrame,
         age_bands: Sequence[str] = schemas.AGE_BANDS,
         on_duplicate_edges: str = "error",
+        clustering_method: str = "kmeans",
     ):
         if on_duplicate_edges not in ("error", "merge"):
             raise ValueError("on_duplicate_edges is 'error' or 'merge'")
+        if clustering_method not in ("kmeans", "lloyd"):
+            raise ValueError("clustering_method is 'kmeans' or 'lloyd'")
         self.spark = spark
         self.store = WorkTables(spark)
         self.age_bands = list(age_bands)
         self.on_duplicate_edges = on_duplicate_edges
+        self.clustering_method = clustering_method
         self._customers = customers
         self._transactions = transactions
 
@@ -188,29 +196,47 @@ class Mart:
         seeds = self.scaled.where(F.col("position").isin(ranks)).orderBy("position").select(*Z).collect()
         return clustering.lloyd_centres(self.scaled, Z, seeds, LLOYD_STEPS)
 
+    @cached_property
+    def kmeans_clusters(self) -> DataFrame:
+        """``scaled`` with the cluster of the best of ten MLlib fits."""
+        vectors = clustering.assemble(self.scaled, Z).persist()
+        try:
+            model = clustering.best_kmeans(vectors, [CLUSTERS], RESTARTS)[CLUSTERS]
+            assigned = model.transform(vectors).withColumnRenamed("prediction", "cluster")
+            return self.store.save(assigned.drop("features"), "kmeans")
+        finally:
+            vectors.unpersist()
+
     @cached_property
     def segmented(self) -> DataFrame:
         """Scores, z-scores, cluster and segment of every customer, with attributes and measures."""
-        assigned = self.scaled.withColumn("cluster", clustering.nearest(Z, self.lloyd_centres)).drop("position")
-        labelled = clustering.label_clusters(assigned, schemas.TIERS, CLUSTERS)
+        if self.clustering_method == "kmeans":
+            assigned = self.kmeans_clusters
+        else:
+            assigned = self.scaled.withColumn("cluster", clustering.nearest(Z, self.lloyd_centres))
+        labelled = clustering.label_clusters(assigned.drop("position"), schemas.TIERS, CLUSTERS)
         return self.store.save(labelled.join(self.profiles, "customer_id"), "segmented")
 
     @property
     def rfm_segments(self) -> DataFrame:
         return self.segmented.select(*schemas.RFM_SEGMENTS.names)
 
+    def close(self) -> None:
+        """Delete the shared tables of this mart."""
+        self.store.drop()
+
 
 _open: dict[tuple[str, str], Mart] = {}
 
 
 def open_mart(spark: SparkSession, folder: str) -> Mart:
-    """The mart over a folder of star tables, one per application and folder.
+    """The mart over a folder of star tables, one per application and folder, with repeatable segments.
 
     A mart is a snapshot; call ``forget_marts`` after the files have changed.
     """
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
     if key not in _open:
-        _open[key] = Mart.from_star(spark, folder)
+        _open[key] = Mart.from_star(spark, folder, clustering_method="lloyd")
     return _open[key]
 
 

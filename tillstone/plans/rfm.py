@@ -12,8 +12,8 @@ from tillstone.functions.numbers import half_up, money, percent, thousands
 from tillstone.functions.shapes import in_label_order, over_all
 from tillstone.operators import clustering
 from tillstone.operators.quantiles import exact_quantiles
-from tillstone.plans.mart import CLUSTERS, FEATURES, Mart, Z
-from tillstone.schemas import TIERS
+from tillstone.plans.mart import CLUSTERS, FEATURES, RESTARTS, Mart, Z
+from tillstone.schemas import RFM_SEGMENTS, TIERS
 
 QUARTERS = [Fraction(k, 4) for k in range(5)]
 
@@ -49,7 +49,7 @@ def rfm_scaled(mart: Mart) -> DataFrame:
     return mart.scaled.select("customer_id", *Z)
 
 
-def kmeans_sweep(mart: Mart, sizes: Sequence[int] = tuple(range(2, 9)), restarts: int = 10) -> DataFrame:
+def kmeans_sweep(mart: Mart, sizes: Sequence[int] = tuple(range(2, 9)), restarts: int = RESTARTS) -> DataFrame:
     """Cost and silhouette of the best of several fits for every K."""
     vectors = clustering.assemble(mart.scaled.select("customer_id", *Z), Z).persist()
     try:
@@ -63,22 +63,10 @@ def kmeans_sweep(mart: Mart, sizes: Sequence[int] = tuple(range(2, 9)), restarts
     return mart.spark.createDataFrame(rows, "k bigint, inertia double, silhouette double")
 
 
-def kmeans_segments(mart: Mart, restarts: int = 10) -> DataFrame:
-    """Final segments from the best of several MLlib fits with four clusters."""
-    vectors = clustering.assemble(mart.scaled, Z).persist()
-    try:
-        model = clustering.best_kmeans(vectors, [CLUSTERS], restarts)[CLUSTERS]
-        labelled = clustering.label_clusters(
-            model.transform(vectors).withColumnRenamed("prediction", "cluster"), TIERS, CLUSTERS
-        )
-        stored = mart.store.save(labelled.select(*_segment_columns(labelled)), "kmeans-segments")
-    finally:
-        vectors.unpersist()
-    return _with_edge_types(stored)
-
-
-def _segment_columns(customers: DataFrame) -> list[str]:
-    return [name for name in customers.columns if name not in (*Z, "features", "position")]
+def kmeans_segments(mart: Mart) -> DataFrame:
+    """Segments from the best of ten MLlib fits with four clusters."""
+    labelled = clustering.label_clusters(mart.kmeans_clusters, TIERS, CLUSTERS)
+    return _with_edge_types(labelled.select(*RFM_SEGMENTS.names))
 
 
 def lloyd_segments(mart: Mart) -> DataFrame:
