@@ -39,6 +39,13 @@ def test_fact_scans_read_only_what_they_need(spark, key):
     assert schemas and all(schema.count(":") <= 5 and "transaction_id" not in schema for schema in schemas)
 
 
+def test_no_month_text_per_transaction(spark):
+    nodes = plan(QUERIES["monthly_revenue"](spark, FOLDER), "simple").splitlines()
+    scan = next(i for i, node in enumerate(nodes) if "FileScan" in node)
+    first_aggregate = next(i for i in range(scan, 0, -1) if "HashAggregate" in nodes[i])
+    assert not any("date_format" in node for node in nodes[first_aggregate : scan + 1])
+
+
 @pytest.mark.parametrize(
     "key", ["revenue_by_city", "cohort_revenue", "vw_kpi_summary", "segment_demographics_export", "vw_rfm_segments"]
 )

@@ -174,6 +174,21 @@ def test_transactions_without_a_customer_id(spark):
     assert sum(row["customers"] for row in sales.cohort_revenue(mart).collect()) == 9
 
 
+@pytest.mark.parametrize("customers", [4, 5, 8])
+def test_as_few_customers_as_clusters(spark, customers):
+    people = [(f"C{i}", "Male", "18-25", "Pune") for i in range(customers)]
+    bought = [
+        (f"C{i}", datetime.date(2024, 1, 1 + i), "Books", f"{10 ** i}.00", "UPI", 0) for i in range(customers)
+    ]
+    assert shop(spark, people, bought).rfm_segments.count() == customers
+
+
+def test_too_few_customers(spark):
+    mart = shop(spark, PEOPLE[:2], [sale for sale in SALES if sale[0] in ("C1", "C3")])
+    with pytest.raises(ValueError, match="too few customers"):
+        mart.lloyd_centres
+
+
 def test_skew_report(mart):
     got = {row["top_pct"]: row for row in checks.skew_report(mart).collect()}
     assert got[1]["customers"] == 1 and got[1]["revenue"] == 900.0

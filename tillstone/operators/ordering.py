@@ -13,7 +13,7 @@ ROW_BITS = 33
 
 
 def with_position(table: DataFrame, order: Sequence[Column], store: WorkTables, name: str) -> DataFrame:
-    """Add the 1-based ``position`` of every row in a total order.
+    """Add the 1-based ``position`` of every row in a total order, and the ``row_count`` of the table.
 
     The table is range-sorted over all tasks and written, which freezes the (sorted part, row) pair that
     ``monotonically_increasing_id`` packs into one number. The sizes of the parts, one row each, then
@@ -27,7 +27,11 @@ def with_position(table: DataFrame, order: Sequence[Column], store: WorkTables,
     starts = (
         frozen.groupBy(part.alias("_part"))
         .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+            F.sum("_rows").over(Window.partitionBy()).alias("row_count"),
+        )
     )
     row_in_part = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (

@@ -11,6 +11,5 @@ from tillstone.operators.storage import WorkTables
 
 def draw_share(table: DataFrame, key: str, share: float, store: WorkTables) -> DataFrame:
     """``floor(rows * share)`` rows without replacement, by the order of the MD5 of their key."""
-    rows = table.count()
     ranked = with_position(table, [F.md5(F.col(key).cast("string")), F.col(key)], store, "drawn")
-    return ranked.where(F.col("position") <= int(rows * share))
+    return ranked.where(F.col("position") <= F.floor(F.col("row_count") * F.lit(share)))

@@ -42,9 +42,10 @@ def score_above(value: Column, edges: Sequence[Quantile]) -> Column:
     return score
 
 
-def score_of_position(position: Column, rows: int, tiles: int = 5) -> Column:
+def score_of_position(position: Column, rows: Column, tiles: int = 5) -> Column:
     """Quantile bin of a 1-based rank; unlike NTILE the bins are cut at interpolated ranks."""
     score = F.lit(1)
     for k in range(1, tiles):
-        score = score + F.when(position > 1 + k * (rows - 1) // tiles, 1).otherwise(0)
+        lower = F.call_function("div", (rows - 1) * k, F.lit(tiles)) + 1
+        score = score + F.when(position > lower, 1).otherwise(0)
     return score

@@ -140,13 +140,13 @@ TABLES: dict[str, tuple[list[str], str]] = {
     ),
 }
 
-# The place of a seed is floor(n * odd / 8); numbering the four seeds by place gives their centre id.
+# The place of a seed is n * odd / 8 rounded up; numbering the four seeds by place gives their centre id.
 TABLES["centres0"] = (
     ["points"],
     f"""
     select row_number() over (order by place) - 1 as id, zr, zf, zm
     from points
-    where place in (select (select count(*) from points) * odd // {2 * CLUSTERS}
+    where place in (select ((select count(*) from points) * odd + {2 * CLUSTERS - 1}) // {2 * CLUSTERS}
                     from (values (1), (3), (5), (7)) as odds(odd))""",
 )
 
@@ -674,7 +674,8 @@ TEXTS: dict[str, tuple[list[str], str]] = {
     "skew_report": (
         ["spend"],
         f"""
-        select cast(top_pct as bigint) as top_pct, count(*) as customers, {big('sum(orders)')} as orders, {REVENUE} as revenue,
+        select cast(top_pct as bigint) as top_pct, count(*) as customers, {big('sum(orders)')} as orders,
+               {REVENUE} as revenue,
                {pct('sum(orders)', '(select sum(orders) from spend)')} as orders_pct,
                {pct('sum(cents)', '(select sum(cents) from spend)')} as revenue_pct
         from spend join (values {', '.join(f'({top})' for top in TOP_SHARES)}) as tops(top_pct)

@@ -157,7 +157,6 @@ class Mart:
     def rfm_scores(self) -> DataFrame:
         """``rfm`` with the three quintile scores and their sum."""
         placed = with_position(self.rfm, [F.col("frequency"), F.col("customer_id")], self.store, "by-frequency")
-        customers = placed.count()
 
         amounts = [F.col(name).cast("decimal(22,2)").alias(name) for name in ("recency", "monetary")]
         long = placed.select(*amounts).unpivot([], ["recency", "monetary"], "metric", "amount")
@@ -170,11 +169,13 @@ class Mart:
         scored = placed.withColumns(
             {
                 "R_score": F.lit(len(recency) + 2) - score_above(F.col("recency"), recency),
-                "F_score": score_of_position(F.col("position"), customers),
+                "F_score": score_of_position(F.col("position"), F.col("row_count")),
                 "M_score": score_above(F.col("monetary"), monetary),
             }
         )
-        return scored.withColumn("RFM_score", F.col("R_score") + F.col("F_score") + F.col("M_score")).drop("position")
+        return scored.withColumn("RFM_score", F.col("R_score") + F.col("F_score") + F.col("M_score")).drop(
+            "position", "row_count"
+        )
 
     @cached_property
     def scaled(self) -> DataFrame:
@@ -189,11 +190,14 @@ class Mart:
     @cached_property
     def lloyd_centres(self) -> list[tuple[float, ...]]:
         """Four centres, started at evenly spaced places in the order of spend."""
-        customers = self.scaled.count()
-        if customers < CLUSTERS:
-            raise ValueError(f"{CLUSTERS} clusters need at least as many customers, got {customers}")
-        ranks = [max(1, customers * odd // (2 * CLUSTERS)) for odd in range(1, 2 * CLUSTERS, 2)]
-        seeds = self.scaled.where(F.col("position").isin(ranks)).orderBy("position").select(*Z).collect()
+        halves = 2 * CLUSTERS
+        # rounded up, so that as few customers as clusters still give distinct places
+        places = [
+            F.call_function("div", F.col("row_count") * odd + (halves - 1), F.lit(halves)) for odd in range(1, halves, 2)
+        ]
+        seeds = self.scaled.where(F.col("position").isin(places)).orderBy("position").select(*Z).collect()
+        if len(seeds) < CLUSTERS:
+            raise ValueError(f"too few customers for {CLUSTERS} clusters")
         return clustering.lloyd_centres(self.scaled, Z, seeds, LLOYD_STEPS)
 
     @cached_property
@@ -214,7 +218,7 @@ class Mart:
             assigned = self.kmeans_clusters
         else:
             assigned = self.scaled.withColumn("cluster", clustering.nearest(Z, self.lloyd_centres))
-        labelled = clustering.label_clusters(assigned.drop("position"), schemas.TIERS, CLUSTERS)
+        labelled = clustering.label_clusters(assigned.drop("position", "row_count"), schemas.TIERS, CLUSTERS)
         return self.store.save(labelled.join(self.profiles, "customer_id"), "segmented")
 
     @property
