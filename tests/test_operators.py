@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from tillstone.functions.numbers import half_up, sum_cents
 from tillstone.functions.text import hash_bucket, padded_id, weighted_label
-from tillstone.operators import clustering
+from tillstone.operators import clustering, sizing
 from tillstone.operators.histogram import equal_width
-from tillstone.operators.joins import fits_broadcast, spread_join
+from tillstone.operators.joins import spread_join
 from tillstone.operators.ordering import tile, top_ranked, with_position
 from tillstone.operators.quantiles import exact_quantiles
 from tillstone.operators.sampling import draw_share
 from tillstone.operators.scoring import EDGES, RepeatedEdgesError, check_edges, score_above, score_of_position
+from tillstone.operators.sizing import fits_broadcast
 from tillstone.operators.storage import WorkTables, shared_folder
 
 
@@ -293,3 +294,21 @@ def test_shared_folder(spark):
     assert shared_folder(local) == shared_folder(local)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(BareSession("yarn"))
+
+
+def test_shuffles_grow_with_the_input(spark, settings, monkeypatch):
+    settings(**{sizing.INITIAL.replace(".", "__"): "5"})
+    scan = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    monkeypatch.setattr(sizing, "BYTES_PER_PARTITION", sizing.planned_bytes(scan) // 37)
+    sizing.size_shuffles(scan)
+    assert sizing.shuffle_partitions(spark) == 5  # the choice of the user
+    spark.conf.unset(sizing.INITIAL)
+    sizing.size_shuffles(scan)
+    assert sizing.shuffle_partitions(spark) == 37
+    assert "hashpartitioning(l_orderkey" in (
+        text := scan.groupBy("l_orderkey").count()._jdf.queryExecution().toString()
+    ) and ", 37)" in text
+    spark.conf.unset(sizing.INITIAL)
+    monkeypatch.setattr(sizing, "BYTES_PER_PARTITION", 1 << 40)
+    sizing.size_shuffles(scan)
+    assert spark.conf.get(sizing.INITIAL, None) is None

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def fits_broadcast(table: DataFrame) -> bool:
-    """Whether Catalyst's size estimate lets it broadcast the table on its own."""
-    session = table.sparkSession
-    limit = session._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= int(limit)
+from tillstone.operators.sizing import fits_broadcast, shuffle_partitions
 
 
 def frequent_keys(table: DataFrame, key: str, share: float) -> list:
@@ -44,7 +38,7 @@ def spread_join(
     frequent = frequent_keys(big if keys_from is None else keys_from, key, share)
     if not frequent:
         return big.join(other, key, how)
-    hands = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hands = shuffle_partitions(big.sparkSession)
     is_frequent = F.coalesce(F.col(key).isin(frequent), F.lit(False))
     hand = F.when(is_frequent, F.pmod(F.col(row_number), F.lit(hands)).cast("int")).otherwise(0)
     every_hand = F.when(is_frequent, F.sequence(F.lit(0), F.lit(hands - 1))).otherwise(F.array(F.lit(0)))

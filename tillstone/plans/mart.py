@@ -14,10 +14,11 @@ from tillstone.operators import clustering
 from tillstone.operators.ordering import with_position
 from tillstone.operators.quantiles import exact_quantiles
 from tillstone.operators.scoring import EDGES, check_edges, score_above, score_of_position
+from tillstone.operators.sizing import size_shuffles
 from tillstone.operators.storage import WorkTables
 from tillstone.plans.measures import totals_by
 from tillstone.sources.files import read_csv
-from tillstone.sources.star import star_customers, star_transactions
+from tillstone.sources.star import star_customers, star_table, star_transactions
 
 FEATURES = {"recency": "zr", "frequency": "zf", "monetary": "zm"}
 Z = list(FEATURES.values())
@@ -61,18 +62,17 @@ class Mart:
     @classmethod
     def from_star(cls, spark: SparkSession, folder: str, **options) -> Mart:
         options.setdefault("age_bands", schemas.MARKET_SEGMENTS)
+        size_shuffles(star_table(spark, folder, "lineitem"))
         return cls(spark, star_customers(spark, folder), star_transactions(spark, folder), **options)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str, **options) -> Mart:
         """``customers.csv`` and ``transactions.csv`` with the columns of ``tillstone.schemas``."""
         folder = folder.rstrip("/")
-        return cls(
-            spark,
-            read_csv(spark, f"{folder}/customers.csv", schemas.CUSTOMERS),
-            read_csv(spark, f"{folder}/transactions.csv", schemas.TRANSACTIONS),
-            **options,
-        )
+        customers = read_csv(spark, f"{folder}/customers.csv", schemas.CUSTOMERS)
+        transactions = read_csv(spark, f"{folder}/transactions.csv", schemas.TRANSACTIONS)
+        size_shuffles(transactions)
+        return cls(spark, customers, transactions, **options)
 
     @cached_property
     def customers(self) -> DataFrame:

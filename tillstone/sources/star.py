@@ -16,14 +16,14 @@ from tillstone.schemas import MONEY
 from tillstone.sources.files import read_parquet
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def star_customers(spark: SparkSession, folder: str) -> DataFrame:
-    customer = _table(spark, folder, "customer")
-    nation = _table(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    region = _table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    customer = star_table(spark, folder, "customer")
+    nation = star_table(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    region = star_table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     return (
         customer.join(nation.join(region, "n_regionkey"), "c_nationkey")
         .select(
@@ -35,8 +35,14 @@ def star_customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _over_all_cores(table: DataFrame, row_number: str) -> DataFrame:
+    """Redistribute a table that comes in fewer splits than there are cores; larger ones stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, row_number) if table.rdd.getNumPartitions() < cores else table
+
+
 def star_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _table(spark, folder, "lineitem").select(
+    lines = star_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("orderkey"),
         F.col("l_partkey").alias("partkey"),
         "l_suppkey",
@@ -48,11 +54,11 @@ def star_transactions(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate",
         F.monotonically_increasing_id().alias("scan_row"),
     )
-    orders = _table(spark, folder, "orders").select(
+    orders = star_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("orderkey"), "o_custkey", "o_orderdate", "o_orderpriority"
     )
-    parts = _table(spark, folder, "part").select(F.col("p_partkey").alias("partkey"), "p_brand")
-    ordered = spread_join(lines, orders, "orderkey", "scan_row")
+    parts = star_table(spark, folder, "part").select(F.col("p_partkey").alias("partkey"), "p_brand")
+    ordered = spread_join(_over_all_cores(lines, "scan_row"), orders, "orderkey", "scan_row", keys_from=lines)
     sold = spread_join(ordered, parts, "partkey", "scan_row", keys_from=lines)
 
     price = F.col("l_extendedprice").cast(MONEY)
