@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillstone.llm import leaks, license_scan, packing, quality, repeats, url_filter
 from tillstone.llm.near_dedup import near_duplicates
 from tillstone.llm.oracle import ORACLE_SQL  # noqa: F401
 from tillstone.operators.storage import WorkTables
@@ -24,6 +25,56 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset, see ``packing``."""
+    return packing.packed(table(spark, folder, "documents"), WorkTables(spark))
+
+
+def op3_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows found in every document, see ``leaks``."""
+    found = leaks.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), WorkTables(spark))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and labels of every document, see ``license_scan``."""
+    return license_scan.license_scan(table(spark, folder, "documents"), WorkTables(spark))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document, see ``quality``."""
+    held, rows = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words"]
+    return rows.select(F.col(held["doc_id"]).alias("doc_id"), *names)
+
+
+#: The rules of ``op8_urls``.
+URL_RULES = [
+    url_filter.Rule("block", "net"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's url, see ``url_filter``."""
+    return url_filter.judged(table(spark, folder, "pages"), URL_RULES)
+
+
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated passages, and where these stay, see ``repeats``."""
+    return repeats.repeats_report(table(spark, folder, "documents"), WorkTables(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_near_dedup,)
+    query.__name__: query
+    for query in (op1_near_dedup, op2_packing, op3_leaks, op4_licenses, op7_quality, op8_urls, op9_repeats)
 }
