@@ -204,23 +204,37 @@ def linked_nodes(sketched: DataFrame, text: str, tables: WorkTables, options: Ne
         centres *= 4
 
 
-def near_duplicates(documents: DataFrame, tables: WorkTables, options: NearDedup = NearDedup()) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) of every document and the columns under which ``Held`` keeps it."""
+@dataclass(frozen=True)
+class Found:
+    """``rows``: every document (``held`` says under which names) with row, size and digest; ``groups``: slim results."""
+
+    held: Held
+    rows: DataFrame
+    groups: DataFrame
+
+
+def near_duplicates(documents: DataFrame, tables: WorkTables, options: NearDedup = NearDedup()) -> Found:
+    """``groups`` has (row, doc_id, n_shingles, label, component_id); rows of one label form a component."""
     held = Held(documents)
     sketched = tables.save(sketches(held, options), "sketches")
     labels = linked_nodes(sketched, held["text"], tables, options)
-    classes = (
-        sketched.filter("size > 0")
-        .groupBy("digest")
-        .agg(F.min("row").alias("node"), F.min(held["doc_id"]).alias("least"))
-    )
+    slim = sketched.select("row", F.col(held["doc_id"]).alias("doc_id"), "digest", F.col("size").alias("n_shingles"))
+    classes = slim.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     if labels is None:
-        classes = classes.select("digest", F.col("least").alias("component_id"))
+        classes = classes.select("digest", F.col("node").alias("label"), F.col("least").alias("component_id"))
     else:
         classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-        classes = classes.join(smallest, "label").select("digest", "component_id")
-    rows = sketched.drop("bands").withColumnRenamed("size", "n_shingles")
-    empty = rows.filter("n_shingles = 0").withColumn("component_id", F.col(held["doc_id"]))
-    full = rows.filter("n_shingles > 0").join(tables.save(classes, "classes"), "digest")
-    return full.select(empty.columns).union(empty).drop("digest")
+        classes = classes.join(smallest, "label").select("digest", "label", "component_id")
+    full = slim.filter("n_shingles > 0").join(tables.save(classes, "classes"), "digest").drop("digest")
+    empty = slim.filter("n_shingles = 0").drop("digest")
+    empty = empty.withColumn("label", F.col("row")).withColumn("component_id", F.col("doc_id"))
+    return Found(held, sketched.drop("bands"), full.unionByName(empty))
+
+
+def deduplicated(documents: DataFrame, tables: WorkTables, options: NearDedup = NearDedup()) -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest doc_id, then of the first row."""
+    found = near_duplicates(documents, tables, options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    chosen = found.groups.groupBy("label").agg(F.min_by("row", order).alias("row")).select("row")
+    return found.held.restored(found.rows.join(tables.save(chosen, "chosen"), "row", "left_semi"))

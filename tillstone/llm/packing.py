@@ -229,7 +229,7 @@ def placed(pieces: DataFrame, plan: Plan, options: Packing) -> tuple[DataFrame,
     lengths = literal(spark, rows, f"length int, used bigint, stream bigint, slots {kind}")
     joined = pieces.join(F.broadcast(lengths), "length")
     taken = joined.filter("number < used").withColumn(
-        "slot", F.filter("slots", lambda s: (s["low"] <= F.col("number")) & (F.col("number") < s["high"]))[0]
+        "slot", F.get(F.filter("slots", lambda s: (s["low"] <= F.col("number")) & (F.col("number") < s["high"])), F.lit(0))
     )
     taken = taken.withColumn("sequence_id", F.expr("slot.sequence + number - slot.low")).withColumn("offset", F.col("slot.offset"))
     rest = joined.filter("number >= used").withColumn("at", F.expr("stream + (number - used) * length"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstone.llm import leaks, license_scan, packing, quality, repeats, url_filter
+from tillstone.llm import chats, language, leaks, license_scan, packing, pages, quality, repeats, url_filter
 from tillstone.llm.near_dedup import near_duplicates
 from tillstone.llm.oracle import ORACLE_SQL  # noqa: F401
 from tillstone.operators.storage import WorkTables
@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Component and verdict of every document, see ``near_dedup``."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    found = near_duplicates(documents, WorkTables(spark)).withColumnRenamed("c0", "doc_id")
+    found = near_duplicates(documents, WorkTables(spark)).groups
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
@@ -48,6 +48,16 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(table(spark, folder, "documents"), WorkTables(spark))
 
 
+def op5_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message as canonical JSON with its tool calls linked and checked, see ``chats``."""
+    return chats.formatted(table(spark, folder, "conversations"), WorkTables(spark))
+
+
+def op6_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, see ``pages``."""
+    return pages.extracted(table(spark, folder, "pages"), WorkTables(spark))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document, see ``quality``."""
     held, rows = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
@@ -74,7 +84,24 @@ def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeats_report(table(spark, folder, "documents"), WorkTables(spark))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, see ``language``."""
+    documents = table(spark, folder, "documents")
+    return language.predicted(documents, language.learned(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_near_dedup, op2_packing, op3_leaks, op4_licenses, op7_quality, op8_urls, op9_repeats)
+    for query in (
+        op1_near_dedup,
+        op2_packing,
+        op3_leaks,
+        op4_licenses,
+        op5_chats,
+        op6_pages,
+        op7_quality,
+        op8_urls,
+        op9_repeats,
+        op10_language,
+    )
 }
