@@ -312,3 +312,75 @@ def test_shuffles_grow_with_the_input(spark, settings, monkeypatch):
     monkeypatch.setattr(sizing, "BYTES_PER_PARTITION", 1 << 40)
     sizing.size_shuffles(scan)
     assert spark.conf.get(sizing.INITIAL, None) is None
+
+
+def test_a_larger_input_raises_the_number_set_for_a_smaller_one(spark, settings, monkeypatch):
+    settings(**{sizing.INITIAL.replace(".", "__"): "5"})
+    spark.conf.unset(sizing.INITIAL)
+    scan = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    for partitions in (10, 103, 50):
+        monkeypatch.setattr(sizing, "BYTES_PER_PARTITION", sizing.planned_bytes(scan) // partitions)
+        sizing.size_shuffles(scan)
+        assert sizing.shuffle_partitions(spark) == max(103, partitions) if partitions != 10 else 10
+    spark.conf.unset(sizing.INITIAL)
+
+
+def unequal(spark, settings, partitions):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__enabled="false",
+        spark__sql__shuffle__partitions=str(partitions),
+    )
+
+
+def test_a_key_just_above_one_task_is_split(spark, settings):
+    unequal(spark, settings, 200)
+    # one key holds nine tasks' rows and still less than a twentieth of all
+    big = spark.range(40_000).select(
+        F.when(F.col("id") % 22 == 0, 7).otherwise(F.col("id") % 9_000 + 10).alias("v"), F.col("id").alias("row")
+    )
+    other = spark.range(10_000).select(F.col("id").alias("v"))
+    joined = spread_join(big, other, "v", "row")
+    loads = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row["count"] for row in loads) == 40_000
+    assert max(row["count"] for row in loads) < 2.2 * 200
+
+
+def test_rows_without_a_key_are_dealt_out(spark, settings):
+    unequal(spark, settings, 16)
+    big = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"), F.col("id").alias("row"))
+    other = spark.range(40_000).select(F.col("id").alias("v"), F.lit(1).alias("w"))
+    joined = spread_join(big, other, "v", "row", "left")
+    loads = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row["count"] for row in loads) == 40_000
+    assert max(row["count"] for row in loads) < 1.5 * 40_000 / 16
+
+
+def test_rows_without_a_value_share_the_last_rank(spark):
+    from tillstone.operators.ordering import top_ranked
+
+    rows = [(name, None if value is None else Decimal(value)) for name, value in zip("abcdefgh", [5, 9, None, 9, 1, None, 3, 2], strict=True)]
+    table = spark.createDataFrame(rows, "name string, v decimal(12,2)")
+    got = [(r["name"], r["rank"], float(r["running_total"])) for r in top_ranked(table, "v", "name", 20).orderBy("rank", "name").collect()]
+    assert got == [
+        ("b", 1, 18), ("d", 1, 18), ("a", 3, 23), ("g", 4, 26), ("h", 5, 28), ("e", 6, 29), ("c", 7, 29), ("f", 7, 29),
+    ]
+    assert top_ranked(table, "v", "name", 6).count() == 6
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    from tillstone import schemas
+    from tillstone.sources.files import read_csv
+
+    def written(name, header, row):
+        (tmp_path / name).write_text(f"{header}\n{row}\n")
+        return str(tmp_path / name)
+
+    swapped = written("swapped.csv", "customer_id,city,age_group,gender,signup_date", "C1,Pune,18-25,Male,2024-01-02")
+    row = read_csv(spark, swapped, schemas.CUSTOMERS).first()
+    assert (row["city"], row["gender"], row["age_group"]) == ("Pune", "Male", "18-25")
+    missing = written("missing.csv", "customer_id,city,age_group,gender", "C1,Pune,18-25,Male")
+    extra = written("extra.csv", "customer_id,city,age_group,gender,signup_date,note", "C1,Pune,18-25,Male,2024-01-02,x")
+    for path, problem in ((missing, "signup_date"), (extra, "note")):
+        with pytest.raises(ValueError, match=problem):
+            read_csv(spark, path, schemas.CUSTOMERS)

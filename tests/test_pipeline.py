@@ -9,6 +9,7 @@ from shop import SALES, rows, shop
 from tillstone.plans.mart import Mart
 from tillstone.plans.pipeline import BrokenKeysError, publish, run
 from tillstone.plans.views import register_views, run_sql
+from tillstone.schemas import TRANSACTIONS
 from tillstone.sources.files import preview_csv, write_bundle
 
 
@@ -29,7 +30,7 @@ def test_csv_round_trip(spark, csv_folder):
 
 def test_bad_csv_value_fails(spark, tmp_path):
     (tmp_path / "customers.csv").write_text("customer_id,gender,age_group,city,signup_date\nC1,Male,18-25,Pune,soon\n")
-    (tmp_path / "transactions.csv").write_text("transaction_id\n")
+    (tmp_path / "transactions.csv").write_text(",".join(TRANSACTIONS.names) + "\n")
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         Mart.from_csv(spark, str(tmp_path)).customers
 
@@ -38,7 +39,7 @@ def test_bad_csv_value_fails(spark, tmp_path):
 def test_run_writes_every_report(spark, csv_folder, tmp_path, fmt):
     mart = Mart.from_csv(spark, csv_folder, clustering_method={"csv": "lloyd", "parquet": "kmeans"}[fmt])
     paths = run(mart, str(tmp_path), fmt)
-    assert len(paths) == 11 + 7 + 9 + 8 + 4 + 11 + 2
+    assert len(paths) == 11 + 9 + 9 + 8 + 4 + 4 + 11 + 2
     assert all(glob.glob(f"{path}/part-*") for path in paths.values())
     read = spark.read.parquet if fmt == "parquet" else lambda path: spark.read.csv(path, header=True)
     assert read(paths["Transactions"]).count() == len(SALES) - 1

@@ -1,13 +1,17 @@
 """Reports over a hand-made shop: empty groups, unknown customers, gaps and ties."""
 
 import datetime
+import glob
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from shop import PEOPLE, SALES, rows, shop
 
 from tillstone.operators.scoring import RepeatedEdgesError
 from tillstone.plans import boards, checks, eda, rfm, sales, views
+from tillstone.plans import mart as mart_module
+from tillstone.plans.mart import MissingDatesError
 from tillstone.schemas import TIERS
 
 
@@ -198,3 +202,39 @@ def test_skew_report(mart):
 def test_sample_and_arms(mart):
     assert checks.sample_customers(mart).count() == 1
     assert checks.weighted_bucket(mart).count() == 9
+
+
+def test_a_customer_without_a_date_stops_the_scores(spark):
+    for method in ("lloyd", "kmeans"):
+        undated = shop(spark, sales=[*SALES, ("C9", None, "Books", "1.00", "Card", 0)], clustering_method=method)
+        with pytest.raises(MissingDatesError, match="C9"):
+            rfm.rfm_scores(undated)
+
+
+def test_a_buyer_without_spend_is_ranked_last(spark):
+    people = [(f"C{i}", "Male", "18-25", "Pune") for i in range(8)]
+    day = datetime.date(2024, 1, 1)
+    bought = [(f"C{i}", day, "Books", f"{10 + i}.00", "UPI", 0) for i in range(7)]
+    mart = shop(spark, people, bought)
+    unpaid = mart._transactions.limit(1).select(
+        *[F.lit("C7").alias(c) if c == "customer_id" else F.lit(None).cast("decimal(12,2)").alias(c) if c == "final_amount" else c for c in mart._transactions.columns]
+    )
+    mart._transactions = mart._transactions.union(unpaid)
+    got = rows(sales.top20_customers(mart))
+    assert len(got) == 8
+    assert [row[0] for row in got][-1] == "C7" and got[-1][5] == 8
+
+
+def test_more_than_a_thousand_discounts(spark):
+    mart = shop(spark)
+    wide = mart._transactions.limit(1).select("*", F.explode(F.sequence(F.lit(0), F.lit(1000))).alias("_d"))
+    mart._transactions = wide.withColumn("discount_pct", F.col("_d").cast("int")).drop("_d")
+    assert len(eda.category_discount_pivot(mart).columns) == 1002
+    assert eda.category_discount_means(mart).count() == 1001
+
+
+def test_forgotten_marts_leave_nothing(spark):
+    kept = mart_module.open_mart(spark, "/root/testdata/sf0.001")
+    assert kept.profiles.count() > 0
+    mart_module.forget_marts()
+    assert not glob.glob(kept.store.folder)

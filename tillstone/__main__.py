@@ -17,6 +17,7 @@ if __name__ == "__main__":
     parser.add_argument("--format", choices=["parquet", "csv"], default="parquet")
     parser.add_argument("--clustering", choices=["kmeans", "lloyd"], default="kmeans")
     parser.add_argument("--duplicate-edges", choices=["error", "merge"], default="error")
+    parser.add_argument("--no-strict", action="store_true", help="go on if keys are broken")
     options = parser.parse_args()
     session = SparkSession.builder.appName("tillstone").getOrCreate()
     build = {"csv": Mart.from_csv, "star": Mart.from_star}[options.source]
@@ -26,7 +27,9 @@ if __name__ == "__main__":
         clustering_method=options.clustering,
         on_duplicate_edges=options.duplicate_edges,
     )
-    for name, path in run(mart, options.out, options.format).items():
-        print(f"{name}\t{path}")
-    mart.close()
-    session.stop()
+    try:
+        for name, path in run(mart, options.out, options.format, strict=not options.no_strict).items():
+            print(f"{name}\t{path}")
+    finally:
+        mart.close()
+        session.stop()

@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from tillstone.operators.sizing import fits_broadcast, shuffle_partitions
 
+HANDS = 4
 
-def frequent_keys(table: DataFrame, key: str, share: float) -> list:
-    """Every key that holds more than ``share`` of the rows (and at most ``1/share`` others)."""
-    keys = table.select(key).stat.freqItems([key], share).first()[0]
-    return [value for value in keys if value is not None]
+
+def frequent_keys(table: DataFrame, key: str, partitions: int) -> DataFrame | None:
+    """(key, hands) of every key that holds more than its share of ``partitions`` tasks, at most as many keys.
+
+    ``hands`` is ``HANDS`` times the number of tasks that its rows fill, so that hands that meet in a task by chance
+    stay small.
+    """
+    share = max(1 / partitions, 1e-4)
+    keys = [value for value in table.select(key).stat.freqItems([key], share).first()[0] if value is not None]
+    if not keys:
+        return None
+    rows = table.count()
+    held = table.where(F.col(key).isin(keys)).groupBy(key).count().where(F.col("count") > rows * share)
+    hands = F.least(F.lit(HANDS * partitions), F.ceil(HANDS * F.col("count") * partitions / F.lit(rows)))
+    found = [(row[0], row[1]) for row in held.select(key, hands.cast("int")).collect()]
+    return table.sparkSession.createDataFrame(found, f"{key} {table.schema[key].dataType.simpleString()}, _hands int") if found else None
 
 
 def spread_join(
@@ -20,28 +33,33 @@ def spread_join(
     key: str,
     row_number: str,
     how: str = "inner",
-    share: float = 0.01,
     keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``other`` on ``key``, splitting the rows of frequent keys over many tasks.
 
-    A side that fits the broadcast limit goes to Catalyst unchanged. Otherwise the rows of a frequent
-    key are dealt out by ``row_number`` (a column fixed when the file was scanned, so that a rerun task
-    deals them the same way) and the matching rows of ``other`` are repeated once per hand. At most
-    ``1/share`` keys are repeated, so the copies stay few however large the tables are. Frequent keys are
-    looked for in ``keys_from``, the scan behind ``big``, if ``big`` is itself a join.
+    A side that fits the broadcast limit goes to Catalyst unchanged. Otherwise the rows of a key that would
+    fill more than one shuffle partition are dealt out by ``row_number`` (a column fixed when the file was
+    scanned, so that a rerun task deals them the same way) over as many hands as it has shares, and the matching
+    rows of ``other`` are repeated once per hand. The shares add up to one, so the copies stay few however large
+    the tables are. Rows of a left join without a key match nothing and are dealt over all tasks. Frequent keys
+    are looked for in ``keys_from``, the scan behind ``big``, if ``big`` is itself a join; at most 10,000 keys,
+    those above a ten-thousandth of the rows, are told apart there.
     """
     if how not in ("inner", "left"):
         raise ValueError("spread_join supports inner and left joins")
     if fits_broadcast(other):
         return big.join(other, key, how)
-    frequent = frequent_keys(big if keys_from is None else keys_from, key, share)
-    if not frequent:
-        return big.join(other, key, how)
-    hands = shuffle_partitions(big.sparkSession)
-    is_frequent = F.coalesce(F.col(key).isin(frequent), F.lit(False))
-    hand = F.when(is_frequent, F.pmod(F.col(row_number), F.lit(hands)).cast("int")).otherwise(0)
-    every_hand = F.when(is_frequent, F.sequence(F.lit(0), F.lit(hands - 1))).otherwise(F.array(F.lit(0)))
-    dealt = big.withColumn("_hand", hand)
-    copies = other.withColumn("_hand", F.explode(every_hand))
+    partitions = shuffle_partitions(big.sparkSession)
+    frequent = frequent_keys(big if keys_from is None else keys_from, key, partitions)
+    turn = F.xxhash64(row_number)
+    if frequent is None:
+        hand, every_hand = F.lit(0), F.array(F.lit(0))
+    else:
+        # no more keys than partitions, and at most 10,000
+        big, other = (side.join(F.broadcast(frequent), key, "left") for side in (big, other))
+        hand = F.coalesce(F.pmod(turn, F.col("_hands")).cast("int"), F.lit(0))
+        every_hand = F.sequence(F.lit(0), F.coalesce("_hands", F.lit(1)) - 1)
+    hand = F.when(F.col(key).isNull(), F.pmod(turn, F.lit(16 * partitions)).cast("int")).otherwise(hand)
+    dealt = big.withColumn("_hand", hand).drop("_hands")
+    copies = other.withColumn("_hand", F.explode(every_hand)).drop("_hands")
     return dealt.join(copies, [key, "_hand"], how).drop("_hand")

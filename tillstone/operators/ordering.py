@@ -59,19 +59,23 @@ def top_ranked(table: DataFrame, value: str, tie: str, k: int) -> DataFrame:
     Rank and running total of a row depend only on rows with a value at least as large. So the value of
     row ``k`` is found first; the rows at or above it have at most ``k`` distinct values, and only those
     values (with their row counts) are ranked. Ties share rank and running total, and a value shared by
-    any number of rows stays one row.
+    any number of rows stays one row. Rows without a value share the last rank.
     """
-    least = table.select(value, tie).orderBy(F.desc_nulls_last(value), tie).limit(k).agg(F.min(value)).first()[0]
+    first = table.select(value, tie).orderBy(F.desc_nulls_last(value), tie).limit(k)
+    least, nulls = first.agg(F.min(value), F.count_if(F.col(value).isNull())).first()
     reached = table.where(F.col(value) >= F.lit(least)) if least is not None else table.where(F.lit(False))
-    so_far = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if nulls:
+        # all other rows come first; they are fewer than ``k``
+        reached = table
+    so_far = Window.orderBy(F.desc_nulls_last(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
         reached.groupBy(value)
         .agg(F.count("*").alias("_rows"))
         .select(
-            value,
+            F.col(value).alias("_value"),
             (F.sum("_rows").over(so_far) - F.col("_rows") + 1).alias("rank"),
             F.sum(F.col(value) * F.col("_rows").cast("decimal(16,0)")).over(so_far).alias("running_total"),
         )
     )
-    head = reached.orderBy(F.desc(value), tie).limit(k)
-    return head.join(F.broadcast(ranked), value)
+    head = reached.orderBy(F.desc_nulls_last(value), tie).limit(k)
+    return head.join(F.broadcast(ranked), F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BYTES_PER_PARTITION = 256 << 20
-MOST_PARTITIONS = 20_000
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
+#: Catalyst's estimate for a table whose size it cannot know is as large as a number can be.
+UNKNOWN = 1 << 60
+
+#: Numbers set here, by application: a larger input may raise them, a number set by the user stays.
+_set_here: dict[str, str] = {}
+
 
 def planned_bytes(table: DataFrame) -> int:
     """Catalyst's size estimate; for a scan the bytes of its files, scaled to the columns read."""
@@ -29,10 +34,15 @@ def size_shuffles(scan: DataFrame) -> None:
     """Let shuffles of a large input start with partitions of about ``BYTES_PER_PARTITION``.
 
     Only the starting number of adaptive execution is raised, and only above what the session asks for:
-    it still merges the partitions of small shuffles. A number set by the user is kept.
+    it still merges the partitions of small shuffles. A number set by the user is kept, one set here for a
+    smaller input is raised.
     """
-    spark = scan.sparkSession
-    wanted = min(MOST_PARTITIONS, planned_bytes(scan) // BYTES_PER_PARTITION)
+    spark, size = scan.sparkSession, planned_bytes(scan)
+    if size >= UNKNOWN:
+        return
+    wanted = size // BYTES_PER_PARTITION
     adaptive = spark.conf.get("spark.sql.adaptive.enabled") == "true"
-    if adaptive and spark.conf.get(INITIAL, None) is None and wanted > shuffle_partitions(spark):
+    application, now = spark.sparkContext.applicationId, spark.conf.get(INITIAL, None)
+    if adaptive and now in (None, _set_here.get(application)) and wanted > shuffle_partitions(spark):
+        _set_here[application] = str(wanted)
         spark.conf.set(INITIAL, str(wanted))

@@ -12,7 +12,7 @@ from tillstone.plans.eda import customer_attribute_totals
 from tillstone.plans.mart import Mart
 from tillstone.plans.measures import average_order, monthly_totals, return_rate, rolled_up, totals_by
 from tillstone.plans.rfm import segment_totals
-from tillstone.plans.sales import segment_category_matrix, segment_contribution
+from tillstone.plans.sales import segment_category_totals, segment_contribution
 from tillstone.plans.views import TIER_COLUMNS, high_value
 from tillstone.schemas import TIERS
 
@@ -145,6 +145,14 @@ def bi_raw_rfm(mart: Mart) -> DataFrame:
     )
 
 
+def bi_segment_by_category(mart: Mart) -> DataFrame:
+    """Rows (with or without an id) and revenue per segment and category."""
+    totals = segment_category_totals(mart)
+    return totals.select("segment", "category", F.col("rows").alias("orders"), money(F.col("revenue")).alias("revenue")).orderBy(
+        "segment", F.desc("revenue"), "category"
+    )
+
+
 # Table names of the BI bundle, in order.
 BUNDLE = {
     "Customers": bi_raw_customers,
@@ -156,7 +164,7 @@ BUNDLE = {
     "By_City": bi_by_city,
     "By_Age_Group": bi_by_age_group,
     "Monthly_Trend": bi_monthly_trend,
-    "Segment_x_Category": lambda mart: segment_category_matrix(mart).withColumnRenamed("total_revenue", "revenue"),
+    "Segment_x_Category": bi_segment_by_category,
     "High_Value_Customers": bi_high_value_customers,
 }
 

@@ -17,7 +17,6 @@ from tillstone.operators.quantiles import exact_quantiles
 from tillstone.plans.mart import Mart
 from tillstone.plans.measures import average_order, monthly_totals, return_rate, rolled_up, totals_by
 
-MAX_PIVOT_COLUMNS = 1_000
 
 
 def eda_summary(mart: Mart) -> DataFrame:
@@ -97,14 +96,20 @@ def order_value_center(mart: Mart) -> DataFrame:
     )
 
 
-def category_discount_pivot(mart: Mart) -> DataFrame:
-    """Mean order value per category and discount, one column ``d<percent>`` per discount in the data."""
+def category_discount_means(mart: Mart) -> DataFrame:
+    """Mean order value per category and discount, one row each."""
     cells = _labelled(mart.facts, "discount_pct").where(F.col("cents").isNotNull())
-    found = cells.select("discount_pct").distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()
-    if len(found) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} discounts: too wide for a pivot")
-    discounts = sorted(row["discount_pct"] for row in found)
     cells = totals_by(_labelled(cells, "category"), "category", "discount_pct")
-    means = cells.select("category", "discount_pct", average_order().alias("mean_value"))
+    return cells.select("category", "discount_pct", average_order().alias("mean_value"))
+
+
+def category_discount_pivot(mart: Mart) -> DataFrame:
+    """Mean order value per category and discount, one column ``d<percent>`` per discount in the data.
+
+    The number of columns follows the domain of discounts (whole percents), not the number of rows; for data
+    outside that domain ``category_discount_means`` has the same cells as rows.
+    """
+    means = mart.store.save(category_discount_means(mart), "category-discounts")
+    discounts = sorted(row["discount_pct"] for row in means.select("discount_pct").distinct().collect())
     wide = means.groupBy("category").pivot("discount_pct", discounts).agg(F.first("mean_value"))
     return wide.select("category", *[F.col(str(d)).alias(f"d{d}") for d in discounts]).orderBy("category")

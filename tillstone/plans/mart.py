@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,10 @@ LLOYD_STEPS = 6
 RESTARTS = 10
 
 
+class MissingDatesError(ValueError):
+    """A customer has transactions, but none with a date."""
+
+
 class Mart:
     """A snapshot of customers and transactions with the tables derived from them.
 
@@ -51,6 +55,7 @@ class Mart:
             raise ValueError("on_duplicate_edges is 'error' or 'merge'")
         if clustering_method not in ("kmeans", "lloyd"):
             raise ValueError("clustering_method is 'kmeans' or 'lloyd'")
+        size_shuffles(transactions)
         self.spark = spark
         self.store = WorkTables(spark)
         self.age_bands = list(age_bands)
@@ -71,7 +76,6 @@ class Mart:
         folder = folder.rstrip("/")
         customers = read_csv(spark, f"{folder}/customers.csv", schemas.CUSTOMERS)
         transactions = read_csv(spark, f"{folder}/transactions.csv", schemas.TRANSACTIONS)
-        size_shuffles(transactions)
         return cls(spark, customers, transactions, **options)
 
     @cached_property
@@ -145,6 +149,7 @@ class Mart:
     @property
     def rfm(self) -> DataFrame:
         """Recency, frequency and monetary value of every customer with transactions."""
+        self._check_dates()
         snapshot = self.customer_totals.agg(F.date_add(F.max("last_date"), 1)).scalar()
         return self.customer_totals.where(F.col("customer_id").isNotNull()).select(
             "customer_id",
@@ -153,6 +158,13 @@ class Mart:
             F.coalesce("revenue", F.lit(0)).cast("decimal(22,2)").alias("monetary"),
         )
 
+    @cache
+    def _check_dates(self) -> None:
+        """A customer without a date has no recency, and no score that would be right."""
+        undated = self.customer_totals.where("customer_id is not null and last_date is null").limit(3).collect()
+        if undated:
+            raise MissingDatesError(f"no transaction date for customers such as {[row['customer_id'] for row in undated]}")
+
     @cached_property
     def rfm_scores(self) -> DataFrame:
         """``rfm`` with the three quintile scores and their sum."""
@@ -245,4 +257,7 @@ def open_mart(spark: SparkSession, folder: str) -> Mart:
 
 
 def forget_marts() -> None:
-    _open.clear()
+    """Close all marts that ``open_mart`` keeps, with their work tables."""
+    while _open:
+        _, mart = _open.popitem()
+        mart.close()

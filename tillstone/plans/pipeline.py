@@ -49,8 +49,12 @@ SEGMENTS = [
     rfm.segment_revenue_share,
     rfm.segment_report,
     rfm.silhouette_by_cluster,
+    rfm.rfm_scaled,
+    rfm.kmeans_sweep,
 ]
 
+QUALITY = [checks.domain_check, checks.column_profile, checks.date_spine_revenue, checks.skew_report]
+
 SALES = [
     sales.top20_customers,
     sales.segment_contribution,
@@ -71,7 +75,7 @@ def run(mart: Mart, out: str, fmt: str = "parquet", strict: bool = True) -> dict
     if strict:
         check_keys(mart)
     paths: dict[str, str] = {}
-    groups = {"eda": EDA, "segments": SEGMENTS, "sales": SALES, "views": VIEWS, "dashboard": BOARD}
+    groups = {"eda": EDA, "segments": SEGMENTS, "sales": SALES, "views": VIEWS, "dashboard": BOARD, "quality": QUALITY}
     for folder, reports in groups.items():
         tables = {report.__name__: report(mart) for report in reports}
         paths |= write_bundle(tables, f"{out}/{folder}", fmt)

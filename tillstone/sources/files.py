@@ -13,9 +13,16 @@ from pyspark.sql import types as T
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and a declared schema, so no pass is spent on inferring types.
 
+    Columns are taken by their names in the header, whatever their order; a missing or an unknown one is an error.
     A value that does not fit its type fails the read instead of turning into a null.
     """
-    return spark.read.csv(path, schema=schema, header=True, dateFormat="yyyy-MM-dd", mode="FAILFAST")
+    header = [name.strip() for name in spark.read.csv(path, header=True).columns]
+    if sorted(header) != sorted(schema.names):
+        missing, unknown = sorted(set(schema.names) - set(header)), sorted(set(header) - set(schema.names))
+        raise ValueError(f"{path}: missing columns {missing}, unknown or repeated columns {unknown}")
+    in_file = T.StructType([schema[name] for name in header])
+    table = spark.read.csv(path, schema=in_file, header=True, dateFormat="yyyy-MM-dd", mode="FAILFAST")
+    return table.select(*schema.names)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -55,8 +62,12 @@ def write_bundle(
 
 
 def save_tables(tables: Mapping[str, DataFrame], database: str) -> None:
-    """(Re)create catalog tables in a database, in the order given (parents before children)."""
+    """(Re)create catalog tables in a database, in the order given (parents before children).
+
+    A table is written under another name first, so that a failed write leaves the old one.
+    """
     for name, table in tables.items():
-        qualified = f"{database}.{name}"
+        qualified, fresh = f"{database}.{name}", f"{database}.{name}_fresh"
+        table.write.format("parquet").mode("overwrite").saveAsTable(fresh)
         table.sparkSession.sql(f"drop table if exists {qualified}")
-        table.write.format("parquet").saveAsTable(qualified)
+        table.sparkSession.sql(f"alter table {fresh} rename to {qualified}")
