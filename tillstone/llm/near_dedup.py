@@ -3,7 +3,8 @@
 Documents are linked if ``100 * |A & B| >= 75 * |A | B|`` for their sets of distinct word shingles. Every signature
 coordinate comes from two permutations: one deals the shingles out over a circle of positions, the other ranks the
 positions, and coordinate ``k`` is the least rank met when the ranks are turned by ``k`` places. Bands of coordinates
-propose pairs; every link is confirmed on the full sets.
+propose pairs; those whose signatures differ too much for the wanted similarity (by six standard deviations of one bit per
+coordinate) go no further, and every link is confirmed on the full sets.
 
 Equal texts (equal word sequences) form one class and take part once. Within a band's bucket no list of all pairs is
 made: classes are compared with a few centres, links join classes to components, and only classes of different
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.llm.arrow import Held, WordHashes, first_row_number, lists_of, mixed, steps, texts_of, window_hashes
@@ -36,7 +37,7 @@ from tillstone.operators.storage import WorkTables
 class NearDedup:
     """Parameters. With 60 bands of 6 coordinates a pair of similarity 0.75 is missed with probability 8e-6.
 
-    The circle must have at most 2**16 positions: ranks are 16-bit numbers.
+    The circle must have at most 2**16 positions (ranks are 16-bit numbers) and at least as many as there are coordinates.
     """
 
     shingle_words: int = 5
@@ -87,21 +88,37 @@ def band_keys(least: np.ndarray, options: NearDedup) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bits_of(least: np.ndarray) -> bytes:
+    """One bit of every coordinate: of two sets of similarity s, a share (1 + s) / 2 of the bits agrees."""
+    scrambled = least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.packbits((scrambled >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
+
+
+def far_apart(options: NearDedup) -> int:
+    """More different bits than this mean, beyond six standard deviations, a similarity below the wanted one."""
+    differs = (1 - options.percent / 100) / 2
+    spread = (options.coordinates * differs * (1 - differs)) ** 0.5
+    return int(options.coordinates * differs + 6 * spread)
+
+
 def _sketch(options: NearDedup, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, turned, row = WordHashes(), options.ranks(), first_row_number()
         for batch in steps(batches):
-            digests, sizes, bands = [], [], []
+            digests, sizes, bands, bits = [], [], [], []
             for words in map(words_of, texts_of(batch, text)):
                 found = shingles(hashes.of(words), options.shingle_words)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(found))
-                bands.append(band_keys(signature(found, turned, options), options) if words else found.view(np.int64))
+                least = signature(found, turned, options) if words else None
+                bands.append(band_keys(least, options) if words else found.view(np.int64))
+                bits.append(bits_of(least) if words else None)
             made = {
                 "row": pa.array(range(row, row + batch.num_rows), pa.int64()),
                 "digest": pa.array(digests, pa.binary()),
                 "size": pa.array(sizes, pa.int64()),
                 "bands": lists_of(bands, pa.int64()),
+                "bits": pa.array(bits, pa.binary()),
             }
             yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
             row += batch.num_rows
@@ -110,8 +127,8 @@ def _sketch(options: NearDedup, text: str):
 
 
 def sketches(held: Held, options: NearDedup) -> DataFrame:
-    """Every row with a number, the digest of its word sequence, the size of its shingle set and its band keys."""
-    schema = held.schema("row:bigint,digest:binary,size:bigint,bands:array<bigint>")
+    """Every row with a number, the digest of its word sequence, the size of its shingle set, band keys and bits."""
+    schema = held.schema("row:bigint,digest:binary,size:bigint,bands:array<bigint>,bits:binary")
     return held.table.mapInArrow(_sketch(options, held["text"]), schema=schema)
 
 
@@ -149,10 +166,18 @@ def verified(pairs: DataFrame, sets: DataFrame, options: NearDedup) -> DataFrame
     return both.mapInArrow(_verify(options.percent), schema="a bigint, b bigint")
 
 
+def words_of_bits(options: NearDedup) -> list[Column]:
+    """The bits as 64-bit integers ``bits0``, ``bits1``, ...; the last one is filled up with zeros."""
+    count = -(-options.coordinates // 64)
+    padded = F.rpad(F.hex("bits"), 16 * count, "0")
+    parts = [F.conv(F.substring(padded, 1 + 16 * at, 16), 16, -10).cast("bigint") for at in range(count)]
+    return [part.alias(f"bits{at}") for at, part in enumerate(parts)]
+
+
 def _turn(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare in this turn, and what is left of the buckets after it.
 
-    ``members`` has (key, node, size, label) of buckets. In a bucket with different labels the nodes of least hash
+    ``members`` has (key, node, size, label, bits0, ...) of buckets. In a bucket with different labels the nodes of least hash
     become centres, about ``centres`` of them and at least one. A centre is compared with all nodes of other labels and
     then leaves its bucket, so that every pair of different labels has its turn.
     """
@@ -165,10 +190,12 @@ def _turn(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
         .select("key", "first", "last")
     )
     dealt = members.join(buckets, "key").withColumn("centre", F.expr("place = first or place < last"))
-    left = dealt.filter("centre").selectExpr("key", "node a", "size a_size", "label a_label", "place a_place")
-    right = dealt.selectExpr("key", "node b", "size b_size", "label b_label", "place b_place", "centre")
+    bits = [name for name in members.columns if name.startswith("bits")]
+    left = dealt.filter("centre").selectExpr("key", "node a", "size a_size", "label a_label", "place a_place", *(f"{b} a_{b}" for b in bits))
+    right = dealt.selectExpr("key", "node b", "size b_size", "label b_label", "place b_place", "centre", *bits)
     pairs = left.join(right, "key").filter("a_label != b_label and (not centre or a_place < b_place)")
-    return pairs, dealt.filter("not centre").select("key", "node", "size")
+    differing = " + ".join(f"bit_count({b} ^ a_{b})" for b in bits)
+    return pairs.withColumn("differing", F.expr(differing)), dealt.filter("not centre").select("key", "node", "size", *bits)
 
 
 def linked_nodes(sketched: DataFrame, text: str, tables: WorkTables, options: NearDedup) -> DataFrame | None:
@@ -178,20 +205,25 @@ def linked_nodes(sketched: DataFrame, text: str, tables: WorkTables, options: Ne
     """
     nodes = tables.save(sketched.filter("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row"), "nodes")
     own = sketched.join(nodes, "row", "left_semi").withColumnRenamed("row", "node")
-    banded = own.select(F.explode("bands").alias("key"), "node", "size")
+    banded = own.select(F.explode("bands").alias("key"), "node", "size", "bits")
     shared = banded.groupBy("key").count().filter("count > 1").select("key")
-    members = tables.save(banded.join(shared, "key"), "members")
+    members = tables.save(banded.join(shared, "key").select("key", "node", "size", *words_of_bits(options)), "members")
     texts = own.select("node", F.col(text).alias("text")).join(members.select("node").distinct(), "node", "left_semi")
     sets = tables.save(texts.mapInArrow(_sets(options), schema="node bigint, found binary"), "sets")
-    labels, centres = None, 1
+    labels, tested, centres = None, None, 1
     while True:
         if labels is None:
             labelled = members.withColumn("label", F.col("node"))
         else:
             labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         pairs, rest = _turn(labelled, centres)
-        alike = F.expr(f"100 * least(a_size, b_size) >= {options.percent} * greatest(a_size, b_size)")
-        pairs = tables.save(pairs.filter(alike).select("a", "b").distinct(), "pairs")
+        alike = f"100 * least(a_size, b_size) >= {options.percent} * greatest(a_size, b_size)"
+        pairs = pairs.filter(f"{alike} and differing <= {far_apart(options)}")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = tables.save(pairs, "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
         members = tables.save(rest, "members")
         if pairs.isEmpty():
             if members.isEmpty():
@@ -229,7 +261,7 @@ def near_duplicates(documents: DataFrame, tables: WorkTables, options: NearDedup
     full = slim.filter("n_shingles > 0").join(tables.save(classes, "classes"), "digest").drop("digest")
     empty = slim.filter("n_shingles = 0").drop("digest")
     empty = empty.withColumn("label", F.col("row")).withColumn("component_id", F.col("doc_id"))
-    return Found(held, sketched.drop("bands"), full.unionByName(empty))
+    return Found(held, sketched.drop("bands", "bits"), full.unionByName(empty))
 
 
 def deduplicated(documents: DataFrame, tables: WorkTables, options: NearDedup = NearDedup()) -> DataFrame:
