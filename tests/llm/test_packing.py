@@ -54,7 +54,8 @@ def test_empty_table(spark, tables):
 def test_words_give_the_tokenizers_ids(text):
     words = packing.Words(Packing().tokenizer, 50)
     for _ in range(2):
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        for one, ids in zip([text, "", text.upper()], words.ids([text, "", text.upper()]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(one, add_special_tokens=False).ids
 
 
 def test_least_squares_fills_windows():

@@ -18,6 +18,7 @@ one by one. Texts of any length are tokenized whole.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,9 @@ from tillstone.llm.arrow import steps
 from tillstone.operators.storage import WorkTables
 
 _MARKS = frozenset(".,;:!?)")
+#: Letters that every library lower-cases alike.
+_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 @dataclass(frozen=True)
@@ -43,14 +47,15 @@ class Packing:
     closing_id: int = 1
     depth: int = 3
     steps: int = 150
-    cached_words: int = 400_000
+    cached_words: int = 800_000
 
 
 class Words(dict):
     """White-space separated word -> its ids as little-endian unsigned 32-bit integers.
 
-    Valid for tokenizers that never join characters across white space. A mark at the end of a word is a token of its
-    own there, so a word with and without it shares one entry.
+    Valid for tokenizers that never join characters across white space, lower-case, and take a run of letters and a
+    mark after it as words of their own. New words of a batch of texts are tokenized together; a word with a mark or a
+    capital shares the work of the plain one. At most ``most`` words are kept.
     """
 
     def __init__(self, path: str, most: int):
@@ -58,23 +63,53 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.ends_word = np.array([token.endswith("</w>") for token in tokens])
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in _MARKS and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = self.encode(word)
+    def tokenized(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters alone, in one call; the last token of each says that it ends a word."""
+        found = np.frombuffer(self.encode(" ".join(words)), "<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[found]) + 1)).tolist()
+        if len(ends) != len(words):  # a character that is a letter here and none to the tokenizer
+            return {word: self.encode(word) for word in words}
+        data = found.tobytes()
+        return {word: data[start:end] for word, start, end in zip(words, [0, *ends], ends, strict=False)}
+
+    def learned(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not kept yet."""
+        variants, found = [], {}
+        for word in words:
+            stem, mark = (word[:-1], word[-1]) if word[-1] in _MARKS else (word, "")
+            if _SIMPLE(stem):
+                variants.append((word, stem.lower(), mark))
+            else:
+                found[word] = self.encode(word)
+        found |= self.tokenized(list({stem for _, stem, _ in variants if stem not in self}))
+        marks = {mark: self.encode(mark) for mark in ["", *_MARKS]}
+        for word, stem, mark in variants:
+            found[word] = (found[stem] if stem in found else self[stem]) + marks[mark]
         if len(self) < self.most:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if any(mark in text for mark in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+            self.update(found)
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text."""
+        lists = [text.split() for text in texts]
+        known = [list(map(self.get, words)) for words in lists]
+        new = set()
+        for words, found in zip(lists, known, strict=True):
+            if None in found:
+                new.update(word for word, ids in zip(words, found, strict=True) if ids is None)
+        more = self.learned(new) if new else {}
+        return [
+            # white space to Python alone
+            self.encode(text) if _ODD_SPACE.search(text)
+            else b"".join(found if None not in found else [ids or more[word] for word, ids in zip(words, found, strict=True)])
+            for text, words, found in zip(texts, lists, known, strict=True)
+        ]
 
 
 _words: dict[tuple, Words] = {}
@@ -90,8 +125,9 @@ def _tokenize(options: Packing):
         places = [0] * (size + 1)
         for batch in steps(batches):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = words.ids(text or "") + options.closing_id.to_bytes(4, "little")
+            found = words.ids([text or "" for text in batch.column("text").to_pylist()])
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids += options.closing_id.to_bytes(4, "little")
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
@@ -261,10 +297,13 @@ def cut_rest(rest: DataFrame, pieces: DataFrame, plan: Plan, options: Packing) -
     )
     whole = F.filter(whole, lambda s: s["high"] <= full * size)
     tail = F.array(*(span(*map(F.lit, one)) for one in ends_of_sequences(plan, options))).cast(spans_kind)
-    spans = F.concat(whole.cast(spans_kind), tail)
-    cut = rest.withColumn("span", F.explode(spans)).filter("span.low < at + length and at < span.high")
+    spans = F.filter(
+        F.concat(whole.cast(spans_kind), tail), lambda s: (s["low"] < F.expr("at + length")) & (F.col("at") < s["high"])
+    )
+    cut = rest.withColumn("span", F.explode(spans))
     cut = cut.withColumn("low", F.expr("greatest(at, span.low)")).withColumn("high", F.expr("least(at + length, span.high)"))
-    ids = pieces.select("part", "length", "place", "ids")
+    # pieces of a whole window are sequences of their own, and are left out of the join
+    ids = pieces.filter(F.col("length") < size).select("part", "length", "place", "ids")
     cut = cut.drop("ids_crc32").join(ids, ["part", "length", "place"])
     part = F.expr("substring(ids, cast(4 * (low - at) + 1 as int), cast(4 * (high - low) as int))")
     return cut.select(
