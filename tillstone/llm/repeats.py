@@ -118,18 +118,18 @@ def _cut(options: Chunking, text: str):
                 if not copies:
                     texts.append(one), removed.append(0), spans.append(0), sources.append([])
                     continue
-                owner = {copy["place"]: copy["first_row"] for copy in copies}
+                owner = {copy["place"]: copy["kept_in"] for copy in copies}
                 left, places, runs = without(one, list(owner), options, gears)
                 texts.append(left)
                 removed.append(len(one.decode()) - len(left.decode()))
                 spans.append(runs)
-                sources.append(sorted({owner[place] for place in places}))
+                sources.append(sorted({owner[place] for place in places if owner[place] is not None}))
             columns = {name: batch.column(name) for name in batch.schema.names if name != "copies"}
             columns[text] = pa.array(texts, pa.binary()).cast(pa.string())
             columns |= {
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
-                "source_rows": pa.array(sources, pa.list_(pa.int64())),
+                "kept_in": pa.array(sources, pa.list_(pa.int64())),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -137,7 +137,10 @@ def _cut(options: Chunking, text: str):
 
 
 def without_repeats(documents: DataFrame, tables: WorkTables, options: Chunking = Chunking()) -> tuple[Held, DataFrame]:
-    """The held columns with the text cut, ``row``, ``n_chunks``, ``n_removed`` (code points), ``n_spans``, ``source_rows``."""
+    """The held columns with the text cut, and what went.
+
+    ``n_chunks``; ``n_removed``: code points; ``n_spans``; ``kept_in``: doc_ids of the documents that keep first copies.
+    """
     held = Held(documents)
     text = held["text"]
     chunked = held.table.mapInArrow(_chunk(options, text), schema=held.schema("row:bigint,digests:array<bigint>"))
@@ -147,29 +150,25 @@ def without_repeats(documents: DataFrame, tables: WorkTables, options: Chunking
     chunks = chunked.select("row", F.posexplode("digests").alias("place", "digest"))
     copies = tables.save(chunks.join(repeated, "digest"), "copies")
     firsts = copies.groupBy("digest").agg(F.min(F.struct("row", "place")).alias("first"))
+    owners = chunked.select(F.col("row").alias("owner"), F.col(held["doc_id"]).cast("bigint").alias("kept_in"))
+    firsts = firsts.join(owners, F.col("first.row") == F.col("owner")).drop("owner")
     later = copies.join(firsts, "digest").filter("row != first.row or place != first.place")
-    per_row = later.groupBy("row").agg(F.collect_list(F.struct("place", F.col("first.row").alias("first_row"))).alias("copies"))
+    per_row = later.groupBy("row").agg(F.collect_list(F.struct("place", "kept_in")).alias("copies"))
     texts = chunked.withColumn("n_chunks", F.size("digests").cast("bigint")).drop("digests")
     marked = texts.join(tables.save(per_row, "per_row"), "row", "left").select(*held.names, "row", "n_chunks", "copies")
-    schema = held.schema("row:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,source_rows:array<bigint>")
+    schema = held.schema("row:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,kept_in:array<bigint>")
     return held, marked.mapInArrow(_cut(options, text), schema=schema)
 
 
 def repeats_report(documents: DataFrame, tables: WorkTables, options: Chunking = Chunking()) -> DataFrame:
     """Per document: what is left of its text, what went, and the documents that keep the first copies."""
     held, cut = without_repeats(documents.select("doc_id", "text"), tables, options)
-    cut = tables.save(cut, "cut")
-    doc, text = held["doc_id"], held["text"]
-    sources = cut.select("row", F.explode("source_rows").alias("source")).join(
-        cut.select(F.col("row").alias("source"), F.col(doc).alias("kept_in")), "source"
-    )
-    sources = sources.groupBy("row").agg(F.sort_array(F.collect_set("kept_in")).alias("kept_in"))
-    return cut.join(sources, "row", "left").select(
-        F.col(doc).alias("doc_id"),
+    return cut.select(
+        F.col(held["doc_id"]).alias("doc_id"),
         "n_chunks",
         "n_spans",
         "n_removed",
         (F.col("n_removed") > 0).alias("repeated"),
-        F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
-        F.col(text).alias("text"),
+        "kept_in",
+        F.col(held["text"]).alias("text"),
     )
