@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstone.llm.license_rules import KEYWORDS, MENTIONED, signatures
+from tillstone.operators.sizing import shuffle_partitions
 from tillstone.operators.storage import WorkTables
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,7 +54,9 @@ def detections(texts: DataFrame) -> DataFrame:
             for number, one in enumerate(signatures())
         )
     )
-    gated = texts.select("row", "words", F.explode(rules).alias("r")).filter(F.contains("words", F.col("r.keyword")))
+    held = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda keyword: F.contains("words", keyword))
+    gated = texts.withColumn("held", held)
+    gated = gated.select("row", "words", F.explode(F.filter(rules, lambda r: F.array_contains("held", r["keyword"]))).alias("r"))
     found = F.regexp_extract_all("words", F.col("r.pattern"), F.lit(0))
     places = gated.withColumn("found", found).filter(F.size("found") > 0)
     pieces = F.arrays_zip(F.split("words", F.col("r.pattern"), -1).alias("before"), F.col("found").alias("match"))
@@ -83,7 +86,9 @@ def surviving(found: DataFrame) -> DataFrame:
 def license_scan(documents: DataFrame, tables: WorkTables) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): counts, base labels, all labels and the best score."""
     texts = tables.save(prepared(documents), "words")
-    found = surviving(detections(texts.filter("words is not null").select("row", "words")))
+    # few texts pass the gate, but each is work for many rules: deal them out anew
+    gated = texts.filter("words is not null").select("row", "words").repartition(shuffle_partitions(texts.sparkSession), "row")
+    found = surviving(detections(gated))
     names = lambda kept: F.array_join(F.sort_array(F.collect_set(F.when(kept, F.col("label")))), ",")
     per_row = found.groupBy("row").agg(
         F.count_if("base").alias("n_base"),
