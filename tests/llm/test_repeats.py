@@ -43,6 +43,45 @@ def test_odd_documents(spark, tables):
     assert left.count(whole) == 1 and "" in left
 
 
+def common(seed, words):
+    """Prose over few common words: nearly every short chunk stood somewhere before."""
+    source = random.Random(seed)
+    return " ".join(source.choices("the of and to in is that it was for on are with as his they be at one have".split(), k=words))
+
+
+def test_chunks_of_common_words_are_no_evidence_for_a_run(spark, tables):
+    passage = common(1, 51)
+    rows = [(doc, common(100 + doc, 300)) for doc in range(400)]
+    rows += [(1000 + copy, f"{common(600 + copy, 70)} {passage} {common(700 + copy, 70)}") for copy in range(2)]
+    found = {row["doc_id"]: row for row in repeats.repeats_report(cases.frame(spark, rows), tables).collect()}
+    texts = dict(rows)
+    assert all(found[doc]["text"] == texts[doc] and not found[doc]["repeated"] for doc in range(400))
+    cut = [row for doc, row in found.items() if doc >= 1000 and row["repeated"]]
+    assert len(cut) == 1 and cut[0]["n_spans"] == 1 and cut[0]["n_removed"] > len(passage) / 2
+
+
+def test_a_chunk_goes_if_its_run_stood_before(spark, tables):
+    options, gears, source = Chunking(), Chunking().gears(), random.Random(4)
+    parts = [common(2000 + part, source.randint(8, 40)) for part in range(30)]
+    rows = [(doc, " ".join(source.choices(parts, k=6))) for doc in range(40)]
+    found = repeats.repeats_report(cases.frame(spark, rows).coalesce(1), tables).collect()
+    before = set()
+    for row in found:
+        text = dict(rows)[row["doc_id"]].encode()
+        ends, sizes = repeats.chunk_ends(text, options, gears)
+        chunks, gone, runs = repeats.digests(text, ends).tolist(), set(), []
+        for i in range(len(chunks)):
+            for j in range(i, len(chunks)):
+                if sizes[i : j + 1].sum() >= options.least_words:
+                    runs.append(tuple(chunks[i : j + 1]))
+                    if runs[-1] in before:
+                        gone.update(range(i, j + 1))
+                    before.add(runs[-1])
+        bounds = [0, *ends.tolist()]
+        left = b"".join(text[bounds[i] : bounds[i + 1]] for i in range(len(chunks)) if i not in gone)
+        assert row["text"] == left.decode() and row["n_chunks"] == len(chunks)
+
+
 def test_empty_table(spark, tables):
     assert repeats.repeats_report(cases.no_rows(spark), tables).count() == 0
 

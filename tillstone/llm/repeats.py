@@ -1,12 +1,15 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 A text is cut after a word wherever the gear hash of the 16 bytes before falls below a limit, so that after an insertion
-the cuts fall into step again a few words later; a longer stretch without a cut is cut every ``most_words`` words. Of
-all chunks with one digest the first (by row number, then place) is kept. A later copy is removed if it lies in a run of
-consecutive copies of at least ``least_words`` words: chance matches of a few words stay.
+the cuts fall into step again a few words later; a longer stretch without a cut is cut every ``most_words`` words. What
+is compared are windows: the shortest runs of consecutive chunks that hold at least ``least_words`` words, from every chunk
+on and up to every chunk. Of all windows with one digest the first (by row number, then place) is kept, and the chunks of
+the later ones are removed. So a chunk goes if and only if it lies in a run of at least ``least_words`` words that stood
+before as a whole; chunks that stood before one by one stay, however common they are.
 
-Digests are counted with partial sums before the shuffle and only chunks whose digest occurs twice are carried on, so a
-passage that a third of the documents share costs one row per partition there, and is then joined with a single row.
+Digests of windows are computed from the written rows each time they are needed instead of being stored. They are counted
+with partial sums before the shuffle and only windows whose digest occurs twice are carried on, so a passage that a third of
+the documents share costs one row per partition there, and is then joined with a single row.
 
 Defined cases: null and empty texts have no chunks and stay as they are. Repeated rows are documents of their own: all
 but the first lose what they share. A character of three or four bytes from U+3000 on counts as a word, so texts without
@@ -24,15 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstone.llm.arrow import Held, first_row_number, lists_of, steps, texts_of
+from tillstone.llm.arrow import Held, mixed, steps, texts_of
 from tillstone.operators.storage import WorkTables
 
+# an odd number and its inverse modulo 2**64
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """Parameters: words in a chunk on average and at most, words in a run that is removed, seed of the gear table."""
+    """Parameters: words in a chunk on average and at most, words in a window, seed of the gear table."""
 
     mean_words: int = 5
     most_words: int = 20
@@ -78,55 +84,80 @@ def digests(text: bytes, ends: np.ndarray) -> np.ndarray:
     return np.fromiter(pieces, np.uint64, len(ends)).view(np.int64)
 
 
-def _chunk(options: Chunking, text: str):
+def windows(sizes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of every window of a text: those from each chunk on, then the others up to each chunk."""
+    words, places = np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(sizes))
+    last = np.searchsorted(words, words[:-1] + least_words) - 1
+    first = np.searchsorted(words, words[1:] - least_words, "right") - 1
+    on, up = last < len(sizes), (first >= 0) & (last[first] != places)
+    return np.concatenate([places[on], first[up]]), np.concatenate([last[on], places[up]])
+
+
+def window_digests(chunks: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit digest of every window from those of its chunks."""
+    powers = np.cumprod(np.full(len(chunks), _BASE, np.uint64))
+    inverse = np.cumprod(np.full(len(chunks), _INVERSE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(chunks.view(np.uint64)) * powers)])
+    return mixed((sums[last + 1] - sums[first]) * inverse[first]).view(np.int64)
+
+
+def _windows(options: Chunking, text: str, placed: bool):
+    """The digests of all windows; if ``placed``, with row and number of the window in its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gears, row = options.gears(), first_row_number()
+        gears = options.gears()
         for batch in steps(batches):
-            found = [digests(one or b"", chunk_ends(one or b"", options, gears)[0]) for one in texts_of(batch, text)]
-            numbers = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, numbers, lists_of(found, pa.int64())], names=[*batch.schema.names, "row", "digests"]
-            )
+            found = []
+            for one in texts_of(batch, text):
+                ends, sizes = chunk_ends(one or b"", options, gears)
+                found.append(window_digests(digests(one or b"", ends), *windows(sizes, options.least_words)))
+            columns = {"digest": pa.array(np.concatenate(found), pa.int64())}
+            if placed:
+                counts = [len(one) for one in found]
+                columns["row"] = pa.array(np.repeat(batch.column("row").to_numpy(), counts), pa.int64())
+                columns["at"] = pa.array(np.concatenate([np.arange(n) for n in counts]), pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def without(text: bytes, copies: list[int], options: Chunking, gears: np.ndarray) -> tuple[bytes, list[int], int]:
-    """The text without its runs of copied chunks, the places removed and the number of runs."""
-    ends, sizes = chunk_ends(text, options, gears)
-    copied = np.zeros(len(ends) + 2, np.int8)
-    copied[np.array(copies) + 1] = 1
-    first, last = np.flatnonzero(np.diff(copied) == 1), np.flatnonzero(np.diff(copied) == -1)
-    words = np.concatenate([[0], np.cumsum(sizes)])
-    runs = [(a, b) for a, b in zip(first, last, strict=True) if words[b] - words[a] >= options.least_words]
+def without(text: bytes, ends: np.ndarray, sizes: np.ndarray, copies: list[int], options: Chunking) -> tuple[bytes, int]:
+    """The text without the windows of these numbers, and the number of runs removed."""
+    first, last = windows(sizes, options.least_words)
+    depth = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(depth, first[copies], 1)
+    np.add.at(depth, last[copies] + 1, -1)
+    step = np.diff((np.cumsum(depth) > 0).astype(np.int8), prepend=0)
     bounds = np.concatenate([[0], ends])
+    runs = list(zip(bounds[step == 1].tolist(), bounds[step == -1].tolist(), strict=True))
     kept, at = [], 0
-    for a, b in runs:
-        kept.append(text[at : bounds[a]])
-        at = bounds[b]
+    for start, end in runs:
+        kept.append(text[at:start])
+        at = end
     kept.append(text[at:])
-    return b"".join(kept), [place for a, b in runs for place in range(a, b)], len(runs)
+    return b"".join(kept), len(runs)
 
 
 def _cut(options: Chunking, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gears = options.gears()
         for batch in steps(batches):
-            texts, removed, spans, sources = [], [], [], []
+            texts, chunks, removed, spans, sources = [], [], [], [], []
             for one, copies in zip(texts_of(batch, text), batch.column("copies").to_pylist(), strict=True):
+                ends, sizes = chunk_ends(one or b"", options, gears)
+                chunks.append(len(ends))
                 if not copies:
                     texts.append(one), removed.append(0), spans.append(0), sources.append([])
                     continue
-                owner = {copy["place"]: copy["kept_in"] for copy in copies}
-                left, places, runs = without(one, list(owner), options, gears)
+                left, runs = without(one, ends, sizes, [copy["at"] for copy in copies], options)
                 texts.append(left)
                 removed.append(len(one.decode()) - len(left.decode()))
                 spans.append(runs)
-                sources.append(sorted({owner[place] for place in places if owner[place] is not None}))
+                sources.append(sorted({copy["kept_in"] for copy in copies if copy["kept_in"] is not None}))
             columns = {name: batch.column(name) for name in batch.schema.names if name != "copies"}
             columns[text] = pa.array(texts, pa.binary()).cast(pa.string())
             columns |= {
+                "n_chunks": pa.array(chunks, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
                 "kept_in": pa.array(sources, pa.list_(pa.int64())),
@@ -139,23 +170,23 @@ def _cut(options: Chunking, text: str):
 def without_repeats(documents: DataFrame, tables: WorkTables, options: Chunking = Chunking()) -> tuple[Held, DataFrame]:
     """The held columns with the text cut, and what went.
 
-    ``n_chunks``; ``n_removed``: code points; ``n_spans``; ``kept_in``: doc_ids of the documents that keep first copies.
+    ``n_chunks``; ``n_removed``: code points; ``n_spans``; ``kept_in``: doc_ids of the documents where the windows removed
+    stand first (what such a document shares with an earlier one is cut there too).
     """
     held = Held(documents)
     text = held["text"]
-    chunked = held.table.mapInArrow(_chunk(options, text), schema=held.schema("row:bigint,digests:array<bigint>"))
-    chunked = tables.save(chunked, "chunked")
-    digest = chunked.select(F.explode("digests").alias("digest"))
+    rows = tables.save(held.table.withColumn("row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("row", text)
+    digest = texts.mapInArrow(_windows(options, text, False), schema="digest bigint")
     repeated = tables.save(digest.groupBy("digest").count().filter("count > 1").select("digest"), "repeated")
-    chunks = chunked.select("row", F.posexplode("digests").alias("place", "digest"))
-    copies = tables.save(chunks.join(repeated, "digest"), "copies")
-    firsts = copies.groupBy("digest").agg(F.min(F.struct("row", "place")).alias("first"))
-    owners = chunked.select(F.col("row").alias("owner"), F.col(held["doc_id"]).cast("bigint").alias("kept_in"))
+    placed = texts.mapInArrow(_windows(options, text, True), schema="digest bigint, row bigint, at bigint")
+    copies = tables.save(placed.join(repeated, "digest"), "copies")
+    firsts = copies.groupBy("digest").agg(F.min(F.struct("row", "at")).alias("first"))
+    owners = rows.select(F.col("row").alias("owner"), F.col(held["doc_id"]).cast("bigint").alias("kept_in"))
     firsts = firsts.join(owners, F.col("first.row") == F.col("owner")).drop("owner")
-    later = copies.join(firsts, "digest").filter("row != first.row or place != first.place")
-    per_row = later.groupBy("row").agg(F.collect_list(F.struct("place", "kept_in")).alias("copies"))
-    texts = chunked.withColumn("n_chunks", F.size("digests").cast("bigint")).drop("digests")
-    marked = texts.join(tables.save(per_row, "per_row"), "row", "left").select(*held.names, "row", "n_chunks", "copies")
+    later = copies.join(firsts, "digest").filter("row != first.row or at != first.at")
+    per_row = later.groupBy("row").agg(F.collect_list(F.struct("at", "kept_in")).alias("copies"))
+    marked = rows.join(tables.save(per_row, "per_row"), "row", "left").select(*held.names, "row", "copies")
     schema = held.schema("row:bigint,n_chunks:bigint,n_removed:bigint,n_spans:bigint,kept_in:array<bigint>")
     return held, marked.mapInArrow(_cut(options, text), schema=schema)
 
