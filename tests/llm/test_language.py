@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import cases
 import numpy as np
 
@@ -29,6 +32,28 @@ def test_only_learnable_rows_matter(spark):
     assert (one.weights == other.weights).all()
 
 
+def of_languages(spark, counts):
+    """Rows of as many languages, each with words from four letters of its own."""
+    source, rows = random.Random(5), []
+    for at, count in enumerate(counts):
+        letters = "".join(chr(0x4E00 + 4 * at + letter) for letter in range(4))
+        rows += [(" ".join("".join(source.choices(letters, k=4)) for _ in range(20)), f"l{at:02}") for _ in range(count)]
+    source.shuffle(rows)
+    return spark.createDataFrame([(doc, *row) for doc, row in enumerate(rows)], "doc_id bigint, text string, lang string")
+
+
+def test_a_frequent_language_is_learned(spark):
+    documents, options = of_languages(spark, [2000, *[100] * 9]), Learning(sample_per_language=50)
+    rows = language.sampled(language.learnable(documents), options)
+    held, learned_from = (Counter(row["lang"] for row in part) for part in language.parted(rows, options))
+    assert len(learned_from) == 10
+    assert all(held[lang] == int((held[lang] + n) * 0.2) for lang, n in learned_from.items())
+    known = {row["doc_id"]: row["lang"] for row in documents.collect()}
+    found = language.predicted(documents, language.learned(documents, options)).collect()
+    right = Counter(known[row["doc_id"]] for row in found if row["lang_pred"] == known[row["doc_id"]])
+    assert right["l00"] > 1800 and all(right[f"l{at:02}"] > 80 for at in range(10))
+
+
 def test_odd_documents(spark):
     rows = [(doc, text, "a" if at % 2 else "b") for at, (doc, text) in enumerate(cases.documents())] + [(77, "123 ... 456", "a")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

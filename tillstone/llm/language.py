@@ -3,8 +3,8 @@
 Texts are lower-cased, everything that is no letter becomes a space, and all n-grams of one to three characters are hashed
 to 2**15 features. Document frequencies are counted over all documents that may be learned from. The weights are fitted
 by follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows, about
-``sample_per_language`` of each language, chosen by a hash of doc_id and at most ``sample_rows`` in all; a fifth of the
-sample is held back to calibrate the temperature of the probabilities. Every whole text is then predicted in its own task.
+``sample_per_language`` of each language, chosen by a hash of doc_id and at most ``sample_rows`` in all; a fifth of each
+language's sample, by another hash, is held back to calibrate the temperature of the probabilities. Every whole text is then predicted in its own task.
 
 A document may be learned from if its lang is not null and ``crc32(doc_id as text) mod 4`` is not 2; the others are held
 out. A prediction reads the text alone.
@@ -15,6 +15,7 @@ from. A null doc_id is not held out, but is not learned from either. Repeated ro
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,6 +114,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "lang": batch.column("lang"),
                 "place": batch.column("place"),
+                "turn": batch.column("turn"),
                 "at": pa.array([None if one is None else one[0].astype("<u2").tobytes() for one in found], pa.binary()),
                 "n": pa.array([None if one is None else one[1].astype("<u4").tobytes() for one in found], pa.binary()),
             }
@@ -120,15 +122,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(documents: DataFrame, options: Learning) -> list:
-    """At most ``sample_rows`` rows of counted features, balanced by language, in the order of a hash of doc_id."""
+    """At most ``sample_rows`` rows of counted features, balanced by language, chosen by a hash of doc_id; ``turn`` is another hash."""
     sizes = documents.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.languages).collect()
     if not sizes:
         return []
     shares = [(F.lit(row["lang"]), F.lit(min(1.0, options.sample_per_language / row["count"]))) for row in sizes]
     share = F.create_map(*(part for pair in shares for part in pair))[F.col("lang")]
-    place = F.xxhash64("doc_id")
-    chosen = documents.select("lang", "text", place.alias("place")).filter(place / F.lit(2.0**64) + 0.5 < share)
-    rows = chosen.mapInArrow(_features, schema="lang string, place bigint, at binary, n binary").filter("at is not null")
+    place, turn = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit("turn"))
+    chosen = documents.select("lang", "text", place.alias("place"), turn.alias("turn")).filter(place / F.lit(2.0**64) + 0.5 < share)
+    rows = chosen.mapInArrow(_features, schema="lang string, place bigint, turn bigint, at binary, n binary").filter("at is not null")
     return rows.orderBy("place", "lang").limit(options.sample_rows).collect()
 
 
@@ -174,17 +176,33 @@ class Leader:
         self.squares[:, at] = grown
 
 
+def parted(rows: list, options: Learning) -> tuple[list, list]:
+    """The rows held back, ``held_back`` of each language, and those to learn from, in turn: frequent languages are mixed in."""
+    rows = sorted(rows, key=lambda row: (row["turn"], row["lang"], row["at"], row["n"]))
+    left = Counter(row["lang"] for row in rows)
+    if len(rows) <= 4 * len(left):
+        return [], rows
+    left = {lang: int(n * options.held_back) for lang, n in left.items()}
+    held, learned_from = [], []
+    for row in rows:
+        left[row["lang"]] -= 1
+        (held if left[row["lang"]] >= 0 else learned_from).append(row)
+    return held, learned_from
+
+
 def fitted(rows: list, inverse: np.ndarray, options: Learning) -> Model | None:
-    """The model of a sample of rows (lang, at, n); None if there is none."""
+    """The model of a sample of rows (lang, turn, at, n); None if there is none."""
     languages = sorted({row["lang"] for row in rows})
     if not languages:
         return None
     model = Model(languages, np.zeros((len(languages), FEATURES)), np.zeros(len(languages)), inverse)
-    examples = [(np.frombuffer(row["at"], "<u2").astype(int), np.frombuffer(row["n"], "<u4"), languages.index(row["lang"])) for row in rows]
-    held = max(1, int(len(examples) * options.held_back)) if len(examples) > 4 * len(languages) else 0
+    held, examples = (
+        [(np.frombuffer(row["at"], "<u2").astype(int), np.frombuffer(row["n"], "<u4"), languages.index(row["lang"])) for row in part]
+        for part in parted(rows, options)
+    )
     leader = Leader(len(languages), FEATURES + 1, options)
     for _ in range(options.epochs):
-        for at, n, label in examples[held:]:
+        for at, n, label in examples:
             places, values = np.append(at, FEATURES), np.append(model.vector(at, n), 1.0)
             weights = leader.weights(places)
             error = softmax(weights @ values)
@@ -193,7 +211,7 @@ def fitted(rows: list, inverse: np.ndarray, options: Learning) -> Model | None:
     weights = leader.weights(slice(None))
     model.weights, model.bias = weights[:, :FEATURES], weights[:, FEATURES]
     if held:
-        model.temperature = calibrated([(model.logits(at, n), label) for at, n, label in examples[:held]])
+        model.temperature = calibrated([(model.logits(at, n), label) for at, n, label in held])
     return model
 
 
