@@ -3,6 +3,7 @@ from collections import Counter
 
 import cases
 import numpy as np
+import pytest
 
 from tillstone.llm import language
 from tillstone.llm.language import Learning
@@ -54,6 +55,24 @@ def test_a_frequent_language_is_learned(spark):
     assert right["l00"] > 1800 and all(right[f"l{at:02}"] > 80 for at in range(10))
 
 
+def test_every_language_keeps_its_sample(spark):
+    counts = [max(6, 3000 // (at + 1) ** 2) for at in range(20)]
+    documents, options = of_languages(spark, counts), Learning(sample_per_language=60, sample_rows=200)
+    rows = language.sampled(documents, options)
+    taken = Counter(row["lang"] for row in rows)
+    most = language.quota(counts, options)
+    assert len(rows) <= 200 and sum(min(count, most) for count in counts) <= 200
+    assert all(taken[f"l{at:02}"] == count for at, count in enumerate(counts) if count <= most)
+    assert all(taken[f"l{at:02}"] >= most / 3 for at, count in enumerate(counts) if count > most)
+    assert language.fitted(rows, np.ones(language.FEATURES), options).languages == [f"l{at:02}" for at in range(20)]
+
+
+def test_languages_left_out_are_named(spark):
+    with pytest.warns(UserWarning, match="^2 values of lang"):
+        rows = language.sampled(of_languages(spark, [9, 8, 7, 6, 5]), Learning(languages=3))
+    assert {row["lang"] for row in rows} == {"l00", "l01", "l02"}
+
+
 def test_odd_documents(spark):
     rows = [(doc, text, "a" if at % 2 else "b") for at, (doc, text) in enumerate(cases.documents())] + [(77, "123 ... 456", "a")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

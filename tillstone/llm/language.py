@@ -2,8 +2,10 @@
 
 Texts are lower-cased, everything that is no letter becomes a space, and all n-grams of one to three characters are hashed
 to 2**15 features. Document frequencies are counted over all documents that may be learned from. The weights are fitted
-by follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows, about
-``sample_per_language`` of each language, chosen by a hash of doc_id and at most ``sample_rows`` in all; a fifth of each
+by follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows, chosen by a hash of doc_id:
+all rows of rare languages and about equally many of each other one, at most ``sample_per_language`` of each and
+``sample_rows`` in all. Only the ``languages`` most frequent values of lang are learned and can be predicted, since the
+weights of every class lie on the driver and in each task; a warning names how many values are left out. A fifth of each
 language's sample, by another hash, is held back to calibrate the temperature of the probabilities. Every whole text is then predicted in its own task.
 
 A document may be learned from if its lang is not null and ``crc32(doc_id as text) mod 4`` is not 2; the others are held
@@ -15,6 +17,7 @@ from. A null doc_id is not held out, but is not learned from either. Repeated ro
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -113,7 +116,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
             {
                 "lang": batch.column("lang"),
-                "place": batch.column("place"),
+                "rank": batch.column("rank"),
                 "turn": batch.column("turn"),
                 "at": pa.array([None if one is None else one[0].astype("<u2").tobytes() for one in found], pa.binary()),
                 "n": pa.array([None if one is None else one[1].astype("<u4").tobytes() for one in found], pa.binary()),
@@ -121,17 +124,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def quota(counts: list[int], options: Learning) -> int:
+    """The most rows of a language with which all samples together stay within ``sample_rows``."""
+    left, sizes = options.sample_rows, sorted(min(count, options.sample_per_language) for count in counts)
+    for at, size in enumerate(sizes):
+        fair = left // (len(sizes) - at)
+        if size > fair:
+            return max(1, fair)
+        left -= size
+    return options.sample_per_language
+
+
 def sampled(documents: DataFrame, options: Learning) -> list:
     """At most ``sample_rows`` rows of counted features, balanced by language, chosen by a hash of doc_id; ``turn`` is another hash."""
-    sizes = documents.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.languages).collect()
+    counted = documents.groupBy("lang").count()
+    sizes = counted.orderBy(F.desc("count"), "lang").limit(options.languages).collect()
     if not sizes:
         return []
-    shares = [(F.lit(row["lang"]), F.lit(min(1.0, options.sample_per_language / row["count"]))) for row in sizes]
+    if len(sizes) == options.languages and (more := counted.count() - len(sizes)):
+        warnings.warn(f"{more} values of lang beyond the {len(sizes)} most frequent are not learned", stacklevel=2)
+    most = quota([row["count"] for row in sizes], options)
+    shares = [(F.lit(row["lang"]), F.lit(min(1.0, most / row["count"]))) for row in sizes]
     share = F.create_map(*(part for pair in shares for part in pair))[F.col("lang")]
     place, turn = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit("turn"))
-    chosen = documents.select("lang", "text", place.alias("place"), turn.alias("turn")).filter(place / F.lit(2.0**64) + 0.5 < share)
-    rows = chosen.mapInArrow(_features, schema="lang string, place bigint, turn bigint, at binary, n binary").filter("at is not null")
-    return rows.orderBy("place", "lang").limit(options.sample_rows).collect()
+    part = place / F.lit(2.0**64) + 0.5
+    # a few rows above the bound go from the languages that are not taken whole, the same part of each
+    rank = F.when(share < 1, part / share).otherwise(0.0)
+    chosen = documents.filter(part < share).select("lang", "text", rank.alias("rank"), turn.alias("turn"))
+    rows = chosen.mapInArrow(_features, schema="lang string, rank double, turn bigint, at binary, n binary").filter("at is not null")
+    return rows.orderBy("rank", "lang", "turn").limit(options.sample_rows).collect()
 
 
 @dataclass
