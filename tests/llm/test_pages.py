@@ -67,3 +67,26 @@ def test_empty_table(spark, tables):
 def test_paths_are_generalised():
     page = Page('<body><div class="b12 a"><p>x</p></div></body>')
     assert page.blocks == [("body/div.a.b/", "x", 0)]
+
+
+def test_layout_words_do_not_drop_the_article(spark, tables):
+    story, rows = "the story goes on " * 30, []
+    wrappers = ['div class="content no-sidebar"', 'div id="page" class="has-sidebar header-fixed"', 'section class="share-story"',
+                'div id="search-result"', 'div data-id="menu" class="text" data-class="ad"']
+    for n, wrapper in enumerate(wrappers):
+        end = wrapper.split()[0]
+        noise = '<div class="comments">me too</div><p class="social">like it</p>'
+        rows.append((n, f"http://w{n}.net/", f"<html><body><{wrapper}><h1>T</h1><p>{story}</p>{noise}</{end}><div class=sidebar>ad</div></body>"))
+    found = extracted(spark, rows, tables)
+    assert [found[n, f"http://w{n}.net/"]["text"] for n in range(len(rows))] == [f"T\n{story.strip()}"] * len(rows)
+
+
+def test_long_comments_stay_out(spark, tables):
+    story, comment = "the story goes on " * 30, "a reader says so " * 40
+    source = f'<body><div class="post"><p>{story}</p></div><div id="comments"><p>{comment}</p></div></body>'
+    assert extracted(spark, [(1, "http://a.net/", source)], tables)[1, "http://a.net/"]["text"] == story.strip()
+
+
+def test_suspect_parts_do_not_leave_a_page_empty():
+    page = Page(f'<div class="share-story">{"story " * 40}</div><div class="comments">{"me " * 60}</div><div class="related">{"see " * 40}</div>')
+    assert [text for _, text, _ in page.blocks] == [("story " * 40).strip()]

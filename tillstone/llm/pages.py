@@ -2,7 +2,9 @@
 
 A page is read into blocks of text, each with the path of the containers around it: tag names with generalised classes
 (digits dropped). Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-are left out by tag, role, class or id. Every container path of a page is scored by the share of the page's text below it,
+are left out by tag or role. Words of a class or id only raise a suspicion, since layout wrappers bear them too: such an
+element is left out if it holds at most half of the page's text, unless less than a quarter of the text is then left; the
+text of one that stays counts less in the scores. Every container path of a page is scored by the share of the page's text below it,
 less its links, and by what its tag and classes promise. The pages of a host vote with these scores, summed in Spark; the
 winning path is then used on every page of the host. A page without that path uses its own best one.
 
@@ -30,7 +32,7 @@ from tillstone.operators.storage import WorkTables
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Element names by what they are.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "xmp"}
@@ -47,7 +49,7 @@ DROPPED = RAW | {
     "object", "audio", "video", "canvas", "map", "datalist",
 }
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-DROPPED_WORDS = {
+SUSPECT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo",
     "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer",
     "sidebar", "side", "aside", "widget", "widgets", "cookie", "cookies", "consent", "gdpr", "notice", "notification",
@@ -57,34 +59,46 @@ DROPPED_WORDS = {
 }
 PROMISING_WORDS = {"content", "post", "entry", "story", "body", "text", "article", "main"}
 _WORDS = re.compile(r"[a-z]+")
+# says what the layout has or lacks, not what the element is
+_LAYOUT = re.compile(r"(?:no|has|with|without|not)[-_]")
+#: Weight in the scores of text inside a suspect element that stays.
+SUSPECTED = 0.3
 
 
 class Element:
-    """One open element; ``path`` is set for containers, otherwise that of the container around it."""
+    """One open element; ``path`` is set for containers, otherwise that of the container around it.
 
-    __slots__ = ("dropped", "name", "path")
+    ``suspects``: numbers of the suspect elements around it and its own.
+    """
 
-    def __init__(self, name: str, path: str, dropped: bool):
-        self.name, self.path, self.dropped = name, path, dropped
+    __slots__ = ("dropped", "name", "path", "suspects")
 
+    def __init__(self, name: str, path: str, dropped: bool, suspects: tuple[int, ...] = ()):
+        self.name, self.path, self.dropped, self.suspects = name, path, dropped, suspects
 
-def described(name: str, attributes: str) -> tuple[str, bool]:
-    """The element's step in a path, and whether it holds no main text."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+
+def described(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The element's step in a path, whether it holds no main text, and whether its words say so."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     classes = [re.sub(r"\d+", "", part) for part in entities.unescape(found.get("class", "")).lower().split()]
-    words = set(_WORDS.findall(" ".join(classes) + " " + found.get("id", "").lower()))
+    tokens = [*classes, *found.get("id", "").lower().split()]
+    words = set(_WORDS.findall(" ".join(token for token in tokens if not _LAYOUT.match(token))))
     dropped = name in DROPPED or found.get("role", "").lower() in DROPPED_ROLES
     # the outermost elements often carry words about the whole layout
-    dropped = dropped or name not in ("html", "body", "article", "main") and bool(words & DROPPED_WORDS)
-    return ".".join([name, *sorted(filter(None, classes))]).replace("/", ""), dropped
+    suspect = name not in ("html", "body", "article", "main") and bool(words & SUSPECT_WORDS)
+    return ".".join([name, *sorted(filter(None, classes))]).replace("/", ""), dropped, suspect
 
 
 class Page:
-    """Reads one page into ``blocks`` of (container path, text, characters in links)."""
+    """Reads one page into ``blocks`` of (container path, text, characters in links) and their ``weights``."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, int]] = []
         self.open = [Element("", "", False)]
+        self.around: list[tuple[int, ...]] = []
+        self.suspects = 0
         self.parts: list[str] = []
         self.linked = 0
         at = 0
@@ -105,6 +119,25 @@ class Page:
                 else:
                     self.start(name, token[3])
         self.flush()
+        self.weights = [1.0] * len(self.blocks)
+        if self.suspects:
+            self.judge()
+
+    def judge(self) -> None:
+        """Leave out the blocks inside suspect elements with a minor share of the page's text."""
+        held, total = [0] * self.suspects, 0
+        for (_, text, _), around in zip(self.blocks, self.around, strict=True):
+            total += len(text)
+            for suspect in around:
+                held[suspect] += len(text)
+        cleared = {suspect for suspect, size in enumerate(held) if 2 * size > total}
+        left = sum(len(block[1]) for block, around in zip(self.blocks, self.around, strict=True) if cleared.issuperset(around))
+        if 4 * left < total:
+            largest = max((suspect for suspect in range(self.suspects) if suspect not in cleared), key=held.__getitem__)
+            cleared.update(next(around[: around.index(largest) + 1] for around in self.around if largest in around))
+        kept = [at for at, around in enumerate(self.around) if cleared.issuperset(around)]
+        self.weights = [SUSPECTED if self.around[at] else 1.0 for at in kept]
+        self.blocks = [self.blocks[at] for at in kept]
 
     def text(self, raw: str) -> None:
         if raw and not self.open[-1].dropped:
@@ -118,6 +151,7 @@ class Page:
             text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append((self.open[-1].path, text, self.linked))
+                self.around.append(self.open[-1].suspects)
             self.parts, self.linked = [], 0
 
     def break_block(self, name: str) -> None:
@@ -131,10 +165,14 @@ class Page:
         if name in VOID:
             return
         inside = self.open[-1]
-        step, dropped = described(name, attributes)
-        if dropped and not inside.dropped:
+        step, dropped, suspect = described(name, attributes)
+        if (dropped or suspect) and not inside.dropped:
             self.flush()
-        self.open.append(Element(name, f"{inside.path}{step}/" if name in CONTAINERS else inside.path, inside.dropped or dropped))
+        dropped, suspects = inside.dropped or dropped, inside.suspects
+        if suspect and not dropped:
+            suspects, self.suspects = (*suspects, self.suspects), self.suspects + 1
+        path = f"{inside.path}{step}/" if name in CONTAINERS else inside.path
+        self.open.append(Element(name, path, dropped, suspects))
 
     def leave(self, names: set[str]) -> None:
         """Close the innermost element of these names if no container lies between."""
@@ -151,7 +189,7 @@ class Page:
             return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].name == name:
-                if any(element.dropped for element in self.open[at:]):
+                if any(element.dropped for element in self.open[at:]) or self.open[-1].suspects != self.open[at - 1].suspects:
                     self.flush()
                 del self.open[at:]
                 return
@@ -169,12 +207,12 @@ def promise(step: str) -> float:
     return 1.0
 
 
-def scores(blocks: list[tuple[str, str, int]]) -> dict[str, float]:
+def scores(page: Page) -> dict[str, float]:
     """Score of every container path of a page."""
     held: dict[str, float] = {}
     total = 0
-    for path, text, linked in blocks:
-        size = max(len(text) - linked, 0)
+    for (path, text, linked), weight in zip(page.blocks, page.weights, strict=True):
+        size = max(len(text) - linked, 0) * weight
         total += size
         at = path.find("/")
         while at >= 0:
@@ -182,7 +220,7 @@ def scores(blocks: list[tuple[str, str, int]]) -> dict[str, float]:
             held[prefix] = held.get(prefix, 0) + size
             at = path.find("/", at + 1)
     return {
-        path: size / max(total, 1) * (promise(path[:-1].rpartition("/")[2]) + 0.01 * path.count("/"))
+        path: size / (total or 1) * (promise(path[:-1].rpartition("/")[2]) + 0.01 * path.count("/"))
         for path, size in held.items()
     }
 
@@ -194,10 +232,10 @@ READ = "blocks array<struct<path:string,text:string>>, scores array<struct<path:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        found = [Page(source or "").blocks for source in batch.column("html").to_pylist()]
+        found = [Page(source or "") for source in batch.column("html").to_pylist()]
         columns = {name: batch.column(name) for name in ("page_id", "url", "host")}
-        columns["blocks"] = pa.array([[{"path": p, "text": t} for p, t, _ in blocks] for blocks in found], _BLOCKS)
-        voted = [[{"path": path, "score": score} for path, score in scores(blocks).items()] for blocks in found]
+        columns["blocks"] = pa.array([[{"path": p, "text": t} for p, t, _ in page.blocks] for page in found], _BLOCKS)
+        voted = [[{"path": path, "score": score} for path, score in scores(page).items()] for page in found]
         columns["scores"] = pa.array(voted, _SCORES)
         yield pa.RecordBatch.from_pydict(columns)
 
