@@ -90,3 +90,13 @@ def test_long_comments_stay_out(spark, tables):
 def test_suspect_parts_do_not_leave_a_page_empty():
     page = Page(f'<div class="share-story">{"story " * 40}</div><div class="comments">{"me " * 60}</div><div class="related">{"see " * 40}</div>')
     assert [text for _, text, _ in page.blocks] == [("story " * 40).strip()]
+
+
+def test_text_outside_containers_is_kept(spark, tables):
+    body = "<h1>T</h1><p>the article</p><p>goes on</p>"
+    box = body + '<div class="box">see also</div>'
+    sources = [body, box, f"<html><body class=home>{box}</body></html>", f"<div><p>x</p></div>{body * 9}"]
+    found = extracted(spark, [(n, f"http://r{n}.net/", source) for n, source in enumerate(sources)], tables)
+    texts = [found[n, f"http://r{n}.net/"]["text"] for n in range(len(sources))]
+    article = "T\nthe article\ngoes on"
+    assert texts == [article, article + "\nsee also", article + "\nsee also", "\n".join(["x", *[article] * 9])]

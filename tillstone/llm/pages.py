@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths of their hosts.
 
 A page is read into blocks of text, each with the path of the containers around it: tag names with generalised classes
-(digits dropped). Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+(digits dropped). Every page has a body, whether or not its tags are there, so a block outside all containers has the path
+``body/``. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
 are left out by tag or role. Words of a class or id only raise a suspicion, since layout wrappers bear them too: such an
 element is left out if it holds at most half of the page's text, unless less than a quarter of the text is then left; the
 text of one that stays counts less in the scores. Every container path of a page is scored by the share of the page's text below it,
@@ -96,7 +97,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, int]] = []
-        self.open = [Element("", "", False)]
+        self.open = [Element("", "body/", False)]
         self.around: list[tuple[int, ...]] = []
         self.suspects = 0
         self.parts: list[str] = []
@@ -171,7 +172,7 @@ class Page:
         dropped, suspects = inside.dropped or dropped, inside.suspects
         if suspect and not dropped:
             suspects, self.suspects = (*suspects, self.suspects), self.suspects + 1
-        path = f"{inside.path}{step}/" if name in CONTAINERS else inside.path
+        path = f"{inside.path}{step}/" if name in CONTAINERS - {"html", "body"} else inside.path
         self.open.append(Element(name, path, dropped, suspects))
 
     def leave(self, names: set[str]) -> None:
