@@ -56,6 +56,23 @@ def test_labels(spark, tables):
     assert {text: found[at] for at, text in rows} == CASES
 
 
+TAGGED = {
+    "// SPDX-License-Identifier: MIT": "mit",
+    "/* SPDX-License-Identifier: ISC */": "isc",
+    "# SPDX-License-Identifier: Zlib": "zlib",
+    "SPDX-License-Identifier: Unlicense": "unlicense",
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+    "SPDX-License-Identifier: MS-PL": "ms-pl",
+    "SPDX-License-Identifier: MIT-0": "",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify": "unlicense",
+}
+
+
+def test_tags_without_versions(spark, tables):
+    found = {row["doc_id"]: row["labels"] for row in scan(spark, list(enumerate(TAGGED)), tables)}
+    assert {text: found[at] for at, text in enumerate(TAGGED)} == TAGGED
+
+
 def test_hundreds_of_rules_behind_keywords():
     rules = signatures()
     assert len(rules) > 300

@@ -66,7 +66,7 @@ NAMES = [
     ("bsd-4-clause", ["bsd 4 clause", "4 clause bsd", "original bsd license"]),
     ("bsd", ["redistribution and use in source and binary forms with or without modification"]),
     ("zlib", ["zlib license", "zlib libpng license"]),
-    ("unlicense", ["the unlicense", "this is free and unencumbered software released into the public domain license"]),
+    ("unlicense", ["the unlicense", "this is free and unencumbered software released into the public domain"]),
     ("wtfpl", ["do what the fuck you want to public license"]),
     ("public-domain", ["released into the public domain", "dedicated to the public domain", "in the public domain"]),
     ("cc0", ["cc0 1 0", "cc0", "creative commons zero"]),
@@ -85,6 +85,14 @@ NAMES = [
     ("licensed", ["licensed under", "released under the [^ ]+ license", "under the terms of the [^ ]+ license"]),
 ]
 
+# SPDX identifiers of licenses without versions: label, words of the identifier (MIT-0 is another license).
+TAGS = [
+    ("mit", "mit(?! 0 )"), ("isc", "isc"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd 4 clause"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("cc0", "cc0 1 0"),
+    ("ncsa", "ncsa"), ("postgresql", "postgresql"), ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("openssl", "openssl"),
+    ("vim", "vim"), ("ruby", "ruby"), ("w3c", "w3c"), ("pddl", "pddl 1 0"),
+]
+
 CC_TERMS = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
 CC_KINDS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
@@ -149,7 +157,7 @@ def creative_commons() -> list[Signature]:
 
 def named() -> list[Signature]:
     mentions = ("copyright", "licensed", "cc", "proprietary")
-    rules = []
+    rules = [Signature(label, TAG, "spdx", whole_words(f"spdx license identifier {tag}"), 1.0) for label, tag in TAGS]
     for label, patterns in NAMES:
         rank, score = (MENTIONED, 0.5) if label in mentions else (NAMED, 0.9)
         rules += [Signature(label, rank, keyword_of(text), whole_words(text), score) for text in patterns]
