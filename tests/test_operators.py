@@ -22,6 +22,8 @@ from tillstone.operators.sampling import draw_share
 from tillstone.operators.scoring import EDGES, RepeatedEdgesError, check_edges, score_above, score_of_position
 from tillstone.operators.sizing import fits_broadcast
 from tillstone.operators.storage import WorkTables, shared_folder
+from tillstone.plans.mart import Mart
+from tillstone.sources.star import star_transactions
 
 
 @pytest.fixture(scope="module")
@@ -314,6 +316,26 @@ def test_shuffles_grow_with_the_input(spark, settings, monkeypatch):
     assert spark.conf.get(sizing.INITIAL, None) is None
 
 
+def test_a_join_counts_its_inputs_not_their_product(spark, settings):
+    settings(**{sizing.INITIAL.replace(".", "__"): "5"})
+    spark.conf.unset(sizing.INITIAL)
+    folder = "/root/testdata/sf0.1"
+    sold = star_transactions(spark, folder)
+    tables = [spark.read.parquet(f"{folder}/{name}.parquet") for name in ("lineitem", "orders", "part")]
+    assert 0 < sizing.scanned_bytes(sold) <= sum(map(sizing.planned_bytes, tables)) < sizing.planned_bytes(sold)
+    Mart.from_star(spark, folder).close()
+    assert spark.conf.get(sizing.INITIAL, None) is None
+
+
+def test_partitions_stay_within_an_int(spark, settings, monkeypatch):
+    settings(**{sizing.INITIAL.replace(".", "__"): "5"})
+    spark.conf.unset(sizing.INITIAL)
+    monkeypatch.setattr(sizing, "scanned_bytes", lambda table: 1 << 59)
+    sizing.size_shuffles(spark.range(3))
+    assert sizing.shuffle_partitions(spark) == sizing.MOST_PARTITIONS
+    spark.conf.unset(sizing.INITIAL)
+
+
 def test_a_larger_input_raises_the_number_set_for_a_smaller_one(spark, settings, monkeypatch):
     settings(**{sizing.INITIAL.replace(".", "__"): "5"})
     spark.conf.unset(sizing.INITIAL)

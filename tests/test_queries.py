@@ -4,10 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from tillstone.oracle import ORACLE_SQL as ORACLE
+from tillstone.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-ORACLE = contract.oracle_sql()
-QUERIES = contract.queries()
 DUCK_TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
 
 

@@ -67,6 +67,7 @@ class Mart:
     @classmethod
     def from_star(cls, spark: SparkSession, folder: str, **options) -> Mart:
         options.setdefault("age_bands", schemas.MARKET_SEGMENTS)
+        # before the joins are laid out, which deal hot keys over as many partitions as there are
         size_shuffles(star_table(spark, folder, "lineitem"))
         return cls(spark, star_customers(spark, folder), star_transactions(spark, folder), **options)
 
