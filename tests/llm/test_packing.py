@@ -4,11 +4,9 @@ from collections import defaultdict
 import cases
 import numpy as np
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 
 from tillstone.llm import packing
-from tillstone.llm.packing import Packing
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,14 +48,6 @@ def test_empty_table(spark, tables):
     assert packing.packed(cases.no_rows(spark), tables).count() == 0
 
 
-@pytest.mark.parametrize("text", [text for _, text in cases.documents() if text] + ["Σας ΟΔΟΣ İstanbul ﬁ é", "don't I'll 'S a.b! (c) x) -- ..."])
-def test_words_give_the_tokenizers_ids(text):
-    words = packing.Words(Packing().tokenizer, 50)
-    for _ in range(2):
-        for one, ids in zip([text, "", text.upper()], words.ids([text, "", text.upper()]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(one, add_special_tokens=False).ids
-
-
 def test_least_squares_fills_windows():
     source = np.random.default_rng(1)
     histogram = np.zeros(65, np.int64)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 #: Bits of a row number that count rows within one task's partition; the rest is the partition.
 ROW_BITS = 40
 
-#: Rows handed on at a time; bounds the memory that very long texts take in a task.
+#: Rows, and bytes of their texts, handed on at a time; they bound the memory that a step takes in a task.
 ROWS_PER_STEP = 512
+BYTES_PER_STEP = 4 << 20
 
 
 class WordHashes(dict):
@@ -66,11 +68,20 @@ def first_row_number() -> int:
     return TaskContext.get().partitionId() << ROW_BITS
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``ROWS_PER_STEP``."""
+def steps(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP, size: int = BYTES_PER_STEP) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, whose texts and binaries take ``size`` bytes or are one row."""
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_PER_STEP):
-            yield batch.slice(start, ROWS_PER_STEP)
+        taken = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                taken += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(taken)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start] - taken[start]
+            end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

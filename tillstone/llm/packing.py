@@ -18,7 +18,7 @@ one by one. Texts of any length are tokenized whole.
 from __future__ import annotations
 
 import itertools
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,113 +30,60 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstone.llm.arrow import steps
+from tillstone.llm.token_ids import TokenIds
 from tillstone.operators.storage import WorkTables
 
-_MARKS = frozenset(".,;:!?)")
-#: Letters that every library lower-cases alike.
-_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-
 
 @dataclass(frozen=True)
 class Packing:
-    """``cached_words`` bounds the memory of a task's table of tokenized words."""
+    """``cached_pieces`` bounds the memory of a worker's table of encoded pieces of words."""
 
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
     window: int = 2048
     closing_id: int = 1
     depth: int = 3
     steps: int = 150
-    cached_words: int = 800_000
+    cached_pieces: int = 500_000
 
 
-class Words(dict):
-    """White-space separated word -> its ids as little-endian unsigned 32-bit integers.
+TOKENS = "doc_id bigint, start bigint, length int, doc_tokens bigint, part int, place bigint, ids_crc32 bigint, ids binary"
 
-    Valid for tokenizers that never join characters across white space, lower-case, and take a run of letters and a
-    mark after it as words of their own. New words of a batch of texts are tokenized together; a word with a mark or a
-    capital shares the work of the plain one. At most ``most`` words are kept.
-    """
 
-    def __init__(self, path: str, most: int):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
-        self.ends_word = np.array([token.endswith("</w>") for token in tokens])
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def tokenized(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters alone, in one call; the last token of each says that it ends a word."""
-        found = np.frombuffer(self.encode(" ".join(words)), "<u4")
-        ends = (4 * (np.flatnonzero(self.ends_word[found]) + 1)).tolist()
-        if len(ends) != len(words):  # a character that is a letter here and none to the tokenizer
-            return {word: self.encode(word) for word in words}
-        data = found.tobytes()
-        return {word: data[start:end] for word, start, end in zip(words, [0, *ends], ends, strict=False)}
-
-    def learned(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not kept yet."""
-        variants, found = [], {}
-        for word in words:
-            stem, mark = (word[:-1], word[-1]) if word[-1] in _MARKS else (word, "")
-            if _SIMPLE(stem):
-                variants.append((word, stem.lower(), mark))
-            else:
-                found[word] = self.encode(word)
-        found |= self.tokenized(list({stem for _, stem, _ in variants if stem not in self}))
-        marks = {mark: self.encode(mark) for mark in ["", *_MARKS]}
-        for word, stem, mark in variants:
-            found[word] = (found[stem] if stem in found else self[stem]) + marks[mark]
-        if len(self) < self.most:
-            self.update(found)
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text."""
-        lists = [text.split() for text in texts]
-        known = [list(map(self.get, words)) for words in lists]
-        new = set()
-        for words, found in zip(lists, known, strict=True):
-            if None in found:
-                new.update(word for word, ids in zip(words, found, strict=True) if ids is None)
-        more = self.learned(new) if new else {}
-        return [
-            # white space to Python alone
-            self.encode(text) if _ODD_SPACE.search(text)
-            else b"".join(found if None not in found else [ids or more[word] for word, ids in zip(words, found, strict=True)])
-            for text, words, found in zip(texts, lists, known, strict=True)
-        ]
-
-
-_words: dict[tuple, Words] = {}
-
-TOKENS = "doc_id bigint, start bigint, length int, doc_tokens bigint, part int, place bigint, ids binary"
+def closed(ids: np.ndarray, ends: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' ids in a row with the closing id after each, and where each begins and the last one ends."""
+    return np.insert(ids, ends[1:], closing).astype("<u4"), ends + np.arange(len(ends))
 
 
 def _tokenize(options: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # kept for the next task of this worker
-        words = _words.setdefault((options.tokenizer,), Words(options.tokenizer, options.cached_words))
+        table = TokenIds.of_worker(options.tokenizer, options.cached_pieces)
         part, size = TaskContext.get().partitionId(), options.window
         places = [0] * (size + 1)
-        for batch in steps(batches):
-            rows = []
-            found = words.ids([text or "" for text in batch.column("text").to_pylist()])
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                ids += options.closing_id.to_bytes(4, "little")
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    length = min(size, total - start)
-                    rows.append((doc, start, length, total, part, places[length], ids[4 * start : 4 * (start + length)]))
-                    places[length] += 1
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            names = [part.split()[0] for part in TOKENS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        for batch in steps(batches, 2048, 8 << 20):
+            ids, ends = closed(*table.ids([text or "" for text in batch.column("text").to_pylist()]), options.closing_id)
+            totals = np.diff(ends)
+            pieces = -(-totals // size)
+            doc = np.repeat(np.arange(len(totals)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+            length = np.minimum(size, totals[doc] - start)
+            bounds = np.append(ends[:-1][doc] + start, ends[-1])
+            data, cuts = ids.tobytes(), (4 * bounds).tolist()
+            view = memoryview(data)
+            place = []
+            for one in length.tolist():
+                place.append(places[one])
+                places[one] += 1
+            columns = [
+                batch.column("doc_id").take(pa.array(doc)),
+                pa.array(start, pa.int64()),
+                pa.array(length, pa.int32()),
+                pa.array(totals[doc], pa.int64()),
+                pa.array(np.full(len(doc), part), pa.int32()),
+                pa.array(place, pa.int64()),
+                pa.array([zlib.crc32(view[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.int64()),
+                pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * bounds), pa.py_buffer(data)]).cast(pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[column.split()[0] for column in TOKENS.split(", ")])
 
     return run
 
@@ -245,7 +192,7 @@ def numbered(pieces: DataFrame, tables: WorkTables) -> tuple[DataFrame, dict[int
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    slim = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids").join(bases, ["part", "length"])
+    slim = pieces.drop("ids").join(bases, ["part", "length"])
     return slim.withColumn("number", F.col("base") + F.col("place")).drop("base"), histogram
 
 
