@@ -1,5 +1,6 @@
 """Distributed operators against plain windows and brute force."""
 
+import os
 import statistics
 from decimal import Decimal
 from fractions import Fraction
@@ -298,6 +299,21 @@ def test_shared_folder(spark):
         shared_folder(BareSession("yarn"))
 
 
+def test_superseded_tables_are_deleted(spark, tmp_path):
+    tables = WorkTables(spark)
+    first = tables.save(spark.range(5), "numbers")
+    other = tables.save(spark.range(3), "other")
+    second = tables.replace(first.where("id > 1"), "numbers")
+    third = tables.replace(second.where("id > 2"), "numbers")
+    assert third.count() == 2 and other.count() == 3
+    paths = [table.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("///", "/") for table in (third, other)]
+    assert sorted(os.listdir(os.path.dirname(paths[0]))) == sorted(map(os.path.basename, paths))
+    tables.discard("other", "never saved")
+    assert os.listdir(os.path.dirname(paths[0])) == [os.path.basename(paths[0])]
+    tables.drop()
+    assert not os.path.exists(os.path.dirname(paths[0]))
+
+
 def test_shuffles_grow_with_the_input(spark, settings, monkeypatch):
     settings(**{sizing.INITIAL.replace(".", "__"): "5"})
     scan = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")

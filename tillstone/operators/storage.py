@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The driver's heap is collected at most this often to free shuffle files.
+RECLAIM_SECONDS = 3.0
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -25,13 +30,36 @@ class WorkTables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/tillstone-{uuid.uuid4().hex}"
+        self._paths: dict[str, list[str]] = {}
+        self._reclaimed = time.monotonic()
 
     def save(self, table: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         table.write.parquet(path)
+        self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(table.schema).parquet(path)
 
+    def replace(self, table: DataFrame, name: str) -> DataFrame:
+        """Save a table and delete those saved under its name before; ``table`` may have been made of them."""
+        before = self._paths.pop(name, [])
+        saved = self.save(table, name)
+        self._delete(before)
+        return saved
+
+    def discard(self, *names: str) -> None:
+        """Delete all tables saved under these names; DataFrames over them can no longer be read."""
+        self._delete([path for name in names for path in self._paths.pop(name, [])])
+
     def drop(self) -> None:
         """Delete the tables written here; DataFrames over them can no longer be read."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._paths.clear()
+        self._delete([self.folder])
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # Spark deletes the shuffle files of a finished job when the driver's heap is collected, which a large heap
+        # puts off for long; the jobs that made the deleted tables are over
+        if paths and time.monotonic() - self._reclaimed > RECLAIM_SECONDS:
+            self.spark._jvm.System.gc()
+            self._reclaimed = time.monotonic()
