@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.01"
 def test_equals_sql(spark, name):
     columns, kinds, rows = compare.spark_rows(QUERIES[name](spark, FOLDER))
     with duckdb.connect() as con:
-        for table in ("documents", "benchmark", "pages"):
+        for table in ("documents", "benchmark", "pages", "embeddings"):
             con.execute(f"create view {table} as select * from read_parquet('{FOLDER}/{table}.parquet')")
         other_columns, _, other_rows = compare.oracle_rows(con, ORACLE_SQL[name])
     assert compare.canonical(columns, rows) == compare.canonical(other_columns, other_rows)

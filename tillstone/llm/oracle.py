@@ -115,9 +115,118 @@ with rules(verdict, host, path) as (
 select page_id, host, path, r.rule as rule, coalesce(r.verdict, 'allow') as verdict from urls left join best using (page_id)
 """
 
+#: The register of a reflected CRC-32 before its last inversion, bit by bit, over the digits of a number.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split({0}::varchar, ''), lambda d: ascii(d)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+        lambda r, z: xor(r >> 1, (r & 1) * 3988292384))))"""
+
+
+def _hashed(fields: list[str]) -> str:
+    parts = (f"coalesce(strlen(({one})::varchar)::varchar || ':' || ({one})::varchar, '-')" for one in fields)
+    return f"sha256({' || '.join(parts)})"
+
+
+def _levels(name: str, start: str) -> str:
+    """Every node of the trees over ``start`` (tree, pos, node), ``n`` being the nodes of its level."""
+    return f"""{name}(tree, level, pos, node, n) as (
+    select tree, 0, pos, node, count(*) over (partition by tree) from {start}
+    union all
+    select tree, level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), any_value((n + 1) // 2)
+    from {name} where n > 1 group by tree, level, pos // 2
+)"""
+
+
+def _steps(nodes: str, start: str, place: str, base: str) -> str:
+    """For every leaf and level of its tree: the place in the run and the sibling, if any."""
+    return f"""select a.leaf_no, {base} + m.level as step, ({place} >> m.level) & 1 as side, s.node as sibling
+    from {start} a join (select distinct tree, level from {nodes} where n > 1) m using (tree)
+    left join {nodes} s on s.tree = m.tree and s.level = m.level and s.pos = xor({place} >> m.level, 1)"""
+
+
+MERKLE = f"""
+with recursive leaves as (
+    select doc_id, lang, {_hashed(["doc_id", "source", "lang", "n_chars", "text"])} as leaf,
+        case when n_chars is not null and {CRC32.format("doc_id")} % 7 = 0
+            then {_hashed(["doc_id", "source", "lang", "n_chars::hugeint + 1", "text"])} end as other
+    from documents
+), placed as (
+    select *, dense_rank() over (order by lang nulls first) - 1 as tree,
+        row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+        row_number() over () as leaf_no
+    from leaves
+), own_leaves as (
+    select tree, pos, leaf as node from placed
+), {_levels("own", "own_leaves")}, subroots as (
+    select 0::bigint as tree, tree as pos, node from own where n = 1
+), {_levels("top", "subroots")}, whole as (
+    select p.*, h.height, s.node as subroot, r.node as root
+    from placed p join (select tree, max(level) as height from own group by tree) h on h.tree = p.tree
+    join subroots s on s.pos = p.tree cross join (select node from top where n = 1) r
+), tops as (
+    select leaf_no, 0::bigint as tree, tree as place, height from whole
+), steps as (
+    {_steps("own", "whole", "a.pos", "0")}
+    union all
+    {_steps("top", "tops", "a.place", "a.height")}
+), folded(leaf_no, step, node) as (
+    select leaf_no, 0, coalesce(other, leaf) from whole
+    union all
+    select f.leaf_no, f.step + 1, sha256(case when s.side = 1 then s.sibling || f.node else f.node || coalesce(s.sibling, '') end)
+    from folded f join steps s on s.leaf_no = f.leaf_no and s.step = f.step
+), proofs as (
+    select leaf_no, string_agg(sibling, '' order by step) as siblings from steps group by leaf_no
+), ends as (
+    select leaf_no, arg_max(node, step) as folded_root from folded group by leaf_no
+)
+select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256, folded_root, folded_root = root as verified
+from whole join ends using (leaf_no) left join proofs using (leaf_no)
+"""
+
+
+def _codes_round(at: int) -> str:
+    return f"""codes{at} as materialized (
+    select vec_no, part, min(row(d, entry)) as best from (
+        select v.vec_no, v.part, b.entry, coalesce(list_sum(list_transform(
+            range(1, len(v.p) + 1), lambda i: (v.p[i] - b.e[i]) * (v.p[i] - b.e[i]))), 0)::bigint as d
+        from parts v join books{at} b on b.part = v.part
+    ) group by vec_no, part
+), moved{at} as (
+    select part, entry, list((s - ((s % n) + n) % n) // n order by place) as e from (
+        select c.part, c.best[2] as entry, t.place, sum(t.x)::hugeint as s, count(*) as n
+        from codes{at} c join (select vec_no, part, unnest(p) as x, unnest(range(len(p))) as place from parts) t
+            on t.vec_no = c.vec_no and t.part = c.part
+        group by c.part, c.best[2], t.place
+    ) group by part, entry
+), books{at + 1} as materialized (
+    select b.part, b.entry, coalesce(m.e, b.e) as e from books{at} b left join moved{at} m on m.part = b.part and m.entry = b.entry
+), """
+
+
+CODES = f"""
+with kept as (
+    select row_number() over (order by vec_id nulls last) as vec_no, vec_id, label,
+        list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+    select vec_no, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] as p from kept, range(4) r(part)
+), books0 as materialized (
+    select part, vec_no - 1 as entry, p as e from parts where vec_no <= 256
+), {"".join(map(_codes_round, range(5)))[:-2]}, coded as (
+    select vec_no, string_agg(printf('%02x', best[2]), '' order by part) as code, sum(best[1])::bigint as error
+    from codes4 group by vec_no
+), book as (
+    select sha256(string_agg(array_to_string(e, ','), ',' order by part, entry)) as codebooks_sha256 from books4
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from kept join coded using (vec_no) cross join book
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": NEAR_DEDUP,
     "op3_leaks": LEAKS,
     "op7_quality": QUALITY,
     "op8_urls": URLS,
+    "op12_merkle": MERKLE,
+    "op13_codes": CODES,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstone.llm import chats, language, leaks, license_scan, packing, pages, quality, repeats, url_filter
+from tillstone.llm import chats, language, leaks, license_scan, merkle, packing, pages, quality, repeats
+from tillstone.llm import token_files, url_filter, vector_codes
 from tillstone.llm.near_dedup import near_duplicates
 from tillstone.llm.oracle import ORACLE_SQL  # noqa: F401
 from tillstone.operators.storage import WorkTables
@@ -90,6 +91,27 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(documents, language.learned(documents))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as it is read back from flat files of token ids, see ``token_files``."""
+    manifest = token_files.write_tokens(table(spark, folder, "documents"), WorkTables(spark))
+    return token_files.read_tokens(manifest)
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests and proof of every document, some of them tampered with before they are verified, see ``merkle``."""
+    grown = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    where = F.col("n_chars").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    found = merkle.manifest(table(spark, folder, "documents"), WorkTables(spark), grown, where)
+    return found.proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector, and the digest of the codebooks, see ``vector_codes``."""
+    found = vector_codes.coded(table(spark, folder, "embeddings"), WorkTables(spark))
+    digest = found.codebook.digest if found.codebook else None
+    return found.rows.select("vec_id", "code", "error", "label_error", F.lit(digest).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -103,5 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_urls,
         op9_repeats,
         op10_language,
+        op11_token_files,
+        op12_merkle,
+        op13_codes,
     )
 }
