@@ -241,14 +241,74 @@ def test_silhouette_of_a_single_member(spark):
 
 def test_lloyd_finds_the_blobs(spark):
     points = blobs(spark)
-    centres = clustering.lloyd_centres(points, ["x", "y"], [(1, 1), (5, 1), (1, 5), (8, 8)], 5)
-    clusters = points.withColumn("c", clustering.nearest(["x", "y"], centres)).groupBy("blob", "c").count()
+    start = [tuple(place * clustering.UNIT for place in centre) for centre in [(1, 1), (5, 1), (1, 5), (8, 8)]]
+    fit = clustering.lloyd_fits(points, ["x", "y"], {"only": start})["only"]
+    clusters = points.withColumn("c", clustering.nearest(["x", "y"], fit.centres)).groupBy("blob", "c").count()
     assert clusters.count() == 4
 
 
 def test_lloyd_keeps_an_empty_centre(spark):
     points = spark.createDataFrame([(0.0,), (1.0,)], "x double")
-    assert clustering.lloyd_centres(points, ["x"], [(0.4,), (99.0,)], 2) == [(0.5,), (99.0,)]
+    fit = clustering.lloyd_fits(points, ["x"], {0: [(400_000,), (99_000_000,)]})[0]
+    assert fit.centres == ((500_000,), (99_000_000,)) and fit.cost == 2 * 500_000**2 and fit.inertia == 0.5
+
+
+def plain_lloyd(points, centres, most_steps=300):
+    """(centres, cost, steps) by whole numbers, one run at a time."""
+    centres, steps = [tuple(centre) for centre in centres], 0
+    while True:
+        squares = ((points[:, None, :] - np.array(centres)[None, :, :]) ** 2).sum(axis=2)
+        chosen, cost, steps = squares.argmin(axis=1), int(squares.min(axis=1).sum()), steps + 1
+        after = []
+        for cluster, centre in enumerate(centres):
+            own = points[chosen == cluster]
+            after.append(tuple((2 * int(total) + len(own)) // (2 * len(own)) for total in own.sum(axis=0)) if len(own) else centre)
+        if after == centres or steps >= most_steps:
+            return tuple(centres), cost, steps
+        centres = after
+
+
+@pytest.mark.parametrize("most_steps", [1, 3, 300])
+def test_all_runs_in_the_same_scans(spark, most_steps):
+    points = blobs(spark)
+    units = np.round(np.array([(row["x"], row["y"]) for row in points.collect()]) * clustering.UNIT).astype(np.int64)
+    source = np.random.default_rng(8)
+    starts = {
+        (size, turn): [tuple(map(int, units[at])) for at in source.choice(len(units), size, replace=False)]
+        for size in (1, 2, 5, 9)
+        for turn in range(3)
+    }
+    starts["equal starts"] = [starts[1, 0][0]] * 3
+    for table in (points, points.repartition(7)):
+        fits = clustering.lloyd_fits(table, ["x", "y"], starts, most_steps)
+        assert list(fits) == list(starts)
+        for key, fit in fits.items():
+            assert (fit.centres, fit.cost, fit.steps) == plain_lloyd(units, starts[key], most_steps)
+
+
+def test_best_of_several_starts(spark):
+    points = blobs(spark).withColumn("id", F.monotonically_increasing_id())
+    starts = clustering.drawn_starts(points, "id", ["x", "y"], [2, 4], 6)
+    assert len(starts) == 12 and all(len(set(start)) == size for (size, _), start in starts.items())
+    assert starts == clustering.drawn_starts(points.repartition(5), "id", ["x", "y"], [2, 4], 6)
+    fits = clustering.lloyd_fits(points, ["x", "y"], starts)
+    best = clustering.best_of(fits)
+    assert all(best[size].cost == min(fits[size, turn].cost for turn in range(6)) for size in (2, 4))
+    means = clustering.silhouette_means(points, ["x", "y"], best)
+    for size, fit in best.items():
+        assigned = points.withColumn("c", clustering.nearest(["x", "y"], fit.centres))
+        theirs = clustering.silhouettes(assigned, ["x", "y"], "c").agg(F.avg("silhouette")).first()[0]
+        assert means[size] == pytest.approx(theirs, abs=1e-6)
+    with pytest.raises(ValueError, match="too few"):
+        clustering.drawn_starts(points.limit(3), "id", ["x", "y"], [4], 2)
+
+
+def test_fits_without_points_and_with_far_ones(spark):
+    empty = spark.createDataFrame([], "x double")
+    assert clustering.lloyd_fits(empty, ["x"], {0: [(1,), (2,)]})[0] == clustering.Fit(((1,), (2,)), 0, 1)
+    far = spark.createDataFrame([(1e9,), (1e9 + 2,), (-1e9,)], "x double")
+    fit = clustering.lloyd_fits(far, ["x"], {0: [(0,), (10**15,)]})[0]
+    assert fit.centres == ((-(10**15),), (10**15 + 10**6,)) and fit.inertia == 2.0
 
 
 def test_best_kmeans_has_the_lowest_cost(spark):

@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from tillstone.plans.mart import Mart
+from tillstone.plans.mart import METHODS, Mart
 from tillstone.plans.pipeline import run
 
 if __name__ == "__main__":
@@ -15,7 +15,7 @@ if __name__ == "__main__":
     parser.add_argument("out", help="folder for the reports")
     parser.add_argument("--source", choices=["csv", "star"], default="csv")
     parser.add_argument("--format", choices=["parquet", "csv"], default="parquet")
-    parser.add_argument("--clustering", choices=["kmeans", "lloyd"], default="kmeans")
+    parser.add_argument("--clustering", choices=METHODS, default="kmeans")
     parser.add_argument("--duplicate-edges", choices=["error", "merge"], default="error")
     parser.add_argument("--no-strict", action="store_true", help="go on if keys are broken")
     options = parser.parse_args()

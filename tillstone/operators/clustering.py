@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Hashable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -13,13 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
+#: Coordinates are clustered as whole numbers of this unit, so that sums and means are exact in any order.
+UNIT = 10**DIGITS
 MOVEMENT = 1e-4
 
+Centre = tuple[int, ...]
 
-def standardize(table: DataFrame, features: Mapping[str, str]) -> DataFrame:
+
+def standardize(table: DataFrame, features: Mapping[str, str], digits: int | None = DIGITS) -> DataFrame:
     """Add z-scores with the population deviation; ``features`` maps a column to its z-score column.
 
-    A constant column has no spread to divide by and is only centred.
+    They are rounded to ``digits`` places, if any. A constant column has no spread to divide by and is only centred.
     """
     measures = [
         measure
@@ -30,73 +36,216 @@ def standardize(table: DataFrame, features: Mapping[str, str]) -> DataFrame:
         )
     ]
     moments = table.agg(*measures).first()
-    scaled = {
-        z: F.round(
-            (F.col(column).cast("double") - F.lit(moments[f"{column}_mean"]))
-            / F.lit(moments[f"{column}_deviation"] or 1.0),
-            DIGITS,
-        )
-        for column, z in features.items()
-    }
-    return table.withColumns(scaled)
+
+    def score(column: str) -> Column:
+        mean, deviation = F.lit(moments[f"{column}_mean"]), F.lit(moments[f"{column}_deviation"] or 1.0)
+        z = (F.col(column).cast("double") - mean) / deviation
+        return z if digits is None else F.round(z, digits)
+
+    return table.withColumns({z: score(column) for column, z in features.items()})
+
+
+def in_units(columns: Sequence[str]) -> list[Column]:
+    """Coordinates as whole units."""
+    return [F.round(F.col(column) * F.lit(float(UNIT))).cast("bigint") for column in columns]
+
+
+def _square(values: Sequence[Column], centre: Sequence[Column]) -> Column:
+    """Squared distance in doubles, added up in the order of the columns."""
+    gaps = [(value - place).cast("double") for value, place in zip(values, centre, strict=True)]
+    return reduce(lambda total, gap: total + gap, [gap * gap for gap in gaps])
+
+
+def _first_least(squares: Sequence[Column]) -> Column:
+    """Number of the smallest of some columns; the first of equal ones; nulls are passed over."""
+    least = F.least(*squares) if len(squares) > 1 else squares[0]
+    return F.coalesce(*[F.when(square == least, number) for number, square in enumerate(squares)])
+
+
+def nearest(columns: Sequence[str], centres: Sequence[Centre]) -> Column:
+    """Index of the closest centre (in units); the lower index wins a tie."""
+    values = in_units(columns)
+    return _first_least([_square(values, [F.lit(place) for place in centre]) for centre in centres])
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Centres in units, the sum of squared distances to them in square units, and the number of steps taken."""
+
+    centres: tuple[Centre, ...]
+    cost: int
+    steps: int
+
+    @property
+    def inertia(self) -> float:
+        return self.cost / UNIT**2
+
+
+def _placed(points: DataFrame, names: Sequence[str], runs: Mapping[int, Sequence[Sequence[object]]], fields: Sequence[str]) -> DataFrame:
+    """Every point once per run, beside the run's clusters as columns ``{field}{cluster}``; null where a run has fewer.
+
+    ``runs`` holds a tuple of ``fields`` per cluster; it has a row per run and is sent to all tasks.
+    """
+    widest = max(map(len, runs.values()))
+    rows = [
+        (run, *(value for cluster in (*clusters, *[[None] * len(fields)] * (widest - len(clusters))) for value in cluster))
+        for run, clusters in runs.items()
+    ]
+    columns = [f"{field.split()[0]}{cluster} {field.split()[1]}" for cluster in range(widest) for field in fields]
+    table = points.sparkSession.createDataFrame(rows, f"run int, {', '.join(columns)}")
+    spread = points.select(*names, F.explode(F.array(*map(F.lit, runs))).alias("run"))
+    return spread.join(F.broadcast(table), "run")
 
 
-def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
-    """Index of the closest centre; the lower index wins a tie."""
-    choices = []
-    for index, centre in enumerate(centres):
-        squares = [f"({c} - ({float(x)!r}D)) * ({c} - ({float(x)!r}D))" for c, x in zip(columns, centre)]
-        choices.append(f"struct(round({' + '.join(squares)}, 9) as distance, {index} as cluster)")
-    return F.expr(f"array_min(array({', '.join(choices)})).cluster")
+def _assigned(points: DataFrame, names: Sequence[str], centres: Mapping[int, Sequence[Centre]]) -> DataFrame:
+    """(run, cluster, coordinates) of every point in every run."""
+    placed = _placed(points, names, centres, [f"{name}_c bigint" for name in names])
+    widest = max(map(len, centres.values()))
+    squares = {
+        f"square{cluster}": _square([F.col(name) for name in names], [F.col(f"{name}_c{cluster}") for name in names])
+        for cluster in range(widest)
+    }
+    measured = placed.select("run", *names, *[square.alias(name) for name, square in squares.items()])
+    return measured.select("run", _first_least([F.col(name) for name in squares]).alias("cluster"), *names)
+
 
+def lloyd_fits(
+    points: DataFrame, columns: Sequence[str], starts: Mapping[Hashable, Sequence[Centre]], most_steps: int = 300
+) -> dict[Hashable, Fit]:
+    """Lloyd's algorithm from many starts at once, each until its centres stay where they are.
 
-def lloyd_centres(
-    points: DataFrame, columns: Sequence[str], seeds: Sequence[Sequence[float]], steps: int
-) -> list[tuple[float, ...]]:
-    """Centres after a fixed number of Lloyd steps. Each step is one pass that returns one row per centre."""
-    centres = [tuple(map(float, seed)) for seed in seeds]
-    means = [F.round(F.avg(column), DIGITS).alias(column) for column in columns]
-    points = points.select(*columns).persist()
+    One scan moves the centres of all runs that still move: a point is assigned once per run, and partial sums per run and
+    cluster are all that is shuffled or reaches the driver. Centres are rounded to whole units, so a run ends exactly
+    when an assignment repeats; as rounding could in principle lead in a circle, it ends after ``most_steps`` too. A
+    centre that lost all its points stays where it was.
+    """
+    keys = list(starts)
+    centres = {run: [tuple(map(int, centre)) for centre in starts[key]] for run, key in enumerate(keys)}
+    fits: dict[Hashable, Fit] = {}
+    names = [f"x{place}" for place in range(len(columns))]
+    points = points.select(*[unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)]).persist()
     try:
-        for _ in range(steps):
-            rows = points.groupBy(nearest(columns, centres).alias("cluster")).agg(*means).collect()
-            moved = {row["cluster"]: tuple(row[column] for column in columns) for row in rows}
-            # a centre that lost all its points stays where it was
-            centres = [moved.get(index, centre) for index, centre in enumerate(centres)]
+        wide = [F.col(name).cast("decimal(19,0)") for name in names]
+        norm = reduce(lambda total, one: total + one, [F.sum(one * one) for one in wide])
+        squares = int(points.agg(norm).first()[0] or 0)
+        step = 0
+        while centres:
+            totals = [F.sum(F.col(name).cast("decimal(19,0)")).alias(name) for name in names]
+            tally = _assigned(points, names, centres).groupBy("run", "cluster").agg(F.count("*").alias("n"), *totals)
+            found = {(row["run"], row["cluster"]): (row["n"], [int(row[name]) for name in names]) for row in tally.collect()}
+            step += 1
+            for run, before in [*centres.items()]:
+                after, cost = [], squares
+                for cluster, centre in enumerate(before):
+                    n, sums = found.get((run, cluster), (0, []))
+                    after.append(tuple((2 * total + n) // (2 * n) for total in sums) if n else centre)
+                    cost -= sum(2 * place * total - n * place * place for place, total in zip(centre, sums))
+                if after == before or step >= most_steps:
+                    fits[keys[run]] = Fit(tuple(before), cost, step)
+                    del centres[run]
+                else:
+                    centres[run] = after
     finally:
         points.unpersist()
-    return centres
+    return {key: fits[key] for key in keys}
 
 
-def silhouettes(points: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
-    """Add the squared-Euclidean ``silhouette`` of every point, from one summary row per cluster.
+def best_of(fits: Mapping[tuple[int, int], Fit]) -> dict[int, Fit]:
+    """For each number of clusters the fit of least cost, of equal ones the first; keys are (clusters, start)."""
+    best: dict[int, Fit] = {}
+    for (clusters, _), fit in sorted(fits.items()):
+        if clusters not in best or fit.cost < best[clusters].cost:
+            best[clusters] = fit
+    return best
+
+
+def drawn_starts(
+    points: DataFrame, key: str, columns: Sequence[str], sizes: Sequence[int], restarts: int
+) -> dict[tuple[int, int], list[Centre]]:
+    """For every number of clusters and restart, centres at points drawn by the MD5 of their key, the same each time.
+
+    Only as many points as the largest run needs, times the restarts, are looked at by the driver. Of fewer points each
+    run still starts at distinct ones.
+    """
+    largest = max(sizes)
+    names = [f"x{place}" for place in range(len(columns))]
+    units = [unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)]
+    drawn = points.select(F.md5(F.col(key).cast("string")).alias("draw"), key, *units)
+    rows = [tuple(row[name] for name in names) for row in drawn.orderBy("draw", key).limit(largest * restarts).collect()]
+    if len(rows) < largest:
+        raise ValueError(f"too few customers for {largest} clusters")
+    return {
+        (size, turn): [rows[(turn * largest + place) % len(rows)] for place in range(size)]
+        for turn in range(restarts)
+        for size in sizes
+    }
+
+
+def _silhouette(norm: Column, values: Sequence[Column], cluster: Column, summary: Sequence[tuple]) -> Column:
+    """Silhouette from (number, n, mean squared norm, means) of every cluster.
 
     The mean squared distance of a point x to a cluster with n members, mean m and mean squared norm q is
     |x|^2 - 2 x.m + q, so no pair of points is formed.
     """
-    norm = sum((F.col(column) * F.col(column) for column in columns), F.lit(0.0))
-    summary = (
-        points.groupBy(cluster)
-        .agg(
-            F.count("*").alias("n"),
-            F.avg(norm).alias("q"),
-            *[F.avg(column).alias(column) for column in columns],
-        )
-        .collect()
-    )
     own, others = F.lit(None).cast("double"), []
-    for row in summary:
-        dot = sum((F.col(column) * F.lit(row[column]) for column in columns), F.lit(0.0))
-        mean_gap = F.greatest(norm - F.lit(2.0) * dot + F.lit(row["q"]), F.lit(0.0))
-        inside = F.col(cluster) == F.lit(row[cluster])
+    for number, n, q, means in summary:
+        dot = reduce(lambda total, one: total + one, [value * mean for value, mean in zip(values, means, strict=True)])
+        gap = F.greatest(norm - F.lit(2.0) * dot + q, F.lit(0.0))
+        inside = cluster == number
         # the point itself, at distance zero, is not one of its neighbours
-        neighbours = mean_gap * F.lit(row["n"] / (row["n"] - 1)) if row["n"] > 1 else F.lit(None).cast("double")
+        neighbours = F.when(n > 1, gap * (n.cast("double") / (n.cast("double") - F.lit(1.0))))
         own = F.when(inside, neighbours).otherwise(own)
-        others.append(F.when(~inside, mean_gap))
-    closest_other = F.array_min(F.array_compact(F.array(*others)))
-    spread = F.greatest(own, closest_other)
-    score = F.when(own.isNull() | (spread == 0), 0.0).otherwise((closest_other - own) / spread)
-    return points.withColumn("silhouette", score)
+        # ``greatest`` passes over the null of a cluster that a run does not have
+        others.append(F.when((cluster != number) & q.isNotNull(), gap))
+    closest = F.least(*others) if len(others) > 1 else others[0]
+    spread = F.greatest(own, closest)
+    return F.when(own.isNull() | closest.isNull() | (spread == 0), 0.0).otherwise((closest - own) / spread)
+
+
+def _norm(values: Sequence[Column]) -> Column:
+    return reduce(lambda total, one: total + one, [value * value for value in values])
+
+
+def silhouettes(points: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
+    """Add the squared-Euclidean ``silhouette`` of every point, from one summary row per cluster."""
+    values = [F.col(column) for column in columns]
+    means = [F.avg(column).alias(column) for column in columns]
+    rows = points.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(_norm(values)).alias("q"), *means).collect()
+    summary = [
+        (F.lit(row[cluster]), F.lit(row["n"]), F.lit(row["q"]), [F.lit(row[column]) for column in columns]) for row in rows
+    ]
+    return points.withColumn("silhouette", _silhouette(_norm(values), values, F.col(cluster), summary))
+
+
+def silhouette_means(points: DataFrame, columns: Sequence[str], fits: Mapping[int, Fit]) -> dict[int, float]:
+    """Mean silhouette of every fit: one scan for the summaries of all clusters, one for the points."""
+    names = [f"x{place}" for place in range(len(columns))]
+    points = points.select(*[unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)])
+    centres = {number: fit.centres for number, fit in fits.items()}
+    wide = [F.col(name).cast("decimal(19,0)") for name in names]
+    totals = [F.sum(one).alias(name) for one, name in zip(wide, names, strict=True)]
+    squares = reduce(lambda total, one: total + one, [F.sum(one * one) for one in wide]).alias("squares")
+    tally = _assigned(points, names, centres).groupBy("run", "cluster").agg(F.count("*").alias("n"), squares, *totals).collect()
+    found = {(row["run"], row["cluster"]): row for row in tally}
+    summaries: dict[int, list[tuple]] = {number: [] for number in centres}
+    for (number, clusters), cluster in ((item, at) for item in centres.items() for at in range(len(item[1]))):
+        row = found.get((number, cluster))
+        empty = (None,) * (len(names) + 2)
+        means = row and (float(row["squares"]) / (row["n"] * UNIT**2), *(int(row[name]) / (row["n"] * UNIT) for name in names))
+        summaries[number].append((*clusters[cluster], *((row["n"], *means) if row else empty)))
+    fields = [*(f"{name}_c bigint" for name in names), "n bigint", "q double", *(f"{name}_m double" for name in names)]
+    widest = max(map(len, centres.values()))
+    placed = _placed(points, names, summaries, fields)
+    # assigned in the same plan, so that no point has to be found again
+    gaps = [_square([F.col(name) for name in names], [F.col(f"{name}_c{at}") for name in names]) for at in range(widest)]
+    placed = placed.withColumns({f"square{at}": gap for at, gap in enumerate(gaps)})
+    placed = placed.withColumn("cluster", _first_least([F.col(f"square{at}") for at in range(widest)]))
+    values = [F.col(name).cast("double") / F.lit(float(UNIT)) for name in names]
+    summary = [
+        (F.lit(at), F.col(f"n{at}"), F.col(f"q{at}"), [F.col(f"{name}_m{at}") for name in names]) for at in range(widest)
+    ]
+    scored = placed.select("run", _silhouette(_norm(values), values, F.col("cluster"), summary).alias("silhouette"))
+    return {row["run"]: row["silhouette"] for row in scored.groupBy("run").agg(F.avg("silhouette").alias("silhouette")).collect()}
 
 
 def tier_labels(profile: DataFrame, cluster: str, spend: str, labels: Sequence[str]) -> DataFrame:
@@ -122,7 +271,7 @@ def assemble(points: DataFrame, columns: Sequence[str]) -> DataFrame:
 def best_kmeans(
     vectors: DataFrame, clusters: Sequence[int], restarts: int = 10, seed: int = 42, parallelism: int = 8
 ) -> dict[int, KMeansModel]:
-    """For each K the model with the lowest cost over several seeds; fits run as concurrent Spark jobs.
+    """For each K MLlib's model with the lowest cost over several seeds; fits run as concurrent Spark jobs.
 
     A fit ends when its centres move by less than ``MOVEMENT`` in total (sum of squares), the usual rule for
     features of unit variance.

@@ -7,7 +7,8 @@ the Spark plans compute in distributed form. Money is kept in whole cents, so su
 from __future__ import annotations
 
 from tillstone.plans.checks import AMOUNT_LIMIT, ARMS, HIGH_VALUE_SHARE, TOP_SHARES
-from tillstone.plans.mart import CLUSTERS, LLOYD_STEPS
+from tillstone.plans.mart import CLUSTERS, RESTARTS
+from tillstone.plans.rfm import SIZES
 from tillstone.plans.views import TIER_COLUMNS
 from tillstone.schemas import HIGH_VALUE_TIERS, MARKET_SEGMENTS, TEXT_LIMITS, TIERS
 
@@ -140,45 +141,94 @@ TABLES: dict[str, tuple[list[str], str]] = {
     ),
 }
 
-# The place of a seed is n * odd / 8 rounded up; numbering the four seeds by place gives their centre id.
-TABLES["centres0"] = (
+# Coordinates in millionths, and their place in the order of the MD5 of the ids.
+TABLES["grid"] = (
     ["points"],
-    f"""
-    select row_number() over (order by place) - 1 as id, zr, zf, zm
-    from points
-    where place in (select ((select count(*) from points) * odd + {2 * CLUSTERS - 1}) // {2 * CLUSTERS}
-                    from (values (1), (3), (5), (7)) as odds(odd))""",
+    """
+    select customer_id, row_number() over (order by md5(cast(customer_id as varchar)), customer_id) - 1 as draw,
+           cast(round(zr * 1000000) as bigint) as x, cast(round(zf * 1000000) as bigint) as y,
+           cast(round(zm * 1000000) as bigint) as z
+    from points""",
 )
 
-for step in range(LLOYD_STEPS + 1):
-    TABLES[f"assigned{step}"] = (
-        ["points", f"centres{step}"],
-        f"""
-        select p.customer_id, min({{'gap': {gap('c')}, 'id': c.id}}).id as cluster
-        from points p, centres{step} c group by p.customer_id""",
-    )
-    TABLES[f"centres{step + 1}"] = (
-        ["points", f"centres{step}", f"assigned{step}"],
-        f"""
-        select c.id, coalesce(round(avg(p.zr), 6), any_value(c.zr)) as zr,
-               coalesce(round(avg(p.zf), 6), any_value(c.zf)) as zf,
-               coalesce(round(avg(p.zm), 6), any_value(c.zm)) as zm
-        from centres{step} c
-        left join assigned{step} a on a.cluster = c.id
-        left join points p on p.customer_id = a.customer_id
-        group by c.id""",
-    )
 
-TABLES["seg"] = (
-    ["points", f"assigned{LLOYD_STEPS}"],
-    f"""
+def _floored(top: str, bottom: str) -> str:
+    return f"((({top}) - ((({top}) % ({bottom})) + ({bottom})) % ({bottom})) // ({bottom}))"
+
+
+def _mean(axis: str) -> str:
+    return f"cast({_floored(f'2 * sum({axis}) + count(*)', '2 * count(*)')} as bigint)"
+
+
+#: Number of the closest of the centres ``cs``, counted from 1.
+CLOSEST = """cast(list_position(
+    list_transform(cs, lambda c: cast(p.x - c.x as double) * cast(p.x - c.x as double)
+        + cast(p.y - c.y as double) * cast(p.y - c.y as double) + cast(p.z - c.z as double) * cast(p.z - c.z as double)),
+    list_min(list_transform(cs, lambda c: cast(p.x - c.x as double) * cast(p.x - c.x as double)
+        + cast(p.y - c.y as double) * cast(p.y - c.y as double) + cast(p.z - c.z as double) * cast(p.z - c.z as double)))) as bigint)"""
+
+
+def _fits(sizes: list[int], restarts: int) -> str:
+    """Final centres of every run (k, r), by Lloyd's steps until the centres stay."""
+    largest = max(sizes)
+    return f"""
+    with recursive state(k, r, step, moved, cs) as (
+        select k, r, 0, true, list({{'x': x, 'y': y, 'z': z}} order by j)
+        from (select unnest({sizes}) as k) cross join (select unnest(range({restarts})) as r)
+        cross join (select unnest(range({largest})) as j)
+        join grid on draw = (r * {largest} + j) % least({largest * restarts}, (select count(*) from grid))
+        where j < k group by k, r
+        union all
+        select k, r, step + 1, new <> cs, new
+        from (
+            select k, r, step, cs, list_transform(range(1, k + 1), lambda i: coalesce(
+                list_extract(list_filter(found, lambda f: f.cluster = i), 1).mean, cs[i])) as new
+            from (
+                select k, r, step, cs, list({{'cluster': cluster, 'mean': mean}}) as found
+                from (
+                    select k, r, step, cs, cluster, {{'x': {_mean('x')}, 'y': {_mean('y')}, 'z': {_mean('z')}}} as mean
+                    from (
+                        select k, r, step, cs, p.x, p.y, p.z, {CLOSEST} as cluster
+                        from state, grid p where moved and step < 299)
+                    group by k, r, step, cs, cluster)
+                group by k, r, step, cs)))
+    select k, r, arg_max(cs, step) as cs from state group by k, r"""
+
+
+def _labelled(fit: str) -> str:
+    """Points with cluster and segment, by the centres of one run."""
+    return f"""
     select p.*, a.cluster, named.segment
     from points p
-    join assigned{LLOYD_STEPS} a using (customer_id)
+    join (select customer_id, {CLOSEST} - 1 as cluster from grid p, ({fit})) a using (customer_id)
     join (
         select cluster, [{quoted(TIERS)}][row_number() over (order by avg(monetary) desc, cluster)] as segment
-        from points join assigned{LLOYD_STEPS} using (customer_id) group by cluster) named
-      on named.cluster = a.cluster""",
+        from points join (select customer_id, {CLOSEST} - 1 as cluster from grid p, ({fit})) using (customer_id)
+        group by cluster) named
+      on named.cluster = a.cluster"""
+
+
+TABLES["one_fit"] = (["grid"], _fits([CLUSTERS], 1))
+TABLES["fits"] = (["grid"], _fits(list(SIZES), RESTARTS))
+TABLES["four_fits"] = (["grid"], _fits([CLUSTERS], RESTARTS))
+
+
+def _best(fits: str) -> str:
+    return f"""
+    select k, arg_min(cs, (cost, r)) as cs, min(cost) as cost
+    from (
+        select k, r, any_value(cs) as cs,
+               sum(cast(p.x - cs[c].x as hugeint) * (p.x - cs[c].x) + cast(p.y - cs[c].y as hugeint) * (p.y - cs[c].y)
+                   + cast(p.z - cs[c].z as hugeint) * (p.z - cs[c].z)) as cost
+        from (select k, r, cs, p.x, p.y, p.z, {CLOSEST} as c from {fits}, grid p) p group by k, r)
+    group by k"""
+
+
+TABLES["best_fits"] = (["grid", "fits"], _best("fits"))
+TABLES["seg"] = (["points", "grid", "one_fit"], _labelled("select cs from one_fit"))
+TABLES["best_seg"] = (
+    ["points", "grid", "four_fits"],
+    _labelled(f"select cs from ({_best('four_fits')})"),
 )
 TABLES["gaps"] = (
     ["seg"],
@@ -373,6 +423,33 @@ TEXTS: dict[str, tuple[list[str], str]] = {
     ),
     "rfm_scaled": (["points"], "select customer_id, zr, zf, zm from points"),
     "lloyd_segments": (["seg"], "select customer_id, cluster, segment from seg"),
+    "kmeans_segments": (
+        ["best_seg"],
+        """
+        select customer_id, recency, frequency, monetary, r_score as "R_score", f_score as "F_score",
+               m_score as "M_score", rfm_score as "RFM_score", cluster, segment
+        from best_seg""",
+    ),
+    "kmeans_sweep": (
+        ["points", "grid", "best_fits"],
+        f"""
+        with clustered as (
+            select k, p.customer_id, p.zr, p.zf, p.zm, c
+            from (select k, p.customer_id, {CLOSEST} as c from best_fits, grid p) join points p using (customer_id)
+        ), gaps as (
+            select a.k, a.customer_id, a.c, b.c as other, count(*) as n,
+                   sum((a.zr - b.zr) * (a.zr - b.zr) + (a.zf - b.zf) * (a.zf - b.zf) + (a.zm - b.zm) * (a.zm - b.zm)) as total
+            from clustered a join clustered b on a.k = b.k group by all
+        ), scores as (
+            select k, customer_id, max(n) filter (where c = other) as n,
+                   max(total / nullif(n - 1, 0)) filter (where c = other) as a, min(total / n) filter (where c <> other) as b
+            from gaps group by k, customer_id
+        )
+        select cast(k as bigint) as k, round(cast(any_value(cost) as double) / 1e12, 6) as inertia,
+               round(avg(case when n = 1 or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 6)
+                   as silhouette
+        from scores join best_fits using (k) group by k""",
+    ),
     "silhouette_by_cluster": (
         ["seg", "gaps"],
         """

@@ -24,8 +24,8 @@ FEATURES = {"recency": "zr", "frequency": "zf", "monetary": "zm"}
 Z = list(FEATURES.values())
 ATTRIBUTES = ["gender", "age_group", "city"]
 CLUSTERS = 4
-LLOYD_STEPS = 6
 RESTARTS = 10
+METHODS = ("kmeans", "lloyd", "mllib")
 
 
 class MissingDatesError(ValueError):
@@ -38,8 +38,8 @@ class Mart:
     Each shared table is written once, on first use, to the shared folder of the cluster, and every
     report reads it from there. Most reports need no more than ``profiles``, one row per customer.
 
-    Segments come from MLlib's K-means, best of ten seeds, or with ``clustering_method="lloyd"`` from a fixed
-    number of Lloyd steps from fixed starting points, whose result plain SQL can reproduce.
+    Segments come from K-means, best of ten starts; with ``clustering_method="lloyd"`` from the first start alone, and
+    with ``"mllib"`` from MLlib's K-means, best of ten seeds. The first two are exact, so that plain SQL can reproduce them.
     """
 
     def __init__(
@@ -53,8 +53,8 @@ class Mart:
     ):
         if on_duplicate_edges not in ("error", "merge"):
             raise ValueError("on_duplicate_edges is 'error' or 'merge'")
-        if clustering_method not in ("kmeans", "lloyd"):
-            raise ValueError("clustering_method is 'kmeans' or 'lloyd'")
+        if clustering_method not in METHODS:
+            raise ValueError(f"clustering_method is one of {', '.join(METHODS)}")
         size_shuffles(transactions)
         self.spark = spark
         self.store = WorkTables(spark)
@@ -152,12 +152,13 @@ class Mart:
         """Recency, frequency and monetary value of every customer with transactions."""
         self._check_dates()
         snapshot = self.customer_totals.agg(F.date_add(F.max("last_date"), 1)).scalar()
-        return self.customer_totals.where(F.col("customer_id").isNotNull()).select(
-            "customer_id",
-            F.date_diff(snapshot, F.col("last_date")).alias("recency"),
-            F.col("orders").alias("frequency"),
-            F.coalesce("revenue", F.lit(0)).cast("decimal(22,2)").alias("monetary"),
-        )
+        measures = {
+            "recency": F.date_diff(snapshot, F.col("last_date")),
+            "frequency": F.col("orders"),
+            "monetary": F.coalesce("revenue", F.lit(0)).cast("decimal(22,2)"),
+        }
+        # attributes and measures of the profile stay, so that segments need not be joined back to them
+        return self.customer_totals.where(F.col("customer_id").isNotNull()).withColumns(measures)
 
     @cache
     def _check_dates(self) -> None:
@@ -192,47 +193,49 @@ class Mart:
 
     @cached_property
     def scaled(self) -> DataFrame:
-        """``rfm_scores`` with z-scores and the position by falling spend."""
-        return with_position(
-            clustering.standardize(self.rfm_scores, FEATURES),
-            [F.desc("monetary"), F.col("customer_id")],
-            self.store,
-            "by-spend",
-        )
+        """``rfm_scores`` with z-scores."""
+        return self.store.save(clustering.standardize(self.rfm_scores, FEATURES), "scaled")
+
+    @cache
+    def fits(self, sizes: Sequence[int], restarts: int) -> dict[tuple[int, int], clustering.Fit]:
+        """K-means for every number of clusters and restart, all in the same scans."""
+        starts = clustering.drawn_starts(self.scaled, "customer_id", Z, sizes, restarts)
+        return clustering.lloyd_fits(self.scaled, Z, starts)
+
+    @cached_property
+    def lloyd_centres(self) -> tuple[clustering.Centre, ...]:
+        """Four centres, from the first start alone."""
+        return self.fits((CLUSTERS,), 1)[CLUSTERS, 0].centres
 
     @cached_property
-    def lloyd_centres(self) -> list[tuple[float, ...]]:
-        """Four centres, started at evenly spaced places in the order of spend."""
-        halves = 2 * CLUSTERS
-        # rounded up, so that as few customers as clusters still give distinct places
-        places = [
-            F.call_function("div", F.col("row_count") * odd + (halves - 1), F.lit(halves)) for odd in range(1, halves, 2)
-        ]
-        seeds = self.scaled.where(F.col("position").isin(places)).orderBy("position").select(*Z).collect()
-        if len(seeds) < CLUSTERS:
-            raise ValueError(f"too few customers for {CLUSTERS} clusters")
-        return clustering.lloyd_centres(self.scaled, Z, seeds, LLOYD_STEPS)
+    def kmeans_centres(self) -> tuple[clustering.Centre, ...]:
+        """Four centres, the best of ten starts."""
+        return clustering.best_of(self.fits((CLUSTERS,), RESTARTS))[CLUSTERS].centres
 
     @cached_property
-    def kmeans_clusters(self) -> DataFrame:
-        """``scaled`` with the cluster of the best of ten MLlib fits."""
-        vectors = clustering.assemble(self.scaled, Z).persist()
+    def mllib_clusters(self) -> DataFrame:
+        """``scaled`` with the cluster of the best of ten MLlib fits, over z-scores that are not rounded."""
+        raw = clustering.standardize(self.scaled, {column: f"{z}_raw" for column, z in FEATURES.items()}, None)
+        vectors = clustering.assemble(raw, [f"{z}_raw" for z in Z]).persist()
         try:
             model = clustering.best_kmeans(vectors, [CLUSTERS], RESTARTS)[CLUSTERS]
             assigned = model.transform(vectors).withColumnRenamed("prediction", "cluster")
-            return self.store.save(assigned.drop("features"), "kmeans")
+            return self.store.save(assigned.drop("features", *[f"{z}_raw" for z in Z]), "mllib")
         finally:
             vectors.unpersist()
 
+    def clustered(self, method: str) -> DataFrame:
+        """``scaled`` with the ``cluster`` that a method assigns."""
+        if method == "mllib":
+            return self.mllib_clusters
+        centres = self.kmeans_centres if method == "kmeans" else self.lloyd_centres
+        return self.scaled.withColumn("cluster", clustering.nearest(Z, centres))
+
     @cached_property
     def segmented(self) -> DataFrame:
         """Scores, z-scores, cluster and segment of every customer, with attributes and measures."""
-        if self.clustering_method == "kmeans":
-            assigned = self.kmeans_clusters
-        else:
-            assigned = self.scaled.withColumn("cluster", clustering.nearest(Z, self.lloyd_centres))
-        labelled = clustering.label_clusters(assigned.drop("position", "row_count"), schemas.TIERS, CLUSTERS)
-        return self.store.save(labelled.join(self.profiles, "customer_id"), "segmented")
+        clusters = self.clustered(self.clustering_method)
+        return self.store.save(clustering.label_clusters(clusters, schemas.TIERS, CLUSTERS), "segmented")
 
     @property
     def rfm_segments(self) -> DataFrame:

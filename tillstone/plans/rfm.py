@@ -49,9 +49,21 @@ def rfm_scaled(mart: Mart) -> DataFrame:
     return mart.scaled.select("customer_id", *Z)
 
 
-def kmeans_sweep(mart: Mart, sizes: Sequence[int] = tuple(range(2, 9)), restarts: int = RESTARTS) -> DataFrame:
-    """Cost and silhouette of the best of several fits for every K."""
-    vectors = clustering.assemble(mart.scaled.select("customer_id", *Z), Z).persist()
+SIZES = tuple(range(2, 9))
+
+
+def kmeans_sweep(mart: Mart, sizes: Sequence[int] = SIZES, restarts: int = RESTARTS) -> DataFrame:
+    """Cost and silhouette of the best of several starts for every K."""
+    best = clustering.best_of(mart.fits(tuple(sizes), restarts))
+    scores = clustering.silhouette_means(mart.scaled, Z, best)
+    rows = [(k, round(fit.inertia, 6), round(scores[k], 6)) for k, fit in sorted(best.items())]
+    return mart.spark.createDataFrame(rows, "k bigint, inertia double, silhouette double")
+
+
+def mllib_sweep(mart: Mart, sizes: Sequence[int] = SIZES, restarts: int = RESTARTS) -> DataFrame:
+    """The same by MLlib, a fit per K and seed."""
+    raw = clustering.standardize(mart.scaled.select("customer_id", *FEATURES), FEATURES, None)
+    vectors = clustering.assemble(raw, Z).persist()
     try:
         models = clustering.best_kmeans(vectors, sizes, restarts)
         rows = [
@@ -64,8 +76,8 @@ def kmeans_sweep(mart: Mart, sizes: Sequence[int] = tuple(range(2, 9)), restarts
 
 
 def kmeans_segments(mart: Mart) -> DataFrame:
-    """Segments from the best of ten MLlib fits with four clusters."""
-    labelled = clustering.label_clusters(mart.kmeans_clusters, TIERS, CLUSTERS)
+    """Segments from the best of ten K-means starts with four clusters."""
+    labelled = clustering.label_clusters(mart.clustered("kmeans"), TIERS, CLUSTERS)
     return _with_edge_types(labelled.select(*RFM_SEGMENTS.names))
 
 
