@@ -1,8 +1,9 @@
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tillstone.llm import near_dedup
+from tillstone.llm import near_dedup, skew
 from tillstone.llm.components import components
 from tillstone.llm.near_dedup import NearDedup
 
@@ -49,6 +50,31 @@ def test_large_group_of_near_copies(spark, tables):
     assert groups(spark, rows, tables) == expected(rows)
 
 
+def test_hot_buckets_and_hubs_are_dealt_out(spark, tables, monkeypatch):
+    """With small shares, and no key rare or every key rare, the groups are the same."""
+    base = cases.prose(11, 50).split()
+    rows = [(doc, " ".join([*base[: doc % 50], f"w{doc}", *base[doc % 50 + 1 :]])) for doc in range(120)]
+    rows += [(500 + doc, cases.prose(50 + doc // 3, 30)) for doc in range(60)]
+    wanted = expected(rows)
+    monkeypatch.setattr(near_dedup, "SHARE", 7)
+    for most in (3, 40):
+        monkeypatch.setattr(skew.with_totals, "__defaults__", (most,))
+        assert groups(spark, rows, tables) == wanted
+
+
+@pytest.mark.parametrize("most", [2, 5, 1 << 16])
+def test_totals_meet_rows_of_frequent_and_rare_keys(spark, tables, most):
+    rows = [(at if at % 3 else (1 if at % 2 else None), at) for at in range(100)]
+    frame = tables.save(spark.createDataFrame(rows, "k bigint, x bigint"), "frame")
+    totals = frame.groupBy("k").agg(F.sum("x").alias("total"), F.count("*").alias("n")).filter("k is null or k != 2")
+    wanted = {}
+    for key, x in rows:
+        wanted[key] = wanted.get(key, 0) + x
+    found = skew.with_totals(frame, tables.replace(totals, "totals"), "k", "n", most)
+    assert found.columns == ["k", "x", "total"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((k, x, wanted[k]) for k, x in rows if k != 2), key=str)
+
+
 def test_empty_table(spark, tables):
     assert near_dedup.deduplicated(cases.no_rows(spark), tables).count() == 0
 

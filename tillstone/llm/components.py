@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillstone.llm.skew import with_totals
 from tillstone.operators.storage import WorkTables
 
 
@@ -13,21 +14,26 @@ def components(links: DataFrame, tables: WorkTables) -> DataFrame:
 
     Each step points the neighbours of every node at the smallest of them, first the larger neighbours, then the
     others, until nothing changes; the number of steps grows with the logarithm of the longest path. No adjacency
-    list is collected: minima are aggregated before the shuffle and joined back.
+    list is collected: minima are aggregated before the shuffle, and those of nodes with many neighbours are sent to
+    the rows, so that the hub of a large component costs no task more than others.
     """
     one, other = links.columns
     pairs = links.select(F.greatest(one, other).alias("u"), F.least(one, other).alias("v")).filter("u > v").distinct()
+    pairs = tables.replace(pairs, "stars")
     before = None
     while True:
         both = pairs.union(pairs.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        near = with_totals(both, tables.replace(least, "least"), "u", "n")
+        large = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = tables.replace(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_totals(large, tables.replace(least, "least"), "u", "n")
         pairs = small.select("u", F.col("m").alias("v")).union(small.filter("v != m").select("v", "m")).distinct()
-        pairs = tables.save(pairs, "stars")
+        pairs = tables.replace(pairs, "stars")
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
+            tables.discard("least", "large")
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
                 pairs.select(F.col("v"), F.col("v")).distinct()
             )

@@ -28,8 +28,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstone.llm.arrow import Held, WordHashes, first_row_number, lists_of, mixed, steps, texts_of, window_hashes
+from tillstone.llm.arrow import Held, WordHashes, lists_of, mixed, steps, texts_of, window_hashes
 from tillstone.llm.components import components
+from tillstone.llm.skew import with_totals
 from tillstone.operators.storage import WorkTables
 
 
@@ -101,35 +102,36 @@ def far_apart(options: NearDedup) -> int:
     return int(options.coordinates * differs + 6 * spread)
 
 
-def _sketch(options: NearDedup, text: str):
+SKETCH = "row bigint, digest binary, size bigint, bands array<bigint>, bits binary"
+
+
+def _sketch(options: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, turned, row = WordHashes(), options.ranks(), first_row_number()
+        hashes, turned = WordHashes(), options.ranks()
         for batch in steps(batches):
             digests, sizes, bands, bits = [], [], [], []
-            for words in map(words_of, texts_of(batch, text)):
+            for words in map(words_of, texts_of(batch)):
                 found = shingles(hashes.of(words), options.shingle_words)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(found))
                 least = signature(found, turned, options) if words else None
                 bands.append(band_keys(least, options) if words else found.view(np.int64))
                 bits.append(bits_of(least) if words else None)
-            made = {
-                "row": pa.array(range(row, row + batch.num_rows), pa.int64()),
-                "digest": pa.array(digests, pa.binary()),
-                "size": pa.array(sizes, pa.int64()),
-                "bands": lists_of(bands, pa.int64()),
-                "bits": pa.array(bits, pa.binary()),
-            }
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
-            row += batch.num_rows
+            columns = [
+                batch.column("row"),
+                pa.array(digests, pa.binary()),
+                pa.array(sizes, pa.int64()),
+                lists_of(bands, pa.int64()),
+                pa.array(bits, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "digest", "size", "bands", "bits"])
 
     return run
 
 
-def sketches(held: Held, options: NearDedup) -> DataFrame:
-    """Every row with a number, the digest of its word sequence, the size of its shingle set, band keys and bits."""
-    schema = held.schema("row:bigint,digest:binary,size:bigint,bands:array<bigint>,bits:binary")
-    return held.table.mapInArrow(_sketch(options, held["text"]), schema=schema)
+def sketches(rows: DataFrame, text: str, options: NearDedup) -> DataFrame:
+    """For every row: the digest of its word sequence, the size of its shingle set, band keys and bits."""
+    return rows.select("row", F.col(text).alias("text")).mapInArrow(_sketch(options), schema=SKETCH)
 
 
 def _sets(options: NearDedup):
@@ -158,12 +160,28 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, options: NearDedup) -> DataFrame:
-    """Those pairs of nodes (a, b) whose full shingle sets are similar enough; ``sets`` has (node, found)."""
-    other = sets.toDF("b", "b_found")
-    centre = sets.toDF("a", "a_found")
-    both = pairs.join(centre, "a").join(other, "b").select("a", "b", "a_found", "b_found")
-    return both.mapInArrow(_verify(options.percent), schema="a bigint, b bigint")
+#: Rows of one key that a join gathers in a task.
+SHARE = 1024
+
+
+def verified(pairs: DataFrame, sets: DataFrame, tables: WorkTables, options: NearDedup) -> DataFrame:
+    """Those pairs of nodes (a, b) whose full shingle sets are similar enough; ``sets`` has (node, found).
+
+    Of each pair the node with more pairs is the hub. The other's set is fetched first, and the pairs of a hub are dealt
+    out over as many copies of its set as they fill.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    counts = tables.replace(ends.groupBy("node").agg(F.count("*").alias("n")), "counts")
+    both = pairs.join(counts.toDF("a", "a_n"), "a").join(counts.toDF("b", "b_n"), "b")
+    turned = F.col("a_n") < F.col("b_n")
+    hub, other = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    share = F.call_function("div", F.greatest("a_n", "b_n") - 1, F.lit(SHARE)) + 1
+    links = both.select(hub.alias("a"), other.alias("b"), share.alias("shares"))
+    links = tables.replace(links.withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares"))), "links")
+    copies = sets.toDF("a", "a_found").join(links.groupBy("a").agg(F.max("shares").alias("shares")), "a")
+    copies = copies.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).drop("shares")
+    found = links.drop("shares").join(sets.toDF("b", "b_found"), "b").join(copies, ["a", "share"])
+    return found.select("a", "b", "a_found", "b_found").mapInArrow(_verify(options.percent), schema="a bigint, b bigint")
 
 
 def words_of_bits(options: NearDedup) -> list[Column]:
@@ -174,12 +192,13 @@ def words_of_bits(options: NearDedup) -> list[Column]:
     return [part.alias(f"bits{at}") for at, part in enumerate(parts)]
 
 
-def _turn(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+def _turn(members: DataFrame, centres: int, tables: WorkTables) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare in this turn, and what is left of the buckets after it.
 
-    ``members`` has (key, node, size, label, bits0, ...) of buckets. In a bucket with different labels the nodes of least hash
-    become centres, about ``centres`` of them and at least one. A centre is compared with all nodes of other labels and
-    then leaves its bucket, so that every pair of different labels has its turn.
+    ``members``, a written table, has (key, node, size, label, bits0, ...) of buckets. In a bucket with different labels the
+    nodes of least hash become centres, about ``centres`` of them and at least one. A centre is compared with all nodes
+    of other labels and then leaves its bucket, so that every pair of different labels has its turn. A large bucket is
+    dealt out over several copies of its centres.
     """
     members = members.withColumn("place", F.xxhash64("node"))
     buckets = (
@@ -187,28 +206,41 @@ def _turn(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
         .agg(F.count("*").alias("n"), F.min("place").alias("first"), F.min("label").alias("l"), F.max("label").alias("h"))
         .filter("l < h")
         .withColumn("last", F.col("first") + (centres - 1) / F.col("n") * 2.0**64)
-        .select("key", "first", "last")
+        .select("key", "n", "first", "last", F.expr(f"(n - 1) div {SHARE} + 1").alias("shares"))
     )
-    dealt = members.join(buckets, "key").withColumn("centre", F.expr("place = first or place < last"))
+    dealt = with_totals(members, tables.replace(buckets, "buckets"), "key", "n")
+    dealt = dealt.withColumn("centre", F.expr("place = first or place < last"))
     bits = [name for name in members.columns if name.startswith("bits")]
-    left = dealt.filter("centre").selectExpr("key", "node a", "size a_size", "label a_label", "place a_place", *(f"{b} a_{b}" for b in bits))
-    right = dealt.selectExpr("key", "node b", "size b_size", "label b_label", "place b_place", "centre", *bits)
-    pairs = left.join(right, "key").filter("a_label != b_label and (not centre or a_place < b_place)")
+    left = dealt.filter("centre").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+    left = left.selectExpr("key", "share", "node a", "size a_size", "label a_label", "place a_place", *(f"{b} a_{b}" for b in bits))
+    right = dealt.withColumn("share", F.pmod("place", "shares"))
+    right = right.selectExpr("key", "share", "node b", "size b_size", "label b_label", "place b_place", "centre", *bits)
+    pairs = left.join(right, ["key", "share"]).filter("a_label != b_label and (not centre or a_place < b_place)")
     differing = " + ".join(f"bit_count({b} ^ a_{b})" for b in bits)
     return pairs.withColumn("differing", F.expr(differing)), dealt.filter("not centre").select("key", "node", "size", *bits)
 
 
-def linked_nodes(sketched: DataFrame, text: str, tables: WorkTables, options: NearDedup) -> DataFrame | None:
+def bucketed(sketched: DataFrame, nodes: DataFrame, tables: WorkTables, options: NearDedup) -> DataFrame:
+    """(key, node, size, bits0, ...) of every class in a bucket with another.
+
+    Keys and node numbers alone are shuffled for that; sizes and bits are looked up for what is left.
+    """
+    own = sketched.join(nodes, "row", "left_semi").withColumnRenamed("row", "node")
+    banded = own.select(F.explode("bands").alias("key"), "node")
+    shared = tables.save(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    return with_totals(banded, shared, "key", "n").join(own.select("node", "size", *words_of_bits(options)), "node")
+
+
+def linked_nodes(sketched: DataFrame, rows: DataFrame, text: str, tables: WorkTables, options: NearDedup) -> DataFrame | None:
     """(node, label) of every class that is linked with another, None if there is none.
 
-    ``sketched`` is the written table of sketches; the node of a class is its smallest row number.
+    ``rows`` and ``sketched`` are written tables of rows and of their sketches; the node of a class is its smallest row number.
     """
     nodes = tables.save(sketched.filter("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row"), "nodes")
-    own = sketched.join(nodes, "row", "left_semi").withColumnRenamed("row", "node")
-    banded = own.select(F.explode("bands").alias("key"), "node", "size", "bits")
-    shared = banded.groupBy("key").count().filter("count > 1").select("key")
-    members = tables.save(banded.join(shared, "key").select("key", "node", "size", *words_of_bits(options)), "members")
-    texts = own.select("node", F.col(text).alias("text")).join(members.select("node").distinct(), "node", "left_semi")
+    members = tables.save(bucketed(sketched, nodes, tables, options), "members")
+    tables.discard("nodes", "shared")
+    compared = members.select(F.col("node").alias("row")).distinct()
+    texts = rows.select("row", F.col(text).alias("text")).join(compared, "row", "left_semi").withColumnRenamed("row", "node")
     sets = tables.save(texts.mapInArrow(_sets(options), schema="node bigint, found binary"), "sets")
     labels, tested, centres = None, None, 1
     while True:
@@ -216,29 +248,30 @@ def linked_nodes(sketched: DataFrame, text: str, tables: WorkTables, options: Ne
             labelled = members.withColumn("label", F.col("node"))
         else:
             labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs, rest = _turn(labelled, centres)
+        pairs, rest = _turn(tables.replace(labelled, "labelled"), centres, tables)
         alike = f"100 * least(a_size, b_size) >= {options.percent} * greatest(a_size, b_size)"
         pairs = pairs.filter(f"{alike} and differing <= {far_apart(options)}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = tables.save(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        members = tables.save(rest, "members")
+        pairs = tables.replace(pairs, "pairs")
+        members = tables.replace(rest, "members")
         if pairs.isEmpty():
             if members.isEmpty():
+                tables.discard("sets", "labelled", "buckets", "members", "pairs", "tested", "counts", "links", "linked")
                 return labels
         else:
-            links = tables.save(verified(pairs, sets, options), "links")
+            tested = tables.replace(pairs if tested is None else tested.union(pairs), "tested")
+            links = tables.replace(verified(pairs, sets, tables, options), "linked")
             if not links.isEmpty():
                 known = links if labels is None else links.union(labels.select("node", "label"))
-                labels = components(known, tables)
+                labels = tables.replace(components(known, tables), "labels")
         centres *= 4
 
 
 @dataclass(frozen=True)
 class Found:
-    """``rows``: every document (``held`` says under which names) with row, size and digest; ``groups``: slim results."""
+    """``rows``: every document (``held`` says under which names) with its row number; ``groups``: slim results."""
 
     held: Held
     rows: DataFrame
@@ -248,20 +281,28 @@ class Found:
 def near_duplicates(documents: DataFrame, tables: WorkTables, options: NearDedup = NearDedup()) -> Found:
     """``groups`` has (row, doc_id, n_shingles, label, component_id); rows of one label form a component."""
     held = Held(documents)
-    sketched = tables.save(sketches(held, options), "sketches")
-    labels = linked_nodes(sketched, held["text"], tables, options)
-    slim = sketched.select("row", F.col(held["doc_id"]).alias("doc_id"), "digest", F.col("size").alias("n_shingles"))
-    classes = slim.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    rows = tables.save(held.table.withColumn("row", F.monotonically_increasing_id()), "rows")
+    sketched = tables.save(sketches(rows, held["text"], options), "sketches")
+    labels = linked_nodes(sketched, rows, held["text"], tables, options)
+    slim = rows.select("row", F.col(held["doc_id"]).alias("doc_id")).join(
+        sketched.select("row", "digest", F.col("size").alias("n_shingles")), "row"
+    )
+    slim = tables.save(slim, "slim")
+    tables.discard("sketches")
+    worded = slim.filter("n_shingles > 0")
+    classes = worded.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
     if labels is None:
-        classes = classes.select("digest", F.col("node").alias("label"), F.col("least").alias("component_id"))
+        classes = classes.select("digest", "n", F.col("node").alias("label"), F.col("least").alias("component_id"))
     else:
-        classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-        classes = classes.join(smallest, "label").select("digest", "label", "component_id")
-    full = slim.filter("n_shingles > 0").join(tables.save(classes, "classes"), "digest").drop("digest")
+        classes = tables.save(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "unnamed")
+        smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+        named = with_totals(classes, tables.save(smallest, "smallest"), "label", "classes")
+        classes = named.select("digest", "n", "label", "component_id")
+    full = with_totals(worded, tables.save(classes, "classes"), "digest", "n").drop("digest")
     empty = slim.filter("n_shingles = 0").drop("digest")
     empty = empty.withColumn("label", F.col("row")).withColumn("component_id", F.col("doc_id"))
-    return Found(held, sketched.drop("bands", "bits"), full.unionByName(empty))
+    tables.discard("unnamed", "smallest", "labels")
+    return Found(held, rows, full.unionByName(empty))
 
 
 def deduplicated(documents: DataFrame, tables: WorkTables, options: NearDedup = NearDedup()) -> DataFrame:

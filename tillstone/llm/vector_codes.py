@@ -13,8 +13,8 @@ codebook. After each round ``b`` shrinks to what all but a few parts needed. Bou
 distances are rounded up; whatever they leave open is settled on integers, so that codes are exact.
 
 Entries, their sums and counts are the only things that reach the driver; their number depends on the parameters alone.
-Sums are taken per task before they are shuffled, and labels that hold many rows are added up in the same way; totals of
-frequent labels, whose number is bounded, are sent to all tasks, those of the others are joined.
+Sums are taken per task before they are shuffled. Totals of frequent labels, whose number is bounded, are sent to all
+tasks, those of the others are joined.
 
 Defined cases: rows whose vector is null or holds null, NaN or an infinity are left out. A null vec_id is larger than all
 others; rows that repeat one are vectors of their own, in the order of their bytes. With fewer vectors than entries
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.llm.arrow import Held
+from tillstone.llm.skew import MOST_FREQUENT, with_totals
 from tillstone.operators.storage import WorkTables
 
 
@@ -300,20 +301,10 @@ def first_codebook(rows: DataFrame, options: Codes) -> Codebook | None:
     return Codebook(np.ascontiguousarray(vectors.reshape(len(first), options.parts, -1).transpose(1, 0, 2)))
 
 
-def with_label_totals(rows: DataFrame, most: int = 1 << 16) -> DataFrame:
-    """Add ``label_error``, the sum of ``error`` over rows of one label.
-
-    A label with more than one row in ``most`` is frequent; there are fewer than ``most`` of them, and their sums go to all
-    tasks. The others hold too few rows to fill one.
-    """
+def with_label_totals(rows: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
+    """Add ``label_error``, the sum of ``error`` over rows of one label."""
     totals = rows.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
-    bound = F.lit(rows.count() // most)
-    frequent = totals.filter(F.col("n") > bound).select(F.col("label").alias("same"), "label_error", F.lit(True).alias("found"))
-    joined = rows.join(F.broadcast(frequent), F.col("label").eqNullSafe(F.col("same")), "left").drop("same")
-    rare = totals.filter(F.col("n") <= bound).select(F.col("label").alias("same"), "label_error")
-    rest = joined.filter("found is null").drop("label_error", "found")
-    rest = rest.join(rare, F.col("label").eqNullSafe(F.col("same"))).drop("same")
-    return joined.filter("found").drop("found").unionByName(rest)
+    return with_totals(rows, totals, "label", "n", most)
 
 
 @dataclass(frozen=True)
