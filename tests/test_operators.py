@@ -1,5 +1,6 @@
 """Distributed operators against plain windows and brute force."""
 
+import hashlib
 import os
 import statistics
 from decimal import Decimal
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from tillstone.functions.numbers import half_up, sum_cents
 from tillstone.functions.text import hash_bucket, padded_id, weighted_label
-from tillstone.operators import clustering, sizing
+from tillstone.operators import clustering, quality, sampling, sizing
 from tillstone.operators.histogram import equal_width
-from tillstone.operators.joins import spread_join
-from tillstone.operators.ordering import tile, top_ranked, with_position
-from tillstone.operators.quantiles import exact_quantiles
+from tillstone.operators.joins import frequent_keys, join_totals, spread_join
+from tillstone.operators.ordering import tile, top_ranked, with_position, with_running
+from tillstone.operators.quantiles import box_stats, exact_quantiles, group_quantiles, interpolated
 from tillstone.operators.sampling import draw_share
 from tillstone.operators.scoring import EDGES, RepeatedEdgesError, check_edges, score_above, score_of_position
 from tillstone.operators.sizing import fits_broadcast
@@ -60,6 +61,68 @@ def test_tile_equals_ntile(spark, n):
 
 
 @pytest.mark.parametrize("k", [1, 4, 20, 9999])
+def running_cases():
+    source = np.random.default_rng(4)
+    tied = [(at, None if at % 9 == 0 else int(source.integers(0, 4)), at % 11 or None) for at in range(200)]
+    return {
+        "ties over parts": tied,
+        "one value": [(at, 5, 1) for at in range(120)],
+        "only nulls": [(at, None, None) for at in range(50)],
+        "distinct": [(at, at * 7 % 101, at) for at in range(101)],
+        "negative": [(at, at % 5 - 2, -at) for at in range(60)],
+        "one row": [(1, 2, 3)],
+        "empty": [],
+    }
+
+
+@pytest.mark.parametrize("case", list(running_cases()))
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("nulls_last", [True, False])
+def test_running_equals_plain_windows(spark, store, settings, case, descending, nulls_last):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="9")
+    table = spark.createDataFrame(running_cases()[case], "id int, v int, x int")
+    got = with_running(
+        table, "v", "id", store, "running", descending=descending, nulls_last=nulls_last,
+        running={"so_far": "x", "values": "v"}, lags={"previous": "x", "value_before": "v"},
+    )
+    side = F.desc_nulls_last if nulls_last else F.desc_nulls_first
+    if not descending:
+        side = F.asc_nulls_last if nulls_last else F.asc_nulls_first
+    order, rows_in_order = Window.orderBy(side("v")), Window.orderBy(side("v"), "id")
+    wanted = table.select(
+        "*",
+        F.rank().over(order).cast("bigint").alias("rank"),
+        F.sum("x").over(order).alias("so_far"),
+        F.sum("v").over(order).alias("values"),
+        F.sum("x").over(Window.partitionBy()).alias("so_far_whole"),
+        F.sum("v").over(Window.partitionBy()).alias("values_whole"),
+        F.lag("x").over(rows_in_order).alias("previous"),
+        F.lag("v").over(rows_in_order).alias("value_before"),
+    )
+    assert got.columns == wanted.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_running_over_millions_of_groups(spark, store, settings):
+    """Five million categories, a third of them of one revenue: no task holds more than its part."""
+    settings(spark__sql__shuffle__partitions="16", spark__sql__adaptive__coalescePartitions__enabled="false")
+    n = 5_000_000
+    value = F.when(F.col("id") % 3 == 0, F.lit(77)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_000)))
+    table = spark.range(n).select(F.col("id").alias("category"), value.cast("bigint").alias("revenue"))
+    got = with_running(table, "revenue", "category", store, "many", running={"so_far": "revenue"}, lags={"before": "revenue"})
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text
+    parts = store.spark.read.parquet(f"{store.folder}/many-????????").groupBy(F.shiftright("_row", 33))
+    sizes = [row["count"] for row in parts.count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * n / 16
+    checks = got.agg(
+        F.max("so_far"), F.max("so_far_whole"), F.min("rank"), F.count_if(F.col("before").isNull()),
+        F.count_if(F.col("before") < F.col("revenue")), F.count_distinct(F.when(F.col("revenue") == 77, F.col("rank"))),
+    ).first()
+    whole = table.agg(F.sum("revenue")).first()[0]
+    assert tuple(checks) == (whole, whole, 1, 1, 0, 1)
+
+
 def test_top_ranked_equals_windows(spark, k):
     table = skewed(spark, 600).withColumn("v", F.col("v").cast("decimal(22,2)"))
     falling = Window.orderBy(F.desc("v"))
@@ -190,9 +253,114 @@ def test_histogram_of_a_constant(spark):
     assert [row["n"] for row in got] == list(np.histogram([4.0] * 3, bins=4)[0])
 
 
-def test_draw_share(spark, store):
-    drawn = draw_share(spark.range(103), "id", 0.2, store)
-    assert drawn.count() == drawn.select("id").distinct().count() == 20
+def drawn_by_sorting(keys, share):
+    order = sorted(keys, key=lambda key: (key is not None, key is not None and hashlib.md5(str(key).encode()).hexdigest(), key))
+    return sorted(map(str, order[: int(len(keys) * share)]))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.003, 0.2, 0.999, 1.0])
+def test_draw_share(spark, share, monkeypatch):
+    keys = [*range(1000), None, None]
+    frame = spark.createDataFrame([(key,) for key in keys], "id bigint").repartition(3)
+    for bits in (16, 8, 4):  # coarse slices leave more rows to the last one
+        monkeypatch.setattr(sampling, "BITS", bits)
+        drawn = [row["id"] for row in draw_share(frame, "id", share).collect()]
+        assert sorted(map(str, drawn)) == drawn_by_sorting(keys, share)
+
+
+def test_draw_share_neither_sorts_nor_writes(spark):
+    drawn = draw_share(spark.range(100_000), "id", 0.2)
+    text = drawn._jdf.queryExecution().executedPlan().toString()
+    assert drawn.count() == 20_000 and "Sort" not in text.replace("TakeOrderedAndProject", "")
+    assert draw_share(spark.range(0), "id", 0.2).count() == 0
+
+
+@pytest.mark.parametrize("met_by_chance", [False, True])
+def test_key_check_by_hashes(spark, monkeypatch, met_by_chance):
+    if met_by_chance:
+        monkeypatch.setattr(quality, "short_hash", lambda *values: F.pmod(F.xxhash64(*values), F.lit(3)))
+    rows = [("a", 1), ("a", 2), ("b", 1), ("b", 1), ("b", 1), ("c", 7), ("c", 7), (None, 1), ("d", None), (None, None)]
+    frame = spark.createDataFrame(rows, "k string, n int")
+    assert [tuple(row) for row in quality.pk_check(frame, ["k", "n"], "t").collect()] == [("t", "k,n", 10, 3, 2)]
+    assert [tuple(row) for row in quality.pk_check(frame, ["k"], "t").collect()] == [("t", "k", 10, 2, 3)]
+    assert [tuple(row) for row in quality.pk_check(frame.limit(0), ["k"], "t").collect()] == [("t", "k", 0, 0, 0)]
+
+
+@pytest.mark.parametrize("met_by_chance", [False, True])
+def test_profile_by_hashes(spark, monkeypatch, met_by_chance):
+    if met_by_chance:
+        monkeypatch.setattr(quality, "short_hash", lambda *values: F.pmod(F.xxhash64(*values), F.lit(4)))
+    rows = [(at % 7, None if at % 5 else f"text {at % 13}", Decimal(at % 3), f"{at:040}") for at in range(90)]
+    frame = spark.createDataFrame(rows, "a int, `b.c` string, d decimal(5,2), wide string")
+    got = [tuple(row) for row in quality.column_profile(frame).collect()]
+    texts = {row[1] for row in rows if row[1]}
+    assert got == [
+        (1, "a", 5, 0, 7),
+        (2, "b.c", max(map(len, texts)) + 4, 72, len(texts)),
+        (3, "d", 8, 0, 3),
+        (4, "wide", 30, 0, 90),
+    ]
+    assert [tuple(row)[2:] for row in quality.column_profile(frame.limit(0)).collect()] == [(5, 0, 0), (7, 0, 0), (5, 0, 0), (8, 0, 0)]
+
+
+def quantile_groups(frame, probabilities, store, name="quantiles"):
+    found = group_quantiles(frame, "x", probabilities, ["g", "h"], store, name)
+    value = interpolated(F.col("lower"), F.col("upper"), F.col("part"), F.col("whole"))
+    return {(row["g"], row["h"], row["place"]): row["v"] for row in found.withColumn("v", value).collect()}
+
+
+def test_quantiles_of_many_groups(spark, store, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="7")
+    source = np.random.default_rng(2)
+    rows = [(None if g == 3 else g, "h" if g % 2 else None, int(x)) for g in range(40) for x in source.integers(-50, 50, 1 + g)]
+    rows += [(1000, "hot", int(x)) for x in source.integers(0, 3, 2000)] + [(5, "h", None), (2000, "empty", None)]
+    frame = spark.createDataFrame(rows, "g int, h string, x int").repartition(5)
+    probabilities = [Fraction(0), Fraction(1, 4), Fraction(1, 3), Fraction(9, 10), Fraction(1)]
+    groups = {}
+    for g, h, x in rows:
+        if x is not None:
+            groups.setdefault((g, h), []).append(x)
+    wanted = {(*group, at): np.quantile(xs, float(p)) for group, xs in groups.items() for at, p in enumerate(probabilities)}
+    got = quantile_groups(frame, probabilities, store)
+    assert got.keys() == wanted.keys()
+    assert all(got[key] == pytest.approx(wanted[key], abs=1e-9) for key in wanted)
+    assert not quantile_groups(frame.limit(0), probabilities, store, "nothing")
+
+
+def test_box_statistics_of_a_million_groups(spark, store):
+    """Groups 0..n of the values g, g + 1, ..., g + 6 and one outlier; the driver sees no more than counts."""
+    n = 1_000_000
+    outlier = F.when(F.col("k") == 7, F.col("g") + 1000)
+    frame = spark.range(8 * n).select((F.col("id") % n).alias("g"), F.floor(F.col("id") / n).alias("k"))
+    frame = frame.select("g", F.coalesce(outlier, F.col("g") + F.col("k")).alias("x"))
+    boxes = box_stats(frame, "x", ["g"], store, "many")
+    shape = [F.col(name) - F.col("g") for name in ("least", "q1", "med", "q3", "most", "whisker_lo", "whisker_hi")]
+    counts = boxes.groupBy(F.array(*shape).alias("shape"), "outliers").count().collect()
+    assert [(row["shape"], row["outliers"], row["count"]) for row in counts] == [([0.0, 1.75, 3.5, 5.25, 1000.0, 0.0, 6.0], 1, n)]
+
+
+def test_frequent_keys_have_no_bound_but_the_partitions(spark):
+    """A key of 0.009 % of the rows fills nine tasks of 100,000 and is dealt out; its hands stay within twice the median."""
+    n, partitions = 2_000_000, 100_000
+    table = spark.range(n).select(F.when(F.col("id") < 180, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+    (found,) = frequent_keys(table, "k", partitions).collect()
+    assert found["k"] == -1 and found["_hands"] == 36
+    loads = table.where("k = -1").groupBy(F.pmod(F.xxhash64("row"), F.lit(found["_hands"]))).count().collect()
+    assert max(row["count"] for row in loads) <= 2 * n // partitions
+
+
+@pytest.mark.parametrize("most", [2, 5, 1 << 16])
+def test_totals_meet_rows_of_frequent_and_rare_keys(spark, store, most):
+    rows = [(at if at % 3 else (1 if at % 2 else None), "x" if at % 7 else None, at) for at in range(100)]
+    frame = store.save(spark.createDataFrame(rows, "k bigint, h string, x bigint"), "frame")
+    totals = frame.groupBy("k", "h").agg(F.sum("x").alias("total"), F.count("*").alias("n")).where("k is null or k != 2")
+    wanted = {}
+    for key, other, x in rows:
+        wanted[key, other] = wanted.get((key, other), 0) + x
+    found = join_totals(frame, store.save(totals, "totals"), ["k", "h"], "n", most)
+    assert found.columns == ["k", "h", "x", "total"]
+    expected = [(k, h, x, wanted[k, h]) for k, h, x in rows if k != 2]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
 
 
 def test_half_up(spark):

@@ -31,7 +31,7 @@ def test_plan_nodes(spark, key):
 
 
 @pytest.mark.parametrize(
-    "key", ["revenue_by_category", "payment_mode_distribution", "monthly_revenue", "vw_category_performance"]
+    "key", ["revenue_by_category", "payment_mode_distribution", "monthly_revenue", "bi_by_category"]
 )
 def test_fact_scans_read_only_what_they_need(spark, key):
     schemas = re.findall(r"ReadSchema: (.*)", plan(QUERIES[key](spark, FOLDER)))

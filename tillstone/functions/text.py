@@ -32,9 +32,3 @@ def weighted_label(bucket: Column, weights: Mapping[str, float]) -> Column:
     for label, limit in reversed(list(zip(labels[:-1], limits[:-1]))):
         choice = F.when(bucket < limit, label).otherwise(choice)
     return choice
-
-
-def rendered_width(value: Column, header: str, padding: int = 4, widest: int = 30) -> Column:
-    """Display width of a column: its longest rendered value or header plus padding, clamped."""
-    longest = F.greatest(F.lit(len(header)), F.max(F.length(value.cast("string"))))
-    return F.least(longest + padding, F.lit(widest))

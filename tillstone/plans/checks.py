@@ -70,8 +70,7 @@ def column_profile(mart: Mart) -> DataFrame:
 
 def sample_customers(mart: Mart) -> DataFrame:
     """The fifth of the customers that a draw without replacement marks as high value."""
-    drawn = draw_share(mart.customers.select("customer_id"), "customer_id", HIGH_VALUE_SHARE, mart.store)
-    return drawn.select("customer_id")
+    return draw_share(mart.customers.select("customer_id"), "customer_id", HIGH_VALUE_SHARE)
 
 
 def date_spine_revenue(mart: Mart) -> DataFrame:

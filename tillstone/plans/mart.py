@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tillstone import schemas
 from tillstone.functions.numbers import from_cents, to_cents
 from tillstone.operators import clustering
-from tillstone.operators.ordering import with_position
+from tillstone.operators.ordering import with_position, with_running
 from tillstone.operators.quantiles import exact_quantiles
 from tillstone.operators.scoring import EDGES, check_edges, score_above, score_of_position
 from tillstone.operators.sizing import size_shuffles
 from tillstone.operators.storage import WorkTables
-from tillstone.plans.measures import totals_by
+from tillstone.plans.measures import monthly_totals, totals_by
 from tillstone.sources.files import read_csv
 from tillstone.sources.star import star_customers, star_table, star_transactions
 
@@ -147,6 +147,21 @@ class Mart:
         order = [F.desc_nulls_last("revenue"), F.col("customer_id")]
         return with_position(totals, order, self.store, "spend-positions")
 
+    @cached_property
+    def ranked_categories(self) -> DataFrame:
+        """Measures per category with ``rank``, ``running`` and ``running_whole`` by falling revenue."""
+        totals = totals_by(self.facts, "category")
+        ranked = with_running(totals, "revenue", "category", self.store, "categories", running={"running": "revenue"})
+        return self.store.save(ranked, "ranked-categories")
+
+    @cached_property
+    def month_steps(self) -> DataFrame:
+        """Measures per month, one of its days, and the revenue of the month ``before``."""
+        totals = monthly_totals(self.facts, day=F.min("transaction_date"))
+        options = {"descending": False, "nulls_last": False, "lags": {"before": "revenue"}}
+        steps = with_running(totals, "month", "month", self.store, "months", **options)
+        return self.store.save(steps, "month-steps")
+
     @property
     def rfm(self) -> DataFrame:
         """Recency, frequency and monetary value of every customer with transactions."""

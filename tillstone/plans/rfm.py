@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +10,10 @@ from pyspark.sql import functions as F
 from tillstone.functions.numbers import half_up, money, percent, thousands
 from tillstone.functions.shapes import in_label_order, over_all
 from tillstone.operators import clustering
-from tillstone.operators.quantiles import exact_quantiles
+from tillstone.operators.quantiles import box_stats
 from tillstone.plans.mart import CLUSTERS, FEATURES, RESTARTS, Mart, Z
 from tillstone.schemas import RFM_SEGMENTS, TIERS
 
-QUARTERS = [Fraction(k, 4) for k in range(5)]
-
 
 def rfm_base(mart: Mart) -> DataFrame:
     return mart.rfm.select(
@@ -143,25 +140,8 @@ def segment_box_stats(mart: Mart) -> DataFrame:
     """Box-plot numbers per segment and metric: quartiles, whiskers within 1.5 IQR, outliers beyond."""
     wide = mart.rfm_segments.select("segment", *[F.col(name).cast("decimal(22,2)").alias(name) for name in FEATURES])
     long = wide.unpivot("segment", list(FEATURES), "metric", "amount")
-    boxes = exact_quantiles(long, "amount", QUARTERS, by=("segment", "metric"))
-    columns = "segment string, metric string, least double, q1 double, med double, q3 double, most double"
-    summary = mart.spark.createDataFrame([(*group, *(float(q.value) for q in cut)) for group, cut in boxes.items()], columns)
-    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    inside = F.col("amount").cast("double").between(F.col("q1") - reach, F.col("q3") + reach)
-    return (
-        # one row per segment and metric
-        long.join(F.broadcast(summary), ["segment", "metric"])
-        .groupBy("segment", "metric", "least", "q1", "med", "q3", "most")
-        .agg(
-            F.min(F.when(inside, F.col("amount").cast("double"))).alias("whisker_lo"),
-            F.max(F.when(inside, F.col("amount").cast("double"))).alias("whisker_hi"),
-            F.count_if(~inside).alias("outliers"),
-        )
-        .select(
-            "segment",
-            "metric",
-            *[F.round(name, 4).alias(name) for name in ("least", "q1", "med", "q3", "most", "whisker_lo", "whisker_hi")],
-            "outliers",
-        )
-        .orderBy("segment", "metric")
+    boxes = box_stats(long, "amount", ["segment", "metric"], mart.store, "boxes")
+    cuts = ("least", "q1", "med", "q3", "most", "whisker_lo", "whisker_hi")
+    return boxes.select("segment", "metric", *[F.round(name, 4).alias(name) for name in cuts], "outliers").orderBy(
+        "segment", "metric"
     )

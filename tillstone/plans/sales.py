@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.functions.dates import month_key
@@ -10,7 +10,7 @@ from tillstone.functions.numbers import half_up, money, percent
 from tillstone.functions.shapes import over_all
 from tillstone.operators.ordering import tile, top_ranked
 from tillstone.plans.mart import Mart
-from tillstone.plans.measures import average_order, monthly_totals, return_rate, rolled_up, totals_by
+from tillstone.plans.measures import average_order, return_rate, rolled_up
 
 
 def top20_customers(mart: Mart, k: int = 20) -> DataFrame:
@@ -72,26 +72,19 @@ def cohort_revenue_12(mart: Mart) -> DataFrame:
 
 def category_cumulative(mart: Mart) -> DataFrame:
     """Categories by falling revenue with the cumulative share; equal revenues share rank and share."""
-    by_revenue = Window.orderBy(F.desc_nulls_last("revenue"))
-    totals = totals_by(mart.facts, "category")
-    return totals.select(
+    return mart.ranked_categories.select(
         "category",
         F.col("orders").alias("total_orders"),
         money(F.col("revenue")).alias("total_revenue"),
         average_order().alias("avg_order_value"),
-        F.rank().over(by_revenue).cast("bigint").alias("revenue_rank"),
-        percent(
-            F.sum("revenue").over(by_revenue.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            over_all(F.sum("revenue")),
-        ).alias("cumulative_pct"),
+        F.col("rank").alias("revenue_rank"),
+        percent(F.col("running"), F.col("running_whole")).alias("cumulative_pct"),
     ).orderBy("revenue_rank", "category")
 
 
 def mom_growth(mart: Mart) -> DataFrame:
     """Revenue per month against the month before; null where there is none or it sold nothing."""
-    before = F.lag("revenue").over(Window.orderBy(F.asc_nulls_first("month")))
-    months = monthly_totals(mart.facts).withColumn("before", before)
-    return months.select(
+    return mart.month_steps.select(
         "month",
         money(F.col("revenue")).alias("revenue"),
         money(F.col("before")).alias("prev_month"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.functions.dates import month_name
@@ -70,13 +70,13 @@ def vw_segment_summary(mart: Mart) -> DataFrame:
 
 
 def vw_category_performance(mart: Mart) -> DataFrame:
-    return totals_by(mart.facts, "category").select(
+    return mart.ranked_categories.select(
         "category",
         F.col("orders").alias("total_orders"),
         money(F.col("revenue")).alias("total_revenue"),
         average_order().alias("avg_order_value"),
         return_rate().alias("return_rate_pct"),
-        F.rank().over(Window.orderBy(F.desc_nulls_last("revenue"))).cast("bigint").alias("revenue_rank"),
+        F.col("rank").alias("revenue_rank"),
     )
 
 
