@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import json
 from decimal import Decimal
 
 import pytest
@@ -225,12 +226,23 @@ def test_a_buyer_without_spend_is_ranked_last(spark):
     assert [row[0] for row in got][-1] == "C7" and got[-1][5] == 8
 
 
-def test_more_than_a_thousand_discounts(spark):
+def test_discounts_outside_the_columns_are_kept(spark):
     mart = shop(spark)
-    wide = mart._transactions.limit(1).select("*", F.explode(F.sequence(F.lit(0), F.lit(1000))).alias("_d"))
+    wide = mart._transactions.limit(1).select("*", F.explode(F.sequence(F.lit(-2), F.lit(1000))).alias("_d"))
     mart._transactions = wide.withColumn("discount_pct", F.col("_d").cast("int")).drop("_d")
-    assert len(eda.category_discount_pivot(mart).columns) == 1002
-    assert eda.category_discount_means(mart).count() == 1001
+    (row,) = eda.category_discount_pivot(mart).collect()
+    assert list(row.asDict()) == ["category", *[f"d{percent}" for percent in range(101)], "other"]
+    assert all(row[f"d{percent}"] == 100.0 for percent in range(101))
+    other = json.loads(row["other"])
+    assert list(map(int, other)) == [-2, -1, *range(101, 1001)] and set(other.values()) == {100.0}
+    assert eda.category_discount_means(mart).count() == 1003
+    assert eda.category_discount_pivot(shop(spark)).where("other is not null").isEmpty()
+
+
+def test_an_id_given_twice_is_one_customer(spark):
+    twice = [*PEOPLE, ("C5", "Female", "18-25", "Pune")]
+    once, more = views.vw_kpi_summary(shop(spark)).first(), views.vw_kpi_summary(shop(spark, twice)).first()
+    assert once == more and once["total_customers"] == 9
 
 
 def test_forgotten_marts_leave_nothing(spark):

@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: How many bytes of rows Python tasks get at a time.
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 #: The driver's heap is collected at most this often to free shuffle files.
 RECLAIM_SECONDS = 3.0
 
@@ -24,6 +30,23 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def smaller_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Rows go to Python tasks and back in batches of at most ``size`` bytes, unless the session asks for smaller ones.
+
+    Each task holds several batches outside the heap, where the default of 64 MB is a good part of an executor's memory.
+    """
+    before = spark.conf.get(BATCHES, None)
+    if before is None or not before.rstrip("b").isdigit() or 0 < int(before.rstrip("b")) <= size:
+        yield  # unknown to this version, or small enough
+        return
+    spark.conf.set(BATCHES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCHES, before)
+
+
 class WorkTables:
     """Parquet tables written once and read back, so that later jobs do not depend on lost executors."""
 
@@ -35,7 +58,8 @@ class WorkTables:
 
     def save(self, table: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        table.write.parquet(path)
+        with smaller_batches(self.spark):
+            table.write.parquet(path)
         self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(table.schema).parquet(path)
 

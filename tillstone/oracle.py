@@ -7,6 +7,7 @@ the Spark plans compute in distributed form. Money is kept in whole cents, so su
 from __future__ import annotations
 
 from tillstone.plans.checks import AMOUNT_LIMIT, ARMS, HIGH_VALUE_SHARE, TOP_SHARES
+from tillstone.plans.eda import DISCOUNTS
 from tillstone.plans.mart import CLUSTERS, RESTARTS
 from tillstone.plans.rfm import SIZES
 from tillstone.plans.views import TIER_COLUMNS
@@ -404,9 +405,16 @@ TEXTS: dict[str, tuple[list[str], str]] = {
                 f"sum(cents) filter (where discount_pct = {d})", f"count(*) filter (where discount_pct = {d})"
             )
             + f" as d{d}"
-            for d in range(11)
+            for d in DISCOUNTS
         )
-        + " from tx group by category",
+        + ", cast(null as varchar) as other from tx group by category",
+    ),
+    "csv_round_trip": (
+        ["tx"],
+        f"""
+        select category, count(*) as total_orders, {REVENUE} as total_revenue, {AOV} as avg_order_value,
+               {RETURNS} as return_rate_pct, cast(0 as bigint) as rejected
+        from tx group by category""",
     ),
     "top5_categories": (
         ["tx"],

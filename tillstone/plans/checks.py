@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,14 +15,15 @@ from tillstone.functions.text import hash_bucket, weighted_label
 from tillstone.operators import quality
 from tillstone.operators.sampling import draw_share
 from tillstone.plans.mart import Mart
-from tillstone.plans.measures import monthly_totals
-from tillstone.schemas import TEXT_LIMITS
+from tillstone.plans.measures import average_order, monthly_totals, return_rate, totals_by
+from tillstone.schemas import CUSTOMERS, TEXT_LIMITS
+from tillstone.sources.files import write_bundle
 
 # Shares of best customers that the skew report lists, in percent.
 TOP_SHARES = [1, 5, 10, 20, 50]
 
-# Payment-mode weights of the sales model, here the arms of a weighted draw.
-ARMS = {"Credit Card": 0.30, "Debit Card": 0.25, "UPI": 0.25, "Net Banking": 0.10, "Wallet": 0.10}
+#: Arms of a campaign and the shares of customers that are dealt to them, unless a caller has others.
+ARMS = {"no contact": 0.5, "letter": 0.3, "call": 0.2}
 
 HIGH_VALUE_SHARE = 0.2
 AMOUNT_LIMIT = 10**10
@@ -84,9 +86,32 @@ def date_spine_revenue(mart: Mart) -> DataFrame:
     )
 
 
-def weighted_bucket(mart: Mart) -> DataFrame:
+def weighted_bucket(mart: Mart, arms: Mapping[str, float] = ARMS) -> DataFrame:
+    """Every customer's arm of a campaign, by a hash of the id: the same at each call, whatever customers come or go."""
     bucket = hash_bucket(F.col("customer_id"))
-    return mart.customers.select("customer_id", bucket.alias("bucket"), weighted_label(bucket, ARMS).alias("arm"))
+    return mart.customers.select("customer_id", bucket.alias("bucket"), weighted_label(bucket, arms).alias("arm"))
+
+
+def csv_round_trip(mart: Mart) -> DataFrame:
+    """Sales by category from the mart's own tables written as CSV and read again, with the number of lines that did not fit."""
+    folder = f"{mart.store.folder}/round-trip"
+    people = mart.customers.select(
+        *[
+            F.col(field.name) if field.name in mart.customers.columns else F.lit(None).cast(field.dataType).alias(field.name)
+            for field in CUSTOMERS
+        ]
+    )
+    write_bundle({"customers.csv": people, "transactions.csv": mart.transactions}, folder, "csv")
+    again = type(mart).from_csv(mart.spark, folder, on_bad_rows="quarantine", clustering_method=mart.clustering_method)
+    rejected = again.rejected.agg(F.count("*")).scalar()
+    return totals_by(again.facts, "category").select(
+        "category",
+        F.col("rows").alias("total_orders"),
+        money(F.col("revenue")).alias("total_revenue"),
+        average_order().alias("avg_order_value"),
+        return_rate().alias("return_rate_pct"),
+        rejected.alias("rejected"),
+    )
 
 
 def skew_report(mart: Mart) -> DataFrame:

@@ -17,6 +17,8 @@ from tillstone.operators.quantiles import exact_quantiles
 from tillstone.plans.mart import Mart
 from tillstone.plans.measures import average_order, monthly_totals, return_rate, rolled_up, totals_by
 
+#: Discounts that have a column of their own: whole percents.
+DISCOUNTS = range(101)
 
 
 def eda_summary(mart: Mart) -> DataFrame:
@@ -104,12 +106,17 @@ def category_discount_means(mart: Mart) -> DataFrame:
 
 
 def category_discount_pivot(mart: Mart) -> DataFrame:
-    """Mean order value per category and discount, one column ``d<percent>`` per discount in the data.
+    """Mean order value per category and discount: a column ``d<percent>`` for every whole percent, whatever the data.
 
-    The number of columns follows the domain of discounts (whole percents), not the number of rows; for data
-    outside that domain ``category_discount_means`` has the same cells as rows.
+    Discounts outside 0 to 100 are not lost: ``other`` holds theirs as JSON, ``{"<discount>": mean}`` by rising discount, and is
+    null where there are none. The columns are known before a row is read.
     """
-    means = mart.store.save(category_discount_means(mart), "category-discounts")
-    discounts = sorted(row["discount_pct"] for row in means.select("discount_pct").distinct().collect())
-    wide = means.groupBy("category").pivot("discount_pct", discounts).agg(F.first("mean_value"))
-    return wide.select("category", *[F.col(str(d)).alias(f"d{d}") for d in discounts]).orderBy("category")
+    discount, mean = F.col("discount_pct"), F.col("mean_value")
+    inside = discount.between(DISCOUNTS[0], DISCOUNTS[-1])
+    others = F.sort_array(F.collect_list(F.when(~inside, F.struct(discount.cast("bigint").alias("key"), mean.alias("value")))))
+    wide = category_discount_means(mart).groupBy("category").agg(
+        *[F.max(F.when(discount == percent, mean)).alias(f"d{percent}") for percent in DISCOUNTS], others.alias("_others")
+    )
+    named = F.transform("_others", lambda cell: F.struct(cell["key"].cast("string").alias("key"), cell["value"].alias("value")))
+    other = F.when(F.size("_others") > 0, F.to_json(F.map_from_entries(named)))
+    return wide.withColumn("other", other).drop("_others").orderBy("category")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache, cached_property
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from tillstone.operators.scoring import EDGES, check_edges, score_above, score_o
 from tillstone.operators.sizing import size_shuffles
 from tillstone.operators.storage import WorkTables
 from tillstone.plans.measures import monthly_totals, totals_by
-from tillstone.sources.files import read_csv
+from tillstone.sources.files import REJECTED, read_csv, read_csv_apart, read_parquet
 from tillstone.sources.star import star_customers, star_table, star_transactions
 
 FEATURES = {"recency": "zr", "frequency": "zf", "monetary": "zm"}
@@ -63,6 +63,11 @@ class Mart:
         self.clustering_method = clustering_method
         self._customers = customers
         self._transactions = transactions
+        #: Lines of CSV files that did not fit: (table_name, file, line, reason).
+        self.rejected = spark.createDataFrame([], REJECTED)
+        self.parsed: WorkTables | None = None
+        #: Segments computed before, with the columns of ``schemas.RFM_SEGMENTS``; reports then fit none.
+        self.stored_segments: DataFrame | None = None
 
     @classmethod
     def from_star(cls, spark: SparkSession, folder: str, **options) -> Mart:
@@ -72,12 +77,39 @@ class Mart:
         return cls(spark, star_customers(spark, folder), star_transactions(spark, folder), **options)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str, **options) -> Mart:
-        """``customers.csv`` and ``transactions.csv`` with the columns of ``tillstone.schemas``."""
+    def from_csv(cls, spark: SparkSession, folder: str, on_bad_rows: str = "fail", **options) -> Mart:
+        """``customers.csv`` and ``transactions.csv`` with the columns of ``tillstone.schemas``.
+
+        A line that does not fit them stops the read, or with ``on_bad_rows="quarantine"`` goes to ``rejected``.
+        """
+        if on_bad_rows not in ("fail", "quarantine"):
+            raise ValueError("on_bad_rows is 'fail' or 'quarantine'")
+        folder = folder.rstrip("/")
+        files = {"customers": schemas.CUSTOMERS, "transactions": schemas.TRANSACTIONS}
+        paths = {name: f"{folder}/{name}.csv" for name in files}
+        if on_bad_rows == "fail":
+            return cls(spark, *(read_csv(spark, paths[name], schema) for name, schema in files.items()), **options)
+        store = WorkTables(spark)
+        apart = [read_csv_apart(spark, paths[name], schema, store, name) for name, schema in files.items()]
+        mart = cls(spark, *(rows for rows, _ in apart), **options)
+        mart.parsed = store
+        mart.rejected = store.save(reduce(DataFrame.unionAll, (lines for _, lines in apart)), "rejected")
+        return mart
+
+    @classmethod
+    def from_parquet(cls, spark: SparkSession, folder: str, **options) -> Mart:
+        """Tables ``customers.parquet`` and ``transactions.parquet`` with the columns of ``tillstone.schemas``.
+
+        If ``rfm_segments.parquet`` is there too, reports read the stored segments instead of fitting new ones.
+        """
         folder = folder.rstrip("/")
-        customers = read_csv(spark, f"{folder}/customers.csv", schemas.CUSTOMERS)
-        transactions = read_csv(spark, f"{folder}/transactions.csv", schemas.TRANSACTIONS)
-        return cls(spark, customers, transactions, **options)
+        customers = read_parquet(spark, f"{folder}/customers.parquet", schemas.CUSTOMERS)
+        transactions = read_parquet(spark, f"{folder}/transactions.parquet", schemas.TRANSACTIONS)
+        mart = cls(spark, customers, transactions, **options)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rfm_segments.parquet")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            mart.stored_segments = read_parquet(spark, path.toString(), schemas.RFM_SEGMENTS)
+        return mart
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -120,7 +152,9 @@ class Mart:
             first_date=F.min("transaction_date"),
             last_date=F.max("transaction_date"),
         )
-        customers = self.customers.select("customer_id", *ATTRIBUTES, F.lit(True).alias("known"))
+        # an id that the customer table repeats is one customer; the join below groups by it anyway
+        named = self.customers.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
+        customers = named.agg(F.min(F.struct(*ATTRIBUTES)).alias("_own")).select("customer_id", "_own.*", F.lit(True).alias("known"))
         return self.store.save(customers.join(totals, "customer_id", "full"), "profiles")
 
     @property
@@ -249,6 +283,10 @@ class Mart:
     @cached_property
     def segmented(self) -> DataFrame:
         """Scores, z-scores, cluster and segment of every customer, with attributes and measures."""
+        if self.stored_segments is not None:
+            scored = clustering.standardize(self.stored_segments, FEATURES)
+            # one row per customer on both sides
+            return self.store.save(scored.join(self.profiles, "customer_id"), "segmented")
         clusters = self.clustered(self.clustering_method)
         return self.store.save(clustering.label_clusters(clusters, schemas.TIERS, CLUSTERS), "segmented")
 
@@ -259,6 +297,8 @@ class Mart:
     def close(self) -> None:
         """Delete the shared tables of this mart."""
         self.store.drop()
+        if self.parsed:
+            self.parsed.drop()
 
 
 _open: dict[tuple[str, str], Mart] = {}

@@ -80,6 +80,8 @@ def run(mart: Mart, out: str, fmt: str = "parquet", strict: bool = True) -> dict
         tables = {report.__name__: report(mart) for report in reports}
         paths |= write_bundle(tables, f"{out}/{folder}", fmt)
     paths |= write_bundle(boards.bi_bundle(mart), f"{out}/bi", fmt)
+    if not mart.rejected.isEmpty():
+        paths |= write_bundle({"rejected_lines": mart.rejected}, out, fmt)
     for name, table in {"rfm_segments": mart.rfm_segments, "sql_summary": sales.segment_demographics_export(mart)}.items():
         paths[name] = f"{out}/{name}"
         write_csv(table, paths[name])

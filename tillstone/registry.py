@@ -74,6 +74,7 @@ REPORTS: list[Callable[[Mart], DataFrame]] = [
     checks.skew_report,
     checks.domain_check,
     checks.net_amount,
+    checks.csv_round_trip,
 ]
 
 

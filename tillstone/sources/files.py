@@ -2,27 +2,76 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillstone.operators.storage import WorkTables
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a declared schema, so no pass is spent on inferring types.
 
-    Columns are taken by their names in the header, whatever their order; a missing or an unknown one is an error.
-    A value that does not fit its type fails the read instead of turning into a null.
-    """
+DATES = "yyyy-MM-dd"
+
+
+def schema_of_header(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """The declared columns in the order of a CSV's header; a missing or an unknown one is an error."""
     header = [name.strip() for name in spark.read.csv(path, header=True).columns]
     if sorted(header) != sorted(schema.names):
         missing, unknown = sorted(set(schema.names) - set(header)), sorted(set(header) - set(schema.names))
         raise ValueError(f"{path}: missing columns {missing}, unknown or repeated columns {unknown}")
-    in_file = T.StructType([schema[name] for name in header])
-    table = spark.read.csv(path, schema=in_file, header=True, dateFormat="yyyy-MM-dd", mode="FAILFAST")
-    return table.select(*schema.names)
+    return T.StructType([schema[name] for name in header])
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header and a declared schema, so no pass is spent on inferring types.
+
+    Columns are taken by their names in the header, whatever their order. A value that does not fit its type fails the
+    read instead of turning into a null.
+    """
+    in_file = schema_of_header(spark, path, schema)
+    return spark.read.csv(path, schema=in_file, header=True, dateFormat=DATES, mode="FAILFAST").select(*schema.names)
+
+
+REJECTED = "table_name string, file string, line string, reason string"
+
+
+def _reason(line: Column, schema: T.StructType) -> Column:
+    """Why a line does not fit: the first column whose text is not of its type, else the number of fields."""
+    texts = F.from_csv(line, ", ".join(f"`{name}` string" for name in schema.names))
+
+    def unfit(field: T.StructField) -> Column:
+        text = texts.getField(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return F.lit(False)
+        if isinstance(field.dataType, T.DateType):
+            return text.isNotNull() & F.try_to_timestamp(text, F.lit(DATES)).isNull()
+        return text.isNotNull() & text.try_cast(field.dataType).isNull()
+
+    found = [F.when(unfit(field), f"{field.name} is no {field.dataType.simpleString()}") for field in schema.fields]
+    return F.coalesce(*found, F.lit(f"not the {len(schema.fields)} fields of the header"))
+
+
+def read_csv_apart(
+    spark: SparkSession, path: str, schema: T.StructType, store: WorkTables, name: str
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV that fit the schema, and the lines that do not, with their file and the reason.
+
+    The file is parsed once: what comes of it is written as columns, from which both tables are read.
+    """
+    in_file = schema_of_header(spark, path, schema)
+    broken = T.StructType([*in_file.fields, T.StructField("_line", T.StringType())])
+    options = {"header": True, "dateFormat": DATES, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}
+    parsed = spark.read.csv(path, schema=broken, **options).select(*in_file.names, "_line", F.col("_metadata.file_path").alias("_file"))
+    parsed = store.save(parsed, f"{name}-parsed")
+    rejected = parsed.where(F.col("_line").isNotNull()).select(
+        F.lit(name).alias("table_name"), F.col("_file").alias("file"), F.col("_line").alias("line"),
+        _reason(F.col("_line"), in_file).alias("reason"),
+    )
+    return parsed.where(F.col("_line").isNull()).select(*schema.names), rejected
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -61,13 +110,29 @@ def write_bundle(
     return paths
 
 
-def save_tables(tables: Mapping[str, DataFrame], database: str) -> None:
-    """(Re)create catalog tables in a database, in the order given (parents before children).
+def publish_table(table: DataFrame, database: str, name: str) -> str:
+    """Make a table readable as ``database.name``, at once and as a whole; returns the folder of this version.
 
-    A table is written under another name first, so that a failed write leaves the old one.
+    The rows are written to a folder of their own below the database. Only then is the catalog's view of that name moved
+    to it, which is one step: a reader sees the version before or this one, and a write that fails changes nothing. The
+    version before stays for readers that have begun; older ones are deleted.
     """
+    spark = table.sparkSession
+    home = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{name}-versions"
+    path = f"{home}/{time.time_ns():020}"
+    table.write.parquet(path)
+    if spark.catalog.tableExists(f"{database}.{name}") and spark.catalog.getTable(f"{database}.{name}").tableType != "VIEW":
+        spark.sql(f"drop table {database}.{name}")  # of an earlier layout
+    spark.sql(f"create or replace view {database}.{name} as select * from parquet.`{path}`")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(str(status.getPath().getName()) for status in files.listStatus(folder))
+    for version in versions[:-2]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{version}"), True)
+    return path
+
+
+def save_tables(tables: Mapping[str, DataFrame], database: str) -> None:
+    """Publish tables in a database, in the order given (parents before children)."""
     for name, table in tables.items():
-        qualified, fresh = f"{database}.{name}", f"{database}.{name}_fresh"
-        table.write.format("parquet").mode("overwrite").saveAsTable(fresh)
-        table.sparkSession.sql(f"drop table if exists {qualified}")
-        table.sparkSession.sql(f"alter table {fresh} rename to {qualified}")
+        publish_table(table, database, name)
