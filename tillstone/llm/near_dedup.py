@@ -9,7 +9,8 @@ coordinate) go no further, and every link is confirmed on the full sets.
 Equal texts (equal word sequences) form one class and take part once. Within a band's bucket no list of all pairs is
 made: classes are compared with a few centres, links join classes to components, and only classes of different
 components are compared further, with four times as many centres each time, until no bucket holds an untested pair of
-different components. So a bucket of thousands of near copies costs a few comparisons for each of them, and no
+different components. Before that, two turns compare each class with only one of the centres it meets, the same one in as
+many buckets as can be. So a group of thousands of near copies costs a few comparisons for each of them, and no
 candidate is ever dropped.
 
 Defined cases: a null or empty text, or one without a word, has no shingles and is linked with nothing. Rows that
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.llm.arrow import Held, WordHashes, lists_of, mixed, steps, texts_of, window_hashes
-from tillstone.llm.components import components
+from tillstone.llm.components import components, contracted, labelled
 from tillstone.llm.skew import with_totals
 from tillstone.operators.storage import WorkTables
 
@@ -163,6 +164,9 @@ def _verify(percent: int):
 #: Rows of one key that a join gathers in a task.
 SHARE = 1024
 
+#: Turns in which a class is compared with one centre of all its buckets, and steps of contraction between two turns.
+SCOUTS, STEPS = 2, 2
+
 
 def verified(pairs: DataFrame, sets: DataFrame, tables: WorkTables, options: NearDedup) -> DataFrame:
     """Those pairs of nodes (a, b) whose full shingle sets are similar enough; ``sets`` has (node, found).
@@ -242,31 +246,37 @@ def linked_nodes(sketched: DataFrame, rows: DataFrame, text: str, tables: WorkTa
     compared = members.select(F.col("node").alias("row")).distinct()
     texts = rows.select("row", F.col(text).alias("text")).join(compared, "row", "left_semi").withColumnRenamed("row", "node")
     sets = tables.save(texts.mapInArrow(_sets(options), schema="node bigint, found binary"), "sets")
-    labels, tested, centres = None, None, 1
+    labels, edges, tested, centres, scouts = None, None, None, 1, SCOUTS
     while True:
         if labels is None:
-            labelled = members.withColumn("label", F.col("node"))
+            named = members.withColumn("label", F.col("node"))
         else:
-            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs, rest = _turn(tables.replace(labelled, "labelled"), centres, tables)
+            named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs, rest = _turn(tables.replace(named, "named"), centres, tables)
         alike = f"100 * least(a_size, b_size) >= {options.percent} * greatest(a_size, b_size)"
         pairs = pairs.filter(f"{alike} and differing <= {far_apart(options)}")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        pairs = pairs.groupBy(*ends).agg(F.min_by("b", "a_place").alias("node"), F.min("a_place").alias("place"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = tables.replace(pairs, "pairs")
-        members = tables.replace(rest, "members")
+        if scouts:
+            pairs = pairs.groupBy("node").agg(F.min_by(F.struct("a", "b"), "place").alias("pair")).select("pair.*")
+        pairs = tables.replace(pairs.select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
-            if members.isEmpty():
-                tables.discard("sets", "labelled", "buckets", "members", "pairs", "tested", "counts", "links", "linked")
-                return labels
+            if not scouts and members.isEmpty():
+                tables.discard("sets", "named", "buckets", "members", "pairs", "tested", "counts", "links", "linked")
+                return None if edges is None else tables.replace(components(edges, tables), "labels")
         else:
             tested = tables.replace(pairs if tested is None else tested.union(pairs), "tested")
             links = tables.replace(verified(pairs, sets, tables, options), "linked")
             if not links.isEmpty():
-                known = links if labels is None else links.union(labels.select("node", "label"))
-                labels = tables.replace(components(known, tables), "labels")
-        centres *= 4
+                edges = contracted(links if edges is None else links.union(edges), tables, STEPS)
+                labels = tables.replace(labelled(edges), "labels")
+        if scouts:
+            scouts -= 1
+        else:
+            members = tables.replace(rest, "members")
+            centres *= 4
 
 
 @dataclass(frozen=True)
@@ -301,7 +311,7 @@ def near_duplicates(documents: DataFrame, tables: WorkTables, options: NearDedup
     full = with_totals(worded, tables.save(classes, "classes"), "digest", "n").drop("digest")
     empty = slim.filter("n_shingles = 0").drop("digest")
     empty = empty.withColumn("label", F.col("row")).withColumn("component_id", F.col("doc_id"))
-    tables.discard("unnamed", "smallest", "labels")
+    tables.discard("unnamed", "smallest", "labels", "stars")
     return Found(held, rows, full.unionByName(empty))
 
 
