@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import time
 import uuid
@@ -85,5 +86,6 @@ class WorkTables:
         # Spark deletes the shuffle files of a finished job when the driver's heap is collected, which a large heap
         # puts off for long; the jobs that made the deleted tables are over
         if paths and time.monotonic() - self._reclaimed > RECLAIM_SECONDS:
+            gc.collect()  # DataFrames in cycles keep their plans, and those their shuffles
             self.spark._jvm.System.gc()
             self._reclaimed = time.monotonic()
