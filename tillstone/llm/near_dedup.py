@@ -243,7 +243,8 @@ def linked_nodes(sketched: DataFrame, rows: DataFrame, text: str, tables: WorkTa
     nodes = tables.save(sketched.filter("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row"), "nodes")
     members = tables.save(bucketed(sketched, nodes, tables, options), "members")
     tables.discard("nodes", "shared")
-    compared = members.select(F.col("node").alias("row")).distinct()
+    # grows with the data, so it is never sent to all tasks, however small it seems
+    compared = members.select(F.col("node").alias("row")).distinct().hint("merge")
     texts = rows.select("row", F.col(text).alias("text")).join(compared, "row", "left_semi").withColumnRenamed("row", "node")
     sets = tables.save(texts.mapInArrow(_sets(options), schema="node bigint, found binary"), "sets")
     labels, edges, tested, centres, scouts = None, None, None, 1, SCOUTS
