@@ -19,7 +19,16 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = 2
 
-BUILDS = ["facts", "profiles", "category_totals", "scaled", "segmented", "spend_positions"]
+BUILDS = [
+    "facts",
+    "profiles",
+    "category_totals",
+    "scaled",
+    "segmented",
+    "spend_positions",
+    "ranked_categories",
+    "month_steps",
+]
 HEADLINE = [
     "eda_summary",
     "revenue_by_category",
@@ -51,6 +60,7 @@ HEADLINE = [
     "column_profile",
     "skew_report",
     "kmeans_segments",
+    "sample_customers",
 ]
 
 

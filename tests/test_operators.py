@@ -431,7 +431,8 @@ def plain_lloyd(points, centres, most_steps=300):
         for cluster, centre in enumerate(centres):
             own = points[chosen == cluster]
             after.append(tuple((2 * int(total) + len(own)) // (2 * len(own)) for total in own.sum(axis=0)) if len(own) else centre)
-        if after == centres or steps >= most_steps:
+        moved = sum((new - old) ** 2 for one, other in zip(after, centres) for new, old in zip(one, other))
+        if moved <= clustering.SETTLED or steps >= most_steps:
             return tuple(centres), cost, steps
         centres = after
 

@@ -18,6 +18,8 @@ DIGITS = 6
 #: Coordinates are clustered as whole numbers of this unit, so that sums and means are exact in any order.
 UNIT = 10**DIGITS
 MOVEMENT = 1e-4
+#: The same in square units.
+SETTLED = round(MOVEMENT * UNIT**2)
 
 Centre = tuple[int, ...]
 
@@ -112,12 +114,12 @@ def _assigned(points: DataFrame, names: Sequence[str], centres: Mapping[int, Seq
 def lloyd_fits(
     points: DataFrame, columns: Sequence[str], starts: Mapping[Hashable, Sequence[Centre]], most_steps: int = 300
 ) -> dict[Hashable, Fit]:
-    """Lloyd's algorithm from many starts at once, each until its centres stay where they are.
+    """Lloyd's algorithm from many starts at once, each until its centres settle.
 
     One scan moves the centres of all runs that still move: a point is assigned once per run, and partial sums per run and
-    cluster are all that is shuffled or reaches the driver. Centres are rounded to whole units, so a run ends exactly
-    when an assignment repeats; as rounding could in principle lead in a circle, it ends after ``most_steps`` too. A
-    centre that lost all its points stays where it was.
+    cluster are all that is shuffled or reaches the driver. A run ends with the centres that its last assignment was made
+    to, once a step would move them by no more than ``MOVEMENT`` in total (sum of squares), the usual rule for features of
+    unit variance, or after ``most_steps``. A centre that lost all its points stays where it was.
     """
     keys = list(starts)
     centres = {run: [tuple(map(int, centre)) for centre in starts[key]] for run, key in enumerate(keys)}
@@ -140,7 +142,8 @@ def lloyd_fits(
                     n, sums = found.get((run, cluster), (0, []))
                     after.append(tuple((2 * total + n) // (2 * n) for total in sums) if n else centre)
                     cost -= sum(2 * place * total - n * place * place for place, total in zip(centre, sums))
-                if after == before or step >= most_steps:
+                moved = sum((new - old) ** 2 for one, other in zip(after, before) for new, old in zip(one, other))
+                if moved <= SETTLED or step >= most_steps:
                     fits[keys[run]] = Fit(tuple(before), cost, step)
                     del centres[run]
                 else:

@@ -6,6 +6,7 @@ the Spark plans compute in distributed form. Money is kept in whole cents, so su
 
 from __future__ import annotations
 
+from tillstone.operators.clustering import SETTLED
 from tillstone.plans.checks import AMOUNT_LIMIT, ARMS, HIGH_VALUE_SHARE, TOP_SHARES
 from tillstone.plans.eda import DISCOUNTS
 from tillstone.plans.mart import CLUSTERS, RESTARTS
@@ -170,7 +171,7 @@ CLOSEST = """cast(list_position(
 
 
 def _fits(sizes: list[int], restarts: int) -> str:
-    """Final centres of every run (k, r), by Lloyd's steps until the centres stay."""
+    """Final centres of every run (k, r), by Lloyd's steps until the centres settle: those of the last assignment."""
     largest = max(sizes)
     return f"""
     with recursive state(k, r, step, moved, cs) as (
@@ -180,7 +181,9 @@ def _fits(sizes: list[int], restarts: int) -> str:
         join grid on draw = (r * {largest} + j) % least({largest * restarts}, (select count(*) from grid))
         where j < k group by k, r
         union all
-        select k, r, step + 1, new <> cs, new
+        select k, r, step + 1, list_sum(list_transform(range(1, k + 1), lambda i:
+            cast(new[i].x - cs[i].x as hugeint) * (new[i].x - cs[i].x) + cast(new[i].y - cs[i].y as hugeint) * (new[i].y - cs[i].y)
+            + cast(new[i].z - cs[i].z as hugeint) * (new[i].z - cs[i].z))) > {SETTLED}, new
         from (
             select k, r, step, cs, list_transform(range(1, k + 1), lambda i: coalesce(
                 list_extract(list_filter(found, lambda f: f.cluster = i), 1).mean, cs[i])) as new
@@ -193,7 +196,7 @@ def _fits(sizes: list[int], restarts: int) -> str:
                         from state, grid p where moved and step < 299)
                     group by k, r, step, cs, cluster)
                 group by k, r, step, cs)))
-    select k, r, arg_max(cs, step) as cs from state group by k, r"""
+    select k, r, arg_max(cs, step) filter (where moved) as cs from state group by k, r"""
 
 
 def _labelled(fit: str) -> str:
