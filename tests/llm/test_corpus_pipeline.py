@@ -64,12 +64,24 @@ def components_of(rows):
 
 
 def test_odd_documents_go_through(spark, tmp_path):
+    """A clean document is left at the end, and each stage leaves what plain Python does."""
     folder = benchmark_folder(spark, tmp_path, test_leaks.ITEMS)
-    docs = cases.frame(spark, [(doc, text and f"{text}.") for doc, text in cases.documents()])
+    clean = (99, f"{cases.prose(77, 90)}.")
+    rows = [(doc, text and f"{text}.") for doc, text in cases.documents()] + [clean]
+    docs, left = cases.frame(spark, rows), {}
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        assert docs.count() > 0
+        if name != "packed_sequences":
+            left[name] = rows_of(docs)
+            assert clean in left[name]
+    failed = {text for _, text in rows if test_quality.measures(text or "")[-1]}
+    assert not failed & {text for _, text in left["quality_rules"]}
+    hit = {(doc, n_words) for doc, n_words, n_hit, _ in test_leaks.expected(left["repeated_passages"], test_leaks.ITEMS) if n_hit}
+    assert hit
+    words = lambda text: len(cases.TERM.findall(cases.lowered(text)))
+    assert left["benchmark_leaks"] == [row for row in left["repeated_passages"] if (row[0], words(row[1])) not in hit]
+    assert test_packing.check(left["benchmark_leaks"], docs.collect()) == 0
 
 
 def test_empty_tables_go_through(spark, tmp_path):
