@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Mapping, Sequence
+from collections.abc import Callable, Hashable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -21,6 +23,10 @@ MOVEMENT = 1e-4
 #: The same in square units.
 SETTLED = round(MOVEMENT * UNIT**2)
 
+#: Coordinates are below this, so that differences of two are exact in doubles. A z-score is at most the root of the number
+#: of rows, so those of 1e19 rows are.
+FARTHEST = 1 << 52
+
 Centre = tuple[int, ...]
 
 
@@ -64,8 +70,22 @@ def _first_least(squares: Sequence[Column]) -> Column:
     return F.coalesce(*[F.when(square == least, number) for number, square in enumerate(squares)])
 
 
+def with_nearest(points: DataFrame, columns: Sequence[str], centres: Sequence[Centre], cluster: str = "cluster") -> DataFrame:
+    """Add the index of the closest centre (in units); the lower index wins a tie.
+
+    Units and distances are columns of their own first: each is needed several times and rounding is dear.
+    """
+    units = {f"_unit{place}": unit for place, unit in enumerate(in_units(columns))}
+    squares = {
+        f"_square{number}": _square([F.col(unit) for unit in units], [F.lit(place) for place in centre])
+        for number, centre in enumerate(centres)
+    }
+    measured = points.withColumns(units).withColumns(squares)
+    return measured.withColumn(cluster, _first_least([F.col(square) for square in squares])).drop(*units, *squares)
+
+
 def nearest(columns: Sequence[str], centres: Sequence[Centre]) -> Column:
-    """Index of the closest centre (in units); the lower index wins a tie."""
+    """The same as one expression, which works everything out anew wherever it is needed."""
     values = in_units(columns)
     return _first_least([_square(values, [F.lit(place) for place in centre]) for centre in centres])
 
@@ -83,32 +103,84 @@ class Fit:
         return self.cost / UNIT**2
 
 
-def _placed(points: DataFrame, names: Sequence[str], runs: Mapping[int, Sequence[Sequence[object]]], fields: Sequence[str]) -> DataFrame:
-    """Every point once per run, beside the run's clusters as columns ``{field}{cluster}``; null where a run has fewer.
-
-    ``runs`` holds a tuple of ``fields`` per cluster; it has a row per run and is sent to all tasks.
-    """
-    widest = max(map(len, runs.values()))
-    rows = [
-        (run, *(value for cluster in (*clusters, *[[None] * len(fields)] * (widest - len(clusters))) for value in cluster))
-        for run, clusters in runs.items()
-    ]
-    columns = [f"{field.split()[0]}{cluster} {field.split()[1]}" for cluster in range(widest) for field in fields]
-    table = points.sparkSession.createDataFrame(rows, f"run int, {', '.join(columns)}")
-    spread = points.select(*names, F.explode(F.array(*map(F.lit, runs))).alias("run"))
-    return spread.join(F.broadcast(table), "run")
-
-
-def _assigned(points: DataFrame, names: Sequence[str], centres: Mapping[int, Sequence[Centre]]) -> DataFrame:
-    """(run, cluster, coordinates) of every point in every run."""
-    placed = _placed(points, names, centres, [f"{name}_c bigint" for name in names])
-    widest = max(map(len, centres.values()))
-    squares = {
-        f"square{cluster}": _square([F.col(name) for name in names], [F.col(f"{name}_c{cluster}") for name in names])
-        for cluster in range(widest)
-    }
-    measured = placed.select("run", *names, *[square.alias(name) for name, square in squares.items()])
-    return measured.select("run", _first_least([F.col(name) for name in squares]).alias("cluster"), *names)
+Batches = Iterator[pa.RecordBatch]
+
+
+def _coordinates(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of a batch in doubles, which hold them exactly."""
+    values = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+    if any(len(value) and max(int(value.max()), -int(value.min())) >= FARTHEST for value in values):
+        raise OverflowError("a coordinate is too large to be clustered")
+    return [value.astype(np.float64) for value in values]
+
+
+def _closest(values: Sequence[np.ndarray], centres: Sequence[Centre]) -> np.ndarray:
+    """Index of the closest centre of every point, as ``nearest`` finds it."""
+    cluster, least = np.zeros(len(values[0]), np.intp), None
+    for number, centre in enumerate(centres):
+        square = None
+        for value, place in zip(values, centre, strict=True):
+            gap = value - np.float64(place)
+            gap *= gap
+            square = gap if square is None else np.add(square, gap, out=square)
+        if least is None:
+            least = square
+        else:
+            cluster[square < least] = number
+            np.minimum(least, square, out=least)
+    return cluster
+
+
+def _sums(cluster: np.ndarray, values: Sequence[np.ndarray], clusters: int) -> np.ndarray:
+    """Number of points and exact sums of their coordinates, a row per cluster."""
+    farthest = max((float(np.abs(value).max()) for value in values if len(value)), default=0.0)
+    step = max(1, int(2**53 // max(farthest, 1.0)))  # a sum of so many points is exact in doubles
+    total = np.zeros((clusters, 1 + len(values)), np.int64)
+    for start in range(0, len(cluster), step):
+        part = cluster[start : start + step]
+        total[:, 0] += np.bincount(part, minlength=clusters)
+        for place, value in enumerate(values, 1):
+            total[:, place] += np.bincount(part, value[start : start + step], clusters).astype(np.int64)
+    return total
+
+
+def _rows_of(tables: Mapping[int, np.ndarray], names: Sequence[str]) -> pa.RecordBatch:
+    """(run, cluster, columns of its row) of every row that has points."""
+    found = [(run, cluster, *row) for run, table in tables.items() for cluster, row in enumerate(table.tolist()) if row[0]]
+    columns = [*zip(*found)] or [()] * (2 + len(names))
+    kinds = [pa.int32(), pa.int32(), *[pa.int64() if name != "q" else pa.float64() for name in names]]
+    return pa.RecordBatch.from_arrays([pa.array(one, kind) for one, kind in zip(columns, kinds)], names=["run", "cluster", *names])
+
+
+def _tally(centres: Mapping[int, Sequence[Centre]], squares: bool, names: Sequence[str]) -> Callable[[Batches], Batches]:
+    """A task's partial sums per run and cluster; with ``squares`` the sum of squared norms, in square z-scores, too."""
+
+    def run(batches: Batches) -> Batches:
+        totals = {run: np.zeros((len(clusters), len(names) - squares), np.int64) for run, clusters in centres.items()}
+        norms = {run: np.zeros(len(clusters)) for run, clusters in centres.items()}
+        for batch in batches:
+            values = _coordinates(batch)
+            norm = _norm([value / float(UNIT) for value in values]) if squares else None
+            for run, clusters in centres.items():
+                cluster = _closest(values, clusters)
+                totals[run] += _sums(cluster, values, len(clusters))
+                if squares:
+                    norms[run] += np.bincount(cluster, norm, len(clusters))
+        if squares:
+            # numbers stay whole beside the doubles
+            totals = {run: np.column_stack([table.astype(object), norms[run]]) for run, table in totals.items()}
+        yield _rows_of(totals, names)
+
+    return run
+
+
+def _tallied(points: DataFrame, names: Sequence[str], centres: Mapping[int, Sequence[Centre]], squares: bool = False) -> dict:
+    """(n, sums, squared norms if wanted) per run and cluster; tasks add up their points, so a few rows are shuffled."""
+    columns = ["n", *names, *(["q"] if squares else [])]
+    kinds = [f"{name} {'double' if name == 'q' else 'bigint'}" for name in columns]
+    found = points.mapInArrow(_tally(dict(centres), squares, columns), schema=", ".join(["run int", "cluster int", *kinds]))
+    added = found.groupBy("run", "cluster").agg(*[F.sum(name).alias(name) for name in columns])
+    return {(row["run"], row["cluster"]): row for row in added.collect()}
 
 
 def lloyd_fits(
@@ -116,8 +188,8 @@ def lloyd_fits(
 ) -> dict[Hashable, Fit]:
     """Lloyd's algorithm from many starts at once, each until its centres settle.
 
-    One scan moves the centres of all runs that still move: a point is assigned once per run, and partial sums per run and
-    cluster are all that is shuffled or reaches the driver. A run ends with the centres that its last assignment was made
+    One scan moves the centres of all runs that still move: tasks take points in batches, assign each once per run and add
+    them up in whole numbers; partial sums per run and cluster are all that is shuffled or reaches the driver. A run ends with the centres that its last assignment was made
     to, once a step would move them by no more than ``MOVEMENT`` in total (sum of squares), the usual rule for features of
     unit variance, or after ``most_steps``. A centre that lost all its points stays where it was.
     """
@@ -125,16 +197,14 @@ def lloyd_fits(
     centres = {run: [tuple(map(int, centre)) for centre in starts[key]] for run, key in enumerate(keys)}
     fits: dict[Hashable, Fit] = {}
     names = [f"x{place}" for place in range(len(columns))]
-    points = points.select(*[unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)]).persist()
+    points = points.select(*[unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)]).dropna().persist()
     try:
         wide = [F.col(name).cast("decimal(19,0)") for name in names]
         norm = reduce(lambda total, one: total + one, [F.sum(one * one) for one in wide])
         squares = int(points.agg(norm).first()[0] or 0)
         step = 0
         while centres:
-            totals = [F.sum(F.col(name).cast("decimal(19,0)")).alias(name) for name in names]
-            tally = _assigned(points, names, centres).groupBy("run", "cluster").agg(F.count("*").alias("n"), *totals)
-            found = {(row["run"], row["cluster"]): (row["n"], [int(row[name]) for name in names]) for row in tally.collect()}
+            found = {place: (row["n"], [row[name] for name in names]) for place, row in _tallied(points, names, centres).items()}
             step += 1
             for run, before in [*centres.items()]:
                 after, cost = [], squares
@@ -220,35 +290,53 @@ def silhouettes(points: DataFrame, columns: Sequence[str], cluster: str) -> Data
     return points.withColumn("silhouette", _silhouette(_norm(values), values, F.col(cluster), summary))
 
 
+def _scores(runs: Mapping[int, Sequence[tuple]], width: int) -> Callable[[Batches], Batches]:
+    """A task's number of points and sum of silhouettes per run; ``runs`` has (*centre, n, q, *means) per cluster."""
+
+    def run(batches: Batches) -> Batches:
+        totals = {run: [0, 0.0] for run in runs}
+        for batch in batches:
+            units = _coordinates(batch)
+            values = [unit / float(UNIT) for unit in units]
+            norm = _norm(values)
+            for run, clusters in runs.items():
+                cluster = _closest(units, [one[:width] for one in clusters])
+                own, closest = np.full(len(norm), np.nan), np.full(len(norm), np.inf)
+                for number, (n, q, *means) in enumerate(one[width:] for one in clusters):
+                    if n is None:
+                        continue
+                    dot = reduce(lambda total, one: total + one, [value * mean for value, mean in zip(values, means)])
+                    gap = np.maximum(norm - 2.0 * dot + q, 0.0)
+                    inside = cluster == number
+                    if n > 1:  # the point itself, at distance zero, is not one of its neighbours
+                        own[inside] = gap[inside] * (n / (n - 1.0))
+                    gap[inside] = np.inf
+                    np.minimum(closest, gap, out=closest)
+                spread = np.maximum(own, closest)
+                scored = np.isfinite(spread) & (spread > 0)
+                totals[run][0] += len(norm)
+                totals[run][1] += float(((closest[scored] - own[scored]) / spread[scored]).sum())
+        columns = [[*totals], *zip(*totals.values())]
+        kinds = [pa.int32(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(one, kind) for one, kind in zip(columns, kinds)], names=["run", "n", "total"])
+
+    return run
+
+
 def silhouette_means(points: DataFrame, columns: Sequence[str], fits: Mapping[int, Fit]) -> dict[int, float]:
     """Mean silhouette of every fit: one scan for the summaries of all clusters, one for the points."""
     names = [f"x{place}" for place in range(len(columns))]
-    points = points.select(*[unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)])
-    centres = {number: fit.centres for number, fit in fits.items()}
-    wide = [F.col(name).cast("decimal(19,0)") for name in names]
-    totals = [F.sum(one).alias(name) for one, name in zip(wide, names, strict=True)]
-    squares = reduce(lambda total, one: total + one, [F.sum(one * one) for one in wide]).alias("squares")
-    tally = _assigned(points, names, centres).groupBy("run", "cluster").agg(F.count("*").alias("n"), squares, *totals).collect()
-    found = {(row["run"], row["cluster"]): row for row in tally}
-    summaries: dict[int, list[tuple]] = {number: [] for number in centres}
-    for (number, clusters), cluster in ((item, at) for item in centres.items() for at in range(len(item[1]))):
-        row = found.get((number, cluster))
-        empty = (None,) * (len(names) + 2)
-        means = row and (float(row["squares"]) / (row["n"] * UNIT**2), *(int(row[name]) / (row["n"] * UNIT) for name in names))
-        summaries[number].append((*clusters[cluster], *((row["n"], *means) if row else empty)))
-    fields = [*(f"{name}_c bigint" for name in names), "n bigint", "q double", *(f"{name}_m double" for name in names)]
-    widest = max(map(len, centres.values()))
-    placed = _placed(points, names, summaries, fields)
-    # assigned in the same plan, so that no point has to be found again
-    gaps = [_square([F.col(name) for name in names], [F.col(f"{name}_c{at}") for name in names]) for at in range(widest)]
-    placed = placed.withColumns({f"square{at}": gap for at, gap in enumerate(gaps)})
-    placed = placed.withColumn("cluster", _first_least([F.col(f"square{at}") for at in range(widest)]))
-    values = [F.col(name).cast("double") / F.lit(float(UNIT)) for name in names]
-    summary = [
-        (F.lit(at), F.col(f"n{at}"), F.col(f"q{at}"), [F.col(f"{name}_m{at}") for name in names]) for at in range(widest)
-    ]
-    scored = placed.select("run", _silhouette(_norm(values), values, F.col("cluster"), summary).alias("silhouette"))
-    return {row["run"]: row["silhouette"] for row in scored.groupBy("run").agg(F.avg("silhouette").alias("silhouette")).collect()}
+    points = points.select(*[unit.alias(name) for unit, name in zip(in_units(columns), names, strict=True)]).dropna()
+    found = _tallied(points, names, {number: fit.centres for number, fit in fits.items()}, squares=True)
+    summaries: dict[int, list[tuple]] = {}
+    for number, fit in fits.items():
+        for at, centre in enumerate(fit.centres):
+            row = found.get((number, at))
+            known = row and (row["n"], row["q"] / row["n"], *(row[name] / (row["n"] * UNIT) for name in names))
+            summaries.setdefault(number, []).append((*centre, *(known or (None,) * (len(names) + 2))))
+    scored = points.mapInArrow(_scores(summaries, len(names)), schema="run int, n bigint, total double")
+    means = scored.groupBy("run").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return {row["run"]: row["mean"] for row in means.collect()}
 
 
 def tier_labels(profile: DataFrame, cluster: str, spend: str, labels: Sequence[str]) -> DataFrame:
@@ -263,8 +351,9 @@ def label_clusters(customers: DataFrame, labels: Sequence[str], clusters: int) -
     if clusters > len(labels):
         raise ValueError(f"{clusters} clusters need as many labels, got {len(labels)}")
     profile = customers.groupBy("cluster").agg(F.avg(F.col("monetary").cast("double")).alias("spend"))
-    # one row per cluster
-    return customers.join(F.broadcast(tier_labels(profile, "cluster", "spend", labels)), "cluster")
+    named = tier_labels(profile, "cluster", "spend", labels).withColumnRenamed("cluster", "_cluster")
+    # one row per cluster. A null-safe join asks for no filter on the cluster, which would work out all distances anew
+    return customers.join(F.broadcast(named), F.col("cluster").eqNullSafe(F.col("_cluster"))).drop("_cluster")
 
 
 def assemble(points: DataFrame, columns: Sequence[str]) -> DataFrame:
