@@ -651,3 +651,44 @@ def test_csv_columns_by_name(spark, tmp_path):
     for path, problem in ((missing, "signup_date"), (extra, "note")):
         with pytest.raises(ValueError, match=problem):
             read_csv(spark, path, schemas.CUSTOMERS)
+
+
+def test_nearest_works_distances_out_once(spark, store):
+    points = store.save(blobs(spark).withColumn("monetary", F.col("x").cast("decimal(22,2)")), "points")
+    centres = [(1, 1), (5_000_000, 1_000_000), (5_000_000, 1_000_000), (8_000_000, 8_000_000)]
+    found = clustering.with_nearest(points, ["x", "y"], centres)
+    assert found.where(F.col("cluster") != clustering.nearest(["x", "y"], centres)).isEmpty()
+    assert sorted(found.columns) == sorted([*points.columns, "cluster"])
+    labelled = clustering.label_clusters(found, ["a", "b", "c", "d"], 4)
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    # each coordinate is rounded once for the rows and once for the profile
+    assert plan.count("round(") == 4
+
+
+def test_a_step_of_kmeans_adds_up_before_the_shuffle(spark, store):
+    rows = [(10**15 + at, -at) for at in range(1000)] + [(0, 0)]
+    points = store.save(spark.createDataFrame(rows, "x bigint, y bigint").repartition(3), "far-points")
+    found = clustering._tallied(points, ["x", "y"], {0: [(10**15, 0), (0, 0)], 1: [(0, 0)]})
+    assert {key: (row["n"], row["x"], row["y"]) for key, row in found.items()} == {
+        (0, 0): (1000, 1000 * 10**15 + 499_500, -499_500), (0, 1): (1, 0, 0), (1, 0): (1001, 1000 * 10**15 + 499_500, -499_500)
+    }
+    with pytest.raises(Exception, match="too large to be clustered"):
+        clustering._tallied(spark.createDataFrame([(1 << 52,)], "x bigint"), ["x"], {0: [(0,)]})
+
+
+def test_work_tables_are_small_on_disk(spark, store):
+    assert all(".zstd." in path for path in store.save(spark.range(10), "small").inputFiles())
+
+
+def test_no_key_is_counted_where_no_slice_is_full(spark, store, tmp_path):
+    frame = store.save(spark.range(200_000).select((F.col("id") % 50_000).alias("k")), "even")
+    spark.sparkContext.setJobGroup("even", "")
+    tracker = spark.sparkContext.statusTracker()
+    assert frequent_keys(frame, "k", 8) is None
+    held = store.save(frame.union(frame.limit(1).select(F.lit(-7).cast("bigint")).crossJoin(spark.range(50_000)).drop("id")), "held")
+    before = len(tracker.getJobIdsForGroup("even"))
+    (found,) = frequent_keys(held.toDF("k"), "k", 8).collect()
+    assert found["k"] == -7 and len(tracker.getJobIdsForGroup("even")) > before
+    nulls = store.save(spark.range(100).select(F.lit(None).cast("bigint").alias("k")), "nulls")
+    assert frequent_keys(nulls, "k", 8) is None and frequent_keys(nulls.limit(0), "k", 8) is None
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

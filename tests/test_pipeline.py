@@ -175,3 +175,16 @@ def test_close_deletes_the_work_tables(spark):
 
 def test_preview(spark, csv_folder):
     assert preview_csv(spark, f"{csv_folder}/customers.csv", 3).count() == 3
+
+
+def test_reports_write_no_details_of_transactions(spark):
+    mart = Mart.from_star(spark, "/root/testdata/sf0.001", clustering_method="lloyd")
+    written = spark.read.parquet(mart.facts.inputFiles()[0].rpartition("/")[0])
+    assert not {"transaction_id", "product_amount", "quantity"} & set(written.columns)
+    whole = Mart.from_star(spark, "/root/testdata/sf0.001", clustering_method="lloyd")
+    assert whole.transactions.count() == 6000
+    # the detailed table is there, so nothing is joined or written again
+    assert sorted(whole.facts.inputFiles()) == sorted(whole.transactions.inputFiles())
+    assert whole.facts.exceptAll(mart.facts.select(whole.facts.columns)).isEmpty() and mart.facts.count() == 6000
+    mart.close()
+    whole.close()

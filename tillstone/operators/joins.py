@@ -15,15 +15,26 @@ HANDS = 4
 #: A key with more than one row in so many is frequent; fewer keys than this are, and their totals go to all tasks.
 MOST_FREQUENT = 1 << 16
 
+#: Slices of the keys' hash that are counted before any key is, so many for each partition and at least ``MOST_FREQUENT``.
+SLICES = 16
+
 
 def frequent_keys(table: DataFrame, key: str, partitions: int) -> DataFrame | None:
     """(key, hands) of every key that holds more than its share of ``partitions`` tasks: fewer keys than partitions.
 
-    Rows are counted exactly, key by key, before the shuffle where they can be. ``hands`` is ``HANDS`` times the number of
+    Slices of the keys' hash are counted first, which shuffles a few numbers per task: a slice with too few rows has no
+    frequent key. Only in the other slices are rows counted key by key, exactly. ``hands`` is ``HANDS`` times the number of
     tasks that a key's rows fill, so that hands that meet in a task by chance stay small.
     """
-    rows = table.count()
-    counts = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    slice_ = F.pmod(F.xxhash64(key), F.lit(max(MOST_FREQUENT, SLICES * partitions))).cast("int")
+    slices = table.groupBy(F.when(F.col(key).isNotNull(), slice_).alias("_slice")).agg(F.count("*").alias("_n"))
+    slices = slices.agg(
+        F.sum("_n").alias("rows"), F.sort_array(F.collect_list(F.struct("_n", "_slice")), False).alias("all")
+    ).select("rows", F.filter("all", lambda one: (one["_n"] * partitions > F.col("rows")) & one["_slice"].isNotNull())["_slice"].alias("full"))
+    rows, full = slices.first()
+    if not full:
+        return None
+    counts = table.where(slice_.isin(full) & F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     held = counts.where(F.col("_n") * partitions > F.lit(rows))
     hands = F.least(F.lit(HANDS * partitions), F.ceil(HANDS * F.col("_n") * partitions / F.lit(rows)))
     found = [(row[0], row[1]) for row in held.select(key, hands.cast("int")).collect()]

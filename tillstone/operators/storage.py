@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
+#: Work tables are written once and read a few times, so bytes count for more than the speed of a codec.
+COMPRESSION = "zstd"
+
 #: The driver's heap is collected at most this often to free shuffle files.
 RECLAIM_SECONDS = 3.0
 
@@ -60,7 +63,7 @@ class WorkTables:
     def save(self, table: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         with smaller_batches(self.spark):
-            table.write.parquet(path)
+            table.write.option("compression", COMPRESSION).parquet(path)
         self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(table.schema).parquet(path)
 

@@ -27,6 +27,16 @@ CLUSTERS = 4
 RESTARTS = 10
 METHODS = ("kmeans", "lloyd", "mllib")
 
+#: Columns of the transactions that reports never add up; they are written only for those that list transactions.
+DETAILS = ["transaction_id", "product_amount", "quantity"]
+
+
+def as_facts(transactions: DataFrame) -> DataFrame:
+    """Transactions with ``counted``, which lets COUNT(transaction_id) read one bit per row, and the amount in cents."""
+    counted = F.when(F.col("transaction_id").isNotNull(), True)
+    cents = to_cents(F.col("final_amount"))
+    return transactions.withColumns({"counted": counted, "cents": cents}).drop("final_amount")
+
 
 class MissingDatesError(ValueError):
     """A customer has transactions, but none with a date."""
@@ -116,25 +126,25 @@ class Mart:
         return self.store.save(self._customers, "customers")
 
     @cached_property
-    def _facts(self) -> DataFrame:
-        # ``counted`` lets COUNT(transaction_id) read one bit per row instead of the id text
-        counted = F.when(F.col("transaction_id").isNotNull(), True)
-        cents = to_cents(F.col("final_amount"))
-        facts = self._transactions.withColumns({"counted": counted, "cents": cents}).drop("final_amount")
-        return self.store.save(facts, "transactions")
+    def _detailed(self) -> DataFrame:
+        """Facts with the ids and amounts that only lists of transactions show."""
+        return self.store.save(as_facts(self._transactions), "transactions")
 
-    @property
+    @cached_property
     def facts(self) -> DataFrame:
-        """Transactions as the reports read them.
+        """Transactions as the reports read them, without their details.
 
-        ``counted`` is non-null where ``transaction_id`` is, ``cents`` is the final amount in whole cents.
+        ``counted`` is non-null where ``transaction_id`` is, ``cents`` is the final amount in whole cents. If the detailed
+        table is there already, it is read instead of the sources; if not, only what reports add up is read and written.
         """
-        return self._facts.drop("transaction_id")
+        if "_detailed" in self.__dict__:
+            return self._detailed.drop(*DETAILS)
+        return self.store.save(as_facts(self._transactions).drop(*DETAILS), "facts")
 
     @property
     def transactions(self) -> DataFrame:
         """Transactions with the columns of the data model."""
-        return self._facts.withColumn("final_amount", from_cents(F.col("cents"))).select(self._transactions.columns)
+        return self._detailed.withColumn("final_amount", from_cents(F.col("cents"))).select(self._transactions.columns)
 
     @cached_property
     def profiles(self) -> DataFrame:

@@ -47,33 +47,32 @@ def star_transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_partkey").alias("partkey"),
         "l_suppkey",
         "l_linenumber",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_returnflag",
-        "l_shipdate",
+        F.col("l_extendedprice").cast(MONEY).alias("product_amount"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("discount_pct"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"),
+        F.col("l_shipdate").cast("date").alias("ship_date"),
         F.monotonically_increasing_id().alias("scan_row"),
     )
     orders = star_table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("orderkey"), "o_custkey", "o_orderdate", "o_orderpriority"
+        F.col("o_orderkey").alias("orderkey"), "o_custkey", F.col("o_orderdate").cast("date").alias("order_date"), "o_orderpriority"
     )
     parts = star_table(spark, folder, "part").select(F.col("p_partkey").alias("partkey"), "p_brand")
-    ordered = spread_join(_over_all_cores(lines, "scan_row"), orders, "orderkey", "scan_row", keys_from=lines)
-    sold = spread_join(ordered, parts, "partkey", "scan_row", keys_from=lines)
+    # orders come last: lines of an order, which are of one customer, then stand together, and totals by customer meet early
+    made = spread_join(_over_all_cores(lines, "scan_row"), parts, "partkey", "scan_row", keys_from=lines)
+    sold = spread_join(made, orders, "orderkey", "scan_row", keys_from=lines)
 
-    price = F.col("l_extendedprice").cast(MONEY)
-    discount = F.round(F.col("l_discount") * 100).cast("int")
-    kept = (F.lit(100) - discount).cast("decimal(3,0)") * F.lit(Decimal("0.01"))
-    ship_day = F.date_format("l_shipdate", "yyyyMMdd")
+    kept = (F.lit(100) - F.col("discount_pct")).cast("decimal(3,0)") * F.lit(Decimal("0.01"))
+    ship_day = F.date_format("ship_date", "yyyyMMdd")
     return sold.select(
         F.concat_ws("-", "orderkey", "l_linenumber", "partkey", "l_suppkey", ship_day).alias("transaction_id"),
         F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("transaction_date"),
+        F.col("order_date").alias("transaction_date"),
         F.col("p_brand").alias("category"),
-        price.alias("product_amount"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        discount.alias("discount_pct"),
-        F.round(price * kept, 2).cast(MONEY).alias("final_amount"),
+        "product_amount",
+        "quantity",
+        "discount_pct",
+        F.round(F.col("product_amount") * kept, 2).cast(MONEY).alias("final_amount"),
         F.col("o_orderpriority").alias("payment_mode"),
-        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"),
+        "returned",
     )
