@@ -188,3 +188,14 @@ def test_reports_write_no_details_of_transactions(spark):
     assert whole.facts.exceptAll(mart.facts.select(whole.facts.columns)).isEmpty() and mart.facts.count() == 6000
     mart.close()
     whole.close()
+
+
+def test_parsed_lines_are_written_once(spark, csv_folder):
+    mart = Mart.from_csv(spark, str(csv_folder), on_bad_rows="quarantine", clustering_method="lloyd")
+    plain = Mart.from_csv(spark, str(csv_folder), clustering_method="lloyd")
+    for name in ("customers", "facts", "transactions"):
+        mine, theirs = getattr(mart, name), getattr(plain, name)
+        assert all(mart.parsed.folder.rpartition("/")[2] in path for path in mine.inputFiles()), name
+        assert mine.columns == theirs.columns and mine.exceptAll(theirs).isEmpty() and theirs.exceptAll(mine).isEmpty()
+    mart.close()
+    plain.close()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache, cached_property, reduce
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,10 +100,14 @@ class Mart:
         if on_bad_rows == "fail":
             return cls(spark, *(read_csv(spark, paths[name], schema) for name, schema in files.items()), **options)
         store = WorkTables(spark)
-        apart = [read_csv_apart(spark, paths[name], schema, store, name) for name, schema in files.items()]
-        mart = cls(spark, *(rows for rows, _ in apart), **options)
+        people, odd_people = read_csv_apart(spark, paths["customers"], schemas.CUSTOMERS, store, "customers")
+        facts, odd_sales = read_csv_apart(spark, paths["transactions"], schemas.TRANSACTIONS, store, "transactions", as_facts)
+        sales = facts.withColumn("final_amount", from_cents(F.col("cents"))).select(*schemas.TRANSACTIONS.names)
+        mart = cls(spark, people, sales, **options)
+        # what was parsed is written already
+        mart.customers, mart._detailed = people, facts
         mart.parsed = store
-        mart.rejected = store.save(reduce(DataFrame.unionAll, (lines for _, lines in apart)), "rejected")
+        mart.rejected = store.save(odd_people.unionAll(odd_sales), "rejected")
         return mart
 
     @classmethod

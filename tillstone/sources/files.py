@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -56,22 +56,26 @@ def _reason(line: Column, schema: T.StructType) -> Column:
 
 
 def read_csv_apart(
-    spark: SparkSession, path: str, schema: T.StructType, store: WorkTables, name: str
+    spark: SparkSession, path: str, schema: T.StructType, store: WorkTables, name: str,
+    shaped: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of a CSV that fit the schema, and the lines that do not, with their file and the reason.
 
-    The file is parsed once: what comes of it is written as columns, from which both tables are read.
+    The file is parsed once: what comes of it is written as columns, from which both tables are read. ``shaped`` may change
+    the columns of the schema before they are written.
     """
     in_file = schema_of_header(spark, path, schema)
     broken = T.StructType([*in_file.fields, T.StructField("_line", T.StringType())])
     options = {"header": True, "dateFormat": DATES, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}
     parsed = spark.read.csv(path, schema=broken, **options).select(*in_file.names, "_line", F.col("_metadata.file_path").alias("_file"))
-    parsed = store.save(parsed, f"{name}-parsed")
+    parsed = store.save(shaped(parsed), f"{name}-parsed")
     rejected = parsed.where(F.col("_line").isNotNull()).select(
         F.lit(name).alias("table_name"), F.col("_file").alias("file"), F.col("_line").alias("line"),
         _reason(F.col("_line"), in_file).alias("reason"),
     )
-    return parsed.where(F.col("_line").isNull()).select(*schema.names), rejected
+    kept = [*schema.names, *parsed.columns]
+    kept = [column for column in dict.fromkeys(kept) if column in parsed.columns and column not in ("_line", "_file")]
+    return parsed.where(F.col("_line").isNull()).select(*kept), rejected
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
