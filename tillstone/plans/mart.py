@@ -292,7 +292,7 @@ class Mart:
         if method == "mllib":
             return self.mllib_clusters
         centres = self.kmeans_centres if method == "kmeans" else self.lloyd_centres
-        return self.scaled.withColumn("cluster", clustering.nearest(Z, centres))
+        return clustering.with_nearest(self.scaled, Z, centres)
 
     @cached_property
     def segmented(self) -> DataFrame:
