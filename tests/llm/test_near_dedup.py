@@ -117,3 +117,53 @@ def test_components_of_paths_and_stars(spark, tables):
     links = [(at, at + 1) for at in range(100, 160)] + [(7, leaf) for leaf in range(1000, 1100)] + [(5, 5)]
     found = dict(components(spark.createDataFrame(links, "a bigint, b bigint"), tables).collect())
     assert found == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys(range(1000, 1100), 7), 7: 7}
+
+
+@pytest.mark.parametrize("most", [5, 1 << 12])
+def test_rare_buckets_are_shuffled_at_every_size(spark, tables, monkeypatch, most):
+    rows = [(doc, cases.prose(20 + doc // 3, 40 + doc % 3)) for doc in range(90)]
+    monkeypatch.setattr(near_dedup, "MOST_FREQUENT", most)
+    assert groups(spark, rows, tables) == expected(rows)
+
+
+def test_parities_differ_in_no_more_places_than_sets():
+    """No similar pair is ever left out, whatever the sizes, and sets far apart are told apart."""
+    source = np.random.default_rng(9)
+
+    def odd(one, other):
+        found = [np.unpackbits(np.frombuffer(near_dedup.parities_of(x), np.uint8)) for x in (one, other)]
+        return int((found[0] != found[1]).sum())
+
+    for size in (1, 2, 30, 150, 600, 5000):
+        for share in (0, 0.02, 0.1, 0.14, 0.3):
+            own = round(size * share)
+            both = [np.unique(source.integers(0, 1 << 63, size, np.uint64))] * 2
+            one, other = (np.unique(np.concatenate([x[own:], source.integers(0, 1 << 63, own, np.uint64)])) for x in both)
+            assert odd(one, other) <= len(np.setxor1d(one, other))
+    base = source.integers(0, 1 << 63, 150, np.uint64)
+    one, other = (np.unique(np.concatenate([base[40:], source.integers(0, 1 << 63, 40, np.uint64)])) for _ in range(2))
+    assert 175 * odd(one, other) > 25 * (len(one) + len(other))  # similarity 0.58
+
+
+def test_few_pairs_are_compared_in_a_group_around_one_text(spark, tables):
+    """Copies of one text with four words changed each have a similarity of about 0.6 and meet in many buckets."""
+    base, rows = cases.prose(31, 150).split(), []
+    for doc in range(150):
+        words = [*base]
+        for place in range(4):
+            words[(doc * 17 + place * 37) % 150] = f"w{doc}x{place}"
+        rows.append((doc, " ".join(words)))
+    frame, options = cases.frame(spark, rows, extra=False).withColumnRenamed("doc_id", "row"), NearDedup()
+    own = near_dedup.sketches(frame, "text", options).withColumnRenamed("row", "node")
+    members = near_dedup.bucketed(tables.save(own, "own"), tables, options).withColumn("label", F.col("node"))
+    pairs = near_dedup._turn(tables.save(members, "members"), 1 << 20, tables)[0]
+    near = pairs.filter(f"differing <= {near_dedup.far_apart(options)}")
+    met, left = near.count(), near.filter("175 * odd <= 25 * (a_size + b_size)").count()
+    assert met > 2000 and left < met / 20
+    assert groups(spark, rows, tables) == expected(rows)
+
+
+def test_texts_are_not_sent_by_plans_that_depend_on_size(spark, tables):
+    """The list of rows that stay is shuffled even where it is small enough to be sent to all tasks."""
+    kept = near_dedup.deduplicated(cases.frame(spark), tables)
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()

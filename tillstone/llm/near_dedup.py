@@ -4,7 +4,8 @@ Documents are linked if ``100 * |A & B| >= 75 * |A | B|`` for their sets of dist
 coordinate comes from two permutations: one deals the shingles out over a circle of positions, the other ranks the
 positions, and coordinate ``k`` is the least rank met when the ranks are turned by ``k`` places. Bands of coordinates
 propose pairs; those whose signatures differ too much for the wanted similarity (by six standard deviations of one bit per
-coordinate) go no further, and every link is confirmed on the full sets.
+coordinate) go no further, nor do those whose parities differ in more places than two similar sets can differ in shingles
+(which holds without exception), and every link is confirmed on the full sets.
 
 Equal texts (equal word sequences) form one class and take part once. Within a band's bucket no list of all pairs is
 made: classes are compared with a few centres, links join classes to components, and only classes of different
@@ -96,6 +97,19 @@ def bits_of(least: np.ndarray) -> bytes:
     return np.packbits((scrambled >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
 
 
+#: Parities of a set; each takes eight bytes for 64 of them in every bucket.
+PARITIES = 512
+
+
+def parities_of(found: np.ndarray) -> bytes:
+    """For every slot whether an odd number of the hashed shingles falls into it.
+
+    Shingles of both sets cancel out, so two sets differ in at least as many shingles as their parities do in slots.
+    """
+    slots = (mixed(found) >> np.uint64(32)) % np.uint64(PARITIES)
+    return np.packbits(np.bincount(slots.astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+
+
 def far_apart(options: NearDedup) -> int:
     """More different bits than this mean, beyond six standard deviations, a similarity below the wanted one."""
     differs = (1 - options.percent / 100) / 2
@@ -103,14 +117,14 @@ def far_apart(options: NearDedup) -> int:
     return int(options.coordinates * differs + 6 * spread)
 
 
-SKETCH = "row bigint, digest binary, size bigint, bands array<bigint>, bits binary"
+SKETCH = "row bigint, digest binary, size bigint, bands array<bigint>, bits binary, parities binary"
 
 
 def _sketch(options: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, turned = WordHashes(), options.ranks()
         for batch in steps(batches):
-            digests, sizes, bands, bits = [], [], [], []
+            digests, sizes, bands, bits, parities = [], [], [], [], []
             for words in map(words_of, texts_of(batch)):
                 found = shingles(hashes.of(words), options.shingle_words)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
@@ -118,20 +132,22 @@ def _sketch(options: NearDedup):
                 least = signature(found, turned, options) if words else None
                 bands.append(band_keys(least, options) if words else found.view(np.int64))
                 bits.append(bits_of(least) if words else None)
+                parities.append(parities_of(found) if words else None)
             columns = [
                 batch.column("row"),
                 pa.array(digests, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 lists_of(bands, pa.int64()),
                 pa.array(bits, pa.binary()),
+                pa.array(parities, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "digest", "size", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in SKETCH.split(", ")])
 
     return run
 
 
 def sketches(rows: DataFrame, text: str, options: NearDedup) -> DataFrame:
-    """For every row: the digest of its word sequence, the size of its shingle set, band keys and bits."""
+    """For every row: the digest of its word sequence, the size of its shingle set, band keys, bits and parities."""
     return rows.select("row", F.col(text).alias("text")).mapInArrow(_sketch(options), schema=SKETCH)
 
 
@@ -164,6 +180,9 @@ def _verify(percent: int):
 #: Rows of one key that a join gathers in a task.
 SHARE = 1024
 
+#: A bucket with more than one row in so many is frequent.
+MOST_FREQUENT = 1 << 12
+
 #: Turns in which a class is compared with one centre of all its buckets, and steps of contraction between two turns.
 SCOUTS, STEPS = 2, 2
 
@@ -188,18 +207,18 @@ def verified(pairs: DataFrame, sets: DataFrame, tables: WorkTables, options: Nea
     return found.select("a", "b", "a_found", "b_found").mapInArrow(_verify(options.percent), schema="a bigint, b bigint")
 
 
-def words_of_bits(options: NearDedup) -> list[Column]:
-    """The bits as 64-bit integers ``bits0``, ``bits1``, ...; the last one is filled up with zeros."""
-    count = -(-options.coordinates // 64)
-    padded = F.rpad(F.hex("bits"), 16 * count, "0")
-    parts = [F.conv(F.substring(padded, 1 + 16 * at, 16), 16, -10).cast("bigint") for at in range(count)]
-    return [part.alias(f"bits{at}") for at, part in enumerate(parts)]
+def words_of_bits(name: str, count: int) -> list[Column]:
+    """``count`` bits as 64-bit integers ``name0``, ``name1``, ...; the last one is filled up with zeros."""
+    parts = -(-count // 64)
+    padded = F.rpad(F.hex(name), 16 * parts, "0")
+    found = [F.conv(F.substring(padded, 1 + 16 * at, 16), 16, -10).cast("bigint") for at in range(parts)]
+    return [part.alias(f"{name}{at}") for at, part in enumerate(found)]
 
 
 def _turn(members: DataFrame, centres: int, tables: WorkTables) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare in this turn, and what is left of the buckets after it.
 
-    ``members``, a written table, has (key, node, size, label, bits0, ...) of buckets. In a bucket with different labels the
+    ``members``, a written table, has (key, node, size, label, bits0, ..., parities0, ...) of buckets. In a bucket with different labels the
     nodes of least hash become centres, about ``centres`` of them and at least one. A centre is compared with all nodes
     of other labels and then leaves its bucket, so that every pair of different labels has its turn. A large bucket is
     dealt out over several copies of its centres.
@@ -212,41 +231,49 @@ def _turn(members: DataFrame, centres: int, tables: WorkTables) -> tuple[DataFra
         .withColumn("last", F.col("first") + (centres - 1) / F.col("n") * 2.0**64)
         .select("key", "n", "first", "last", F.expr(f"(n - 1) div {SHARE} + 1").alias("shares"))
     )
-    dealt = with_totals(members, tables.replace(buckets, "buckets"), "key", "n")
+    dealt = with_totals(members, tables.replace(buckets, "buckets"), "key", "n", MOST_FREQUENT, shuffled=True)
     dealt = dealt.withColumn("centre", F.expr("place = first or place < last"))
-    bits = [name for name in members.columns if name.startswith("bits")]
+    bits = [name for name in members.columns if name.startswith(("bits", "parities"))]
     left = dealt.filter("centre").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
     left = left.selectExpr("key", "share", "node a", "size a_size", "label a_label", "place a_place", *(f"{b} a_{b}" for b in bits))
     right = dealt.withColumn("share", F.pmod("place", "shares"))
     right = right.selectExpr("key", "share", "node b", "size b_size", "label b_label", "place b_place", "centre", *bits)
-    pairs = left.join(right, ["key", "share"]).filter("a_label != b_label and (not centre or a_place < b_place)")
-    differing = " + ".join(f"bit_count({b} ^ a_{b})" for b in bits)
-    return pairs.withColumn("differing", F.expr(differing)), dealt.filter("not centre").select("key", "node", "size", *bits)
+    # both sides grow with the data, so neither is sent to all tasks, however small it seems
+    pairs = left.join(right.hint("merge"), ["key", "share"]).filter("a_label != b_label and (not centre or a_place < b_place)")
+    for name, kind in {"differing": "bits", "odd": "parities"}.items():
+        pairs = pairs.withColumn(name, F.expr(" + ".join(f"bit_count({b} ^ a_{b})" for b in bits if b.startswith(kind))))
+    return pairs, dealt.filter("not centre").select("key", "node", "size", *bits)
 
 
-def bucketed(sketched: DataFrame, nodes: DataFrame, tables: WorkTables, options: NearDedup) -> DataFrame:
-    """(key, node, size, bits0, ...) of every class in a bucket with another.
+def bucketed(own: DataFrame, tables: WorkTables, options: NearDedup) -> DataFrame:
+    """(key, node, size, bits0, ..., parities0, ...) of every class in a bucket with another; ``own`` has a row per class.
 
     Keys and node numbers alone are shuffled for that; sizes and bits are looked up for what is left.
     """
-    own = sketched.join(nodes, "row", "left_semi").withColumnRenamed("row", "node")
     banded = own.select(F.explode("bands").alias("key"), "node")
     shared = tables.save(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    return with_totals(banded, shared, "key", "n").join(own.select("node", "size", *words_of_bits(options)), "node")
+    bits = [*words_of_bits("bits", options.coordinates), *words_of_bits("parities", PARITIES)]
+    met = with_totals(banded, shared, "key", "n", MOST_FREQUENT, shuffled=True)
+    return met.join(own.select("node", "size", *bits).hint("merge"), "node")
 
 
 def linked_nodes(sketched: DataFrame, rows: DataFrame, text: str, tables: WorkTables, options: NearDedup) -> DataFrame | None:
     """(node, label) of every class that is linked with another, None if there is none.
 
-    ``rows`` and ``sketched`` are written tables of rows and of their sketches; the node of a class is its smallest row number.
+    ``rows`` is a written table, ``sketched`` that of its sketches, saved as ``sketches`` and given up here; the node of a
+    class is its smallest row number.
     """
-    nodes = tables.save(sketched.filter("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row"), "nodes")
-    members = tables.save(bucketed(sketched, nodes, tables, options), "members")
-    tables.discard("nodes", "shared")
+    nodes = sketched.filter("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    own = sketched.join(nodes.hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "size", "bands", "bits", "parities")
+    own = tables.save(own, "own")
+    tables.discard("sketches")
+    members = tables.save(bucketed(own, tables, options), "members")
+    tables.discard("own", "shared")
     # grows with the data, so it is never sent to all tasks, however small it seems
     compared = members.select(F.col("node").alias("row")).distinct().hint("merge")
     texts = rows.select("row", F.col(text).alias("text")).join(compared, "row", "left_semi").withColumnRenamed("row", "node")
     sets = tables.save(texts.mapInArrow(_sets(options), schema="node bigint, found binary"), "sets")
+    tables.reclaim()  # all texts went through that shuffle
     labels, edges, tested, centres, scouts = None, None, None, 1, SCOUTS
     while True:
         if labels is None:
@@ -255,7 +282,9 @@ def linked_nodes(sketched: DataFrame, rows: DataFrame, text: str, tables: WorkTa
             named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         pairs, rest = _turn(tables.replace(named, "named"), centres, tables)
         alike = f"100 * least(a_size, b_size) >= {options.percent} * greatest(a_size, b_size)"
-        pairs = pairs.filter(f"{alike} and differing <= {far_apart(options)}")
+        # |A & B| and |A | B| from the sizes and the number of shingles that are in one set alone
+        even = f"{100 + options.percent} * odd <= {100 - options.percent} * (a_size + b_size)"
+        pairs = pairs.filter(f"{alike} and differing <= {far_apart(options)} and {even}")
         ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         pairs = pairs.groupBy(*ends).agg(F.min_by("b", "a_place").alias("node"), F.min("a_place").alias("place"))
         if tested is not None:
@@ -294,12 +323,11 @@ def near_duplicates(documents: DataFrame, tables: WorkTables, options: NearDedup
     held = Held(documents)
     rows = tables.save(held.table.withColumn("row", F.monotonically_increasing_id()), "rows")
     sketched = tables.save(sketches(rows, held["text"], options), "sketches")
-    labels = linked_nodes(sketched, rows, held["text"], tables, options)
     slim = rows.select("row", F.col(held["doc_id"]).alias("doc_id")).join(
         sketched.select("row", "digest", F.col("size").alias("n_shingles")), "row"
     )
     slim = tables.save(slim, "slim")
-    tables.discard("sketches")
+    labels = linked_nodes(sketched, rows, held["text"], tables, options)
     worded = slim.filter("n_shingles > 0")
     classes = worded.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
     if labels is None:
@@ -321,4 +349,5 @@ def deduplicated(documents: DataFrame, tables: WorkTables, options: NearDedup =
     found = near_duplicates(documents, tables, options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     chosen = found.groups.groupBy("label").agg(F.min_by("row", order).alias("row")).select("row")
-    return found.held.restored(found.rows.join(tables.save(chosen, "chosen"), "row", "left_semi"))
+    # the list grows with the data, so it is never sent to all tasks, however small it seems
+    return found.held.restored(found.rows.join(tables.save(chosen, "chosen").hint("merge"), "row", "left_semi"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 MOST_FREQUENT = 1 << 16
 
 
-def with_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, most: int = MOST_FREQUENT) -> DataFrame:
+def with_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, most: int = MOST_FREQUENT, *, shuffled: bool = False) -> DataFrame:
     """``rows`` with the columns of ``totals``, which has one row per key and in ``count`` how many rows hold it.
 
     Rows of frequent keys stay where they are and meet their totals there; the other keys hold too few rows to fill a
     task. Null is a key like any other. Both tables are read twice, so they should be written ones or cheap. Columns of
-    ``totals`` but the key and the count are added; rows of a key without totals are left out.
+    ``totals`` but the key and the count are added; rows of a key without totals are left out. If ``shuffled``, the
+    totals of other keys grow with the data and are never sent to all tasks, however small they seem.
     """
     everything = totals.agg(F.sum(count)).first()[0] or 0
     bound = everything // most
@@ -28,5 +29,5 @@ def with_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, most:
         return joined.filter(found).drop(found)
     rest = joined.filter(F.col(found).isNull()).drop(found, *added)
     rare = keyed.filter(F.col(count) <= bound).select(same, *added)
-    rest = rest.join(rare, F.col(key).eqNullSafe(F.col(same))).drop(same)
+    rest = rest.join(rare.hint("merge") if shuffled else rare, F.col(key).eqNullSafe(F.col(same))).drop(same)
     return joined.filter(found).drop(found).unionByName(rest)

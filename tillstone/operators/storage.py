@@ -86,9 +86,14 @@ class WorkTables:
     def _delete(self, paths: list[str]) -> None:
         for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, paths):
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        # Spark deletes the shuffle files of a finished job when the driver's heap is collected, which a large heap
-        # puts off for long; the jobs that made the deleted tables are over
         if paths and time.monotonic() - self._reclaimed > RECLAIM_SECONDS:
-            gc.collect()  # DataFrames in cycles keep their plans, and those their shuffles
-            self.spark._jvm.System.gc()
-            self._reclaimed = time.monotonic()
+            self.reclaim()
+
+    def reclaim(self) -> None:
+        """Free the shuffle files of jobs that are over.
+
+        Spark does so when the driver's heap is collected, which a large heap puts off for long.
+        """
+        gc.collect()  # DataFrames in cycles keep their plans, and those their shuffles
+        self.spark._jvm.System.gc()
+        self._reclaimed = time.monotonic()
